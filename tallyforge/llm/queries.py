@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import boilerplate, twins
+from tallyforge.llm import boilerplate, consensus, twins
 from tallyforge.sources.tables import table
 
 
@@ -31,7 +31,31 @@ def p6_copies(spark: SparkSession, folder: str) -> DataFrame:
     return classes.filter("posting_id = class_id").select("posting_id", "copies")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_cleaned, p6_found, p6_copies)}
+def _votes(spark: SparkSession, folder: str) -> DataFrame:
+    replies = table(spark, folder, "judgments", "judgment_id", "resume_id", "provider", "categories").distinct()
+    answers = consensus.reply_answers(replies, ["judgment_id", "resume_id", "provider"], "categories")
+    return consensus.votes_by_rater(answers, ["resume_id", "criterion_id"], "provider")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Items whose consensus is yes."""
+    items, _ = consensus.reweighted_consensus(_votes(spark, folder), ["resume_id", "criterion_id"])
+    return items.filter("consensus").select("resume_id", "criterion_id")
+
+
+def p7_reliability(spark: SparkSession, folder: str) -> DataFrame:
+    """How far each provider can be relied on."""
+    _, raters = consensus.reweighted_consensus(_votes(spark, folder), ["resume_id", "criterion_id"])
+    return raters.select(F.col("rater").alias("provider"), *(F.round(c, 6).alias(c) for c in ("accuracy", "on_yes", "on_no")), F.round("answers").cast("long").alias("answers"))
+
+
+def p7_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Chance-corrected agreement per criterion."""
+    found = consensus.nominal_alpha(_votes(spark, folder), ["criterion_id"])
+    return found.withColumn("alpha", F.round("alpha", 6))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_cleaned, p6_found, p6_copies, p7_found, p7_reliability, p7_agreement)}
 
 ORACLES = {
     "p5_found": r"""
