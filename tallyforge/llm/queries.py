@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import boilerplate, consensus, twins
+from tallyforge.llm import boilerplate, consensus, leakage, packing, truncation, twins
 from tallyforge.sources.tables import table
 
 
@@ -55,7 +55,46 @@ def p7_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("alpha", F.round("alpha", 6))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_cleaned, p6_found, p6_copies, p7_found, p7_reliability, p7_agreement)}
+def _evidence(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_evidence(table(spark, folder, "documents", "doc_id", "source", "text"), "doc_id", "source", "text")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return _evidence(spark, folder).filter("is_cut").select("doc_id").distinct()
+
+
+def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The share cut in each source."""
+    return truncation.truncation_by_source(_evidence(spark, folder), "source")
+
+
+def p8_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents packed into blocks of 2,048 tokens."""
+    counts = packing.token_counts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    placed = packing.pack(counts, "doc_id", "n_tokens", 2048)
+    return placed.withColumnsRenamed({"first_unit": "first_token", "n_units": "n_tokens"})
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text")
+    return leakage.leaked_passages(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold ten consecutive words of an item, and the item."""
+    return _leaks(spark, folder).filter("run >= 10").select("doc_id", "item_id")
+
+
+def p9_near(spark: SparkSession, folder: str) -> DataFrame:
+    """All leaked passages, those with a changed word among them."""
+    return _leaks(spark, folder)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p5_found, p5_cleaned, p6_found, p6_copies, p7_found, p7_reliability, p7_agreement, p8_blocks, p9_found, p9_near, p10_found, p10_sources)
+}
 
 ORACLES = {
     "p5_found": r"""
