@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import boilerplate, consensus, leakage, packing, truncation, twins
+from tallyforge.llm import boilerplate, consensus, leakage, packing, titles, truncation, twins
 from tallyforge.sources.tables import table
 
 
+def _titles(spark: SparkSession, folder: str) -> DataFrame:
+    roles = table(spark, folder, "resume_roles", "resume_id", "role_ix", "title")
+    return titles.map_to_reference(roles, ["resume_id", "role_ix"], "title", table(spark, folder, "taxonomy"), "title_id", "title", "family", "aliases")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every titled role with the taxonomy entry it means, -1 if none."""
+    return _titles(spark, folder).select("resume_id", "role_ix", "title_id")
+
+
+def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles that mean no entry, with the roles that bear them."""
+    roles = table(spark, folder, "resume_roles", "resume_id", "role_ix", "title")
+    missing = _titles(spark, folder).filter("title_id = -1")
+    return roles.join(missing, ["resume_id", "role_ix"], "left_semi").distinct().groupBy("title").agg(F.count("*").alias("roles"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines repeated across the postings of a company."""
     return boilerplate.repeated_lines(table(spark, folder, "postings", "posting_id", "company", "raw_text"), "posting_id", "company", "raw_text")
@@ -93,7 +110,7 @@ def p9_near(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, p5_cleaned, p6_found, p6_copies, p7_found, p7_reliability, p7_agreement, p8_blocks, p9_found, p9_near, p10_found, p10_sources)
+    for f in (p2_found, p2_unmatched, p5_found, p5_cleaned, p6_found, p6_copies, p7_found, p7_reliability, p7_agreement, p8_blocks, p9_found, p9_near, p10_found, p10_sources)
 }
 
 ORACLES = {
