@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import boilerplate, consensus, leakage, packing, titles, truncation, twins
+from tallyforge.llm import boilerplate, consensus, leakage, packing, personal, titles, truncation, twins
 from tallyforge.sources.tables import table
 
 
@@ -26,6 +26,29 @@ def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return roles.join(missing, ["resume_id", "role_ix"], "left_semi").distinct().groupBy("title").agg(F.count("*").alias("roles"))
 
 
+#: The searched fields: table, key, column.
+FIELDS = (("resumes", "resume_id", "text"), ("findings", "finding_id", "evidence"), ("resumes", "resume_id", "contact_email"))
+
+
+def _per_field(spark: SparkSession, folder: str, operator) -> DataFrame:
+    out = None
+    for name, key, column in FIELDS:
+        part = operator(table(spark, folder, name, key, column), key, column).withColumnRenamed(key, "row_id")
+        part = part.withColumn("field_name", F.lit(f"{name}.{column}"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every personal detail, with its place."""
+    return _per_field(spark, folder, personal.personal_details).select("field_name", "row_id", "kind", "char_start")
+
+
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The same texts with a typed placeholder for each detail."""
+    return _per_field(spark, folder, personal.redacted).select("field_name", "row_id", "clean_text", "details")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines repeated across the postings of a company."""
     return boilerplate.repeated_lines(table(spark, folder, "postings", "posting_id", "company", "raw_text"), "posting_id", "company", "raw_text")
@@ -110,7 +133,7 @@ def p9_near(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_unmatched, p5_found, p5_cleaned, p6_found, p6_copies, p7_found, p7_reliability, p7_agreement, p8_blocks, p9_found, p9_near, p10_found, p10_sources)
+    for f in (p2_found, p2_unmatched, p3_found, p3_redacted, p5_found, p5_cleaned, p6_found, p6_copies, p7_found, p7_reliability, p7_agreement, p8_blocks, p9_found, p9_near, p10_found, p10_sources)
 }
 
 ORACLES = {
