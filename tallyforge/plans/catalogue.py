@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import documents, periods
+from tallyforge.plans import documents, judging, periods, scoring
 
-MODULES = [periods, documents]
+MODULES = [periods, documents, scoring, judging]
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
