@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import documents, judging, periods, scoring
+from tallyforge.plans import corpus, documents, judging, periods, scoring, tables
 
-MODULES = [periods, documents, scoring, judging]
+MODULES = [periods, documents, scoring, judging, corpus, tables]
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
