@@ -90,6 +90,7 @@ class Finder:
             word_at[at] = i
             at += len(w) + 1
         covered: dict[tuple[int, int], int] = {}
+        enough = -(-(self.passage - self.edits) // (self.edits + 1))  # equal words some stretch of a passage must have
         for end, (size, places) in hits:
             d = word_at[end - size + 1]
             for item, i in places:
@@ -103,6 +104,8 @@ class Finder:
                     b += 1
                 covered[item, d - i] = d + b - self.piece
                 run, least = b - a, None
+                if run < enough:
+                    continue
                 if run >= self.passage:
                     least = 0
                 else:
