@@ -60,8 +60,8 @@ def weighted_scores(parts: DataFrame, doc: str, score: str, weight: str) -> Data
     """Rows (doc, composite): the weighted mean over parts with a score, 0 to 100, one decimal; null without any."""
     seen = F.col(score).isNotNull()
     top, low = F.sum(F.when(seen, F.col(score) * F.col(weight))), F.sum(F.when(seen, F.col(weight)))
-    mean = F.greatest(F.lit(0.0), F.least(F.lit(100.0), top / F.nullif(low, F.lit(0))))
-    return parts.groupBy(doc).agg(F.bround(mean, 1).alias("composite"))
+    mean = top / F.nullif(low, F.lit(0))
+    return parts.groupBy(doc).agg(F.when(low > 0, F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), mean)), 1)).alias("composite"))
 
 
 def grade(score, steps: Mapping[str, float], lowest: str):
