@@ -17,22 +17,27 @@ from pyspark.sql import functions as F
 from tallyforge.session import cut, spread_join
 
 #: A word, a number with its per cent sign, or the end of a sentence or line.
-TOKENS = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*(?:['’\-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*)*%?|[.!?…]+(?=[\s\"”’)]|$)|\n+"
+TOKENS = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+(?:['’\-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*+)*+%?|[.!?…]++(?=[\s\"”’)]|$)|\n++"
 END = r"^[.!?…\n]"
 OPEN_END = r"[,;:(\[{“„«\-–—/&•▪*]$"
 ENTITY_END = r"&#?\w{0,6}$"
+BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u2007\u202f\u3000"
 WORD_END = r"[\p{L}\p{M}\p{N}%]$"
 
 
-def _tokens(column: str):
-    return F.transform(F.regexp_extract_all(F.lower(column), F.lit(TOKENS), F.lit(0)), lambda x: F.regexp_replace(x, r"\p{N}+", "0"))
+def _tokens(column):
+    """Tokens in lower case, every number the same; runs of digits are masked before the text is cut up."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(column), r"\p{N}++", "0"), F.lit(TOKENS), F.lit(0))
 
 
 def _prepared(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     rows = df.select(F.col(key).alias("id"), F.col(source).alias("src"), F.col(text).alias("t")).filter(F.col("t").isNotNull()).distinct()
-    bare = F.regexp_replace("t", r"(?U)\s+$", "")
-    rows = rows.select("id", "src", F.length("t").alias("chars"), F.octet_length("t").alias("octets"), bare.alias("t"), bare.rlike(r"\x{FFFD}$").alias("broken"), bare.rlike(r"(…|\.\.\.)$").alias("dots"), bare.rlike(ENTITY_END).alias("entity"))
-    return rows.withColumn("t", F.regexp_replace("t", r"(?U)\s*(…|\.\.\.)$|\x{FFFD}+$", ""))
+    bare = F.rtrim(F.col("t"), F.lit(BLANKS))
+    rows = rows.select("id", "src", F.length("t").alias("chars"), F.octet_length("t").alias("octets"), bare.alias("t"))
+    dots = F.endswith("t", F.lit("…")) | F.endswith("t", F.lit("..."))
+    broken = F.endswith("t", F.lit("\ufffd"))
+    rows = rows.select("*", broken.alias("broken"), dots.alias("dots"), F.right("t", F.lit(10)).rlike(ENTITY_END).alias("entity"))
+    return rows.withColumn("t", F.when(dots, F.rtrim(F.col("t"), F.lit(BLANKS + "…."))).when(broken, F.rtrim(F.col("t"), F.lit("\ufffd"))).otherwise(F.col("t")))
 
 
 def truncation_evidence(df: DataFrame, key: str, source: str, text: str, min_known: int = 2, min_seen: int = 3, min_peak: int = 8, peak: float = 10.0, closing_docs: int = 3) -> DataFrame:
@@ -48,8 +53,8 @@ def truncation_evidence(df: DataFrame, key: str, source: str, text: str, min_kno
     """
     docs = _prepared(df, key, source, text)
     toks = _tokens("t")
-    tail_line = F.array_join(_tokens(F.regexp_extract("t", r"([^\n]*)$", 1)), " ")
-    finals = docs.select("id", "src", "chars", "octets", "broken", "dots", "entity", F.regexp_extract("t", r"(?s)(.)$", 1).alias("last"), tail_line.alias("line"), _last_three().alias("w"))
+    tail_line = F.array_join(_tokens(F.substring_index("t", "\n", -1)), " ")
+    finals = docs.select("id", "src", "chars", "octets", "broken", "dots", "entity", F.right("t", F.lit(1)).alias("last"), tail_line.alias("line"), _last_three().alias("w"))
     finals = cut(finals)
 
     # Contexts wanted: those of texts that end in a word.
@@ -117,14 +122,14 @@ def truncation_evidence(df: DataFrame, key: str, source: str, text: str, min_kno
 
 def _last_three():
     """The last three tokens of t's final sentence."""
-    words = _tokens(F.regexp_extract("t", r"(\S*\s+){0,8}\S*$", 0))
+    words = _tokens(F.substring_index("t", " ", -9))
     return F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))
 
 
 def _closings(docs: DataFrame, finals: DataFrame, least: int, words: int = 8) -> DataFrame:
     """Final lines of two to `words` words that several texts share and that hardly open a longer line anywhere."""
     shared = finals.filter(F.size(F.split("line", " ")).between(2, words)).groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    lines = docs.select("id", F.explode(F.split("t", "\n")).alias("l")).select("id", _tokens(F.regexp_extract("l", rf"^(\s*\S+){{0,{words + 3}}}", 0)).alias("k")).filter(F.size("k") > 1)
+    lines = docs.select("id", F.explode(F.split("t", "\n")).alias("l")).select("id", _tokens(F.substring_index(F.ltrim(F.col("l")), " ", words + 3)).alias("k")).filter(F.size("k") > 1)
     heads = F.transform(F.sequence(F.lit(1), F.least(F.size("k") - 1, F.lit(words))), lambda i: F.array_join(F.slice(F.col("k"), F.lit(1), i), " "))
     opened = spread_join(lines.select("id", F.explode(heads).alias("line")), shared.select("line"), ["line"], "id").groupBy("line").agg(F.count("*").alias("more"))
     kept = shared.join(opened, "line", "left").filter(F.coalesce("more", F.lit(0)) <= 0.2 * F.col("n"))
