@@ -87,45 +87,52 @@ def _char(c: str) -> int:
     return 10 if c.isdigit() else 11 if c.isalpha() else 12
 
 
+#: Words that no name holds; months and other words that are names as well aren't among them.
+_NOT_NAMES = (_ORG | _POST | _TOPIC) - set("april may june august march ray great go rust triton german english french mar jan jun jul".split())
+
+_FRONT, _HEAD = re.compile(r"^\W+|\W+$"), re.compile(r"\d\D{0,3}\d\D{0,3}\d\D{0,3}\d\D{0,3}\d")
+_MAYBE_AT, _MAYBE_HOUSE = re.compile(r"@|[\[({ ](?:at|a)[\])} ]", re.I), re.compile(rf"\d[A-Za-z]? [{_UPPER}]|\. \d|\w \d")
+_INITIAL, _GROUPS, _LETTERS, _SEPS = re.compile(rf"\b[{_UPPER}]\."), re.compile(r"\d+"), re.compile(r"[^\W\d_][\w’'.\-]*"), re.compile(r"(?<=\d)\D(?=\d)")
+_WORD_AT, _TIGHT, _BRACKET, _THEN, _BEFORE = re.compile(r"\bat\b|\ba\b", re.I), re.compile(r"\S@\S"), re.compile(r"[\[({]"), re.compile(r",? ?[A-Z][a-z]"), re.compile(r"[A-Z][\w.]* $")
+
+
 def candidates(text: str) -> list[tuple[str, int, int, tuple]]:
     """(kind, start, end, features) of every proposed span, from 0."""
     out: list[tuple[str, int, int, tuple]] = []
     at, section = 0, 1
-    lines = text.split("\n")
-    for number, line in enumerate(lines):
-        bare = re.sub(r"^\W+|\W+$", "", line).lower()
-        if line and len(bare) < 30 and line.strip().isupper():
-            section = next((_SECTIONS[w] for w in bare.split() if w in _SECTIONS), section)
-        if len(line) > 1:
-            spans: dict[tuple[str, int, int], int] = {}
+    for number, line in enumerate(text.split("\n")):
+        if len(line) < 40 and line.isupper():
+            section = next((_SECTIONS[w] for w in _FRONT.sub("", line).lower().split() if w in _SECTIONS), section)
+        spans: dict[tuple[str, int, int], int] = {}
+        if _MAYBE_AT.search(line):
             for m in _EMAIL.finditer(line):
                 spans["email", m.start(), m.end()] = 1
+        if _HEAD.search(line):
             for m in _DIGITS.finditer(line):
-                n = sum(c.isdigit() for c in m.group())
-                if 7 <= n <= 15:
+                if 7 <= sum(map(str.isdigit, m.group())) <= 15:
                     spans["phone", m.start(), m.end()] = 2
                     spans["id", m.start(), m.end()] = 3
             for m in _CODE.finditer(line):
                 spans["id", m.start(), m.end()] = 4
+        if _MAYBE_HOUSE.search(line):
             for g, pattern in ((5, _HOUSE), (6, _STREET)):
                 for m in pattern.finditer(line):
                     spans["address", m.start(), m.end()] = g
-            words = list(_WORD.finditer(line))
-            for i, m in enumerate(words):
-                for size in (2, 3):
-                    part = words[i : i + size]
-                    if len(part) < size or any(not re.fullmatch(r" |, ", line[a.end() : b.start()]) for a, b in zip(part, part[1:])):
-                        break
-                    gaps = [line[a.end() : b.start()] for a, b in zip(part, part[1:])]
-                    if gaps[1:] == [", "] or gaps == [", ", ", "] or part[-1].group().endswith(".") and len(part[-1].group()) == 2 and gaps[0] == " ":
-                        continue
-                    if m.group().lower().strip(".") in _TITLES:
-                        break
-                    spans["name", m.start(), part[-1].end()] = 7 + (size == 3) + 2 * (gaps[0] == ", ")
-            if spans:
-                extra = (min(number, 9), section, int("@" in line) + 2 * int("://" in line or ".example/" in line or "/in/" in line), int(bool(_RANGE.search(line))), min(len(line) // 12, 31))
-                for (kind, a, b), g in spans.items():
-                    out.append((kind, at + a, at + b, _features(line, a, b, g, extra)))
+        words = [(m.start(), m.end(), w) for m in _WORD.finditer(line) if (w := m.group().lower().strip(".")) not in _NOT_NAMES]
+        for i in range(len(words) - 1):
+            start, end, low = words[i]
+            gap = line[end : words[i + 1][0]]
+            if low in _TITLES or gap not in (" ", ", "):
+                continue
+            end = words[i + 1][1]
+            if gap == ", " or not (end - words[i + 1][0] == 2 and line[end - 1] == "."):
+                spans["name", start, end] = 7 + 2 * (gap == ", ")
+            if i + 2 < len(words) and line[end : words[i + 2][0]] == " ":
+                spans["name", start, words[i + 2][1]] = 8 + 2 * (gap == ", ")
+        if spans:
+            extra = (min(number, 9), section, int("@" in line) + 2 * int("://" in line or ".example/" in line or "/in/" in line), int(bool(_RANGE.search(line))), min(len(line) // 12, 31))
+            for (kind, a, b), g in spans.items():
+                out.append((kind, at + a, at + b, _features(line, a, b, g, extra)))
         at += len(line) + 1
     return out
 
@@ -134,21 +141,21 @@ def _features(line: str, a: int, b: int, generator: int, extra: tuple) -> tuple:
     own, left, right = line[a:b], line[max(0, a - 40) : a], line[b : b + 30]
     before, after = _LEFT.findall(left), _LEFT.findall(right)
     words = [w for w in before if w[0].isalnum()]
-    groups = re.findall(r"\d+", own)
-    toks = re.findall(r"[^\W\d_][\w’'.\-]*", own)
-    seps = {c for c in re.findall(r"(?<=\d)\D(?=\d)", own)}
+    groups, toks = _GROUPS.findall(own), _LETTERS.findall(own)
+    sizes = [len(g) for g in groups] or [0]
+    seps = set(_SEPS.findall(own)) if groups else ()
     low = [t.lower().strip(".") for t in toks]
     return (
-        generator, min(len(own), 31), min(sum(len(g) for g in groups), 31), min(len(groups), 9), min(len(toks), 9),
+        generator, min(len(own), 31), min(sum(sizes), 31), min(len(groups), 9), min(len(toks), 9),
         (5 if own[0] == "+" else 4 if own[0] == "(" else 3 if own[0].isdigit() else 2 if own[0].islower() else 1),
         _cue(words[-1] if words else ""), _cue(words[-2] if len(words) > 1 else ""), _cue(before[-1] if before else ""), _char(left[-1:]), _char(left[-2:-1]), _char(right[:1]), _char(right[1:2]),
         _cue(next((w for w in after if w[0].isalnum()), "")), *extra, min(10 * len(own) // max(1, len(line)), 10),
-        int(own.isupper()), int(bool(re.search(rf"\b[{_UPPER}]\.", own))), int(", " in own), sum(t in _ORG for t in low), sum(t in _POST for t in low), sum(t in _TOPIC for t in low),
-        min(max((len(g) for g in groups), default=0), 15), min(len(groups[0]) if groups else 0, 15), min(len(groups[-1]) if groups else 0, 15),
+        int(own.isupper()), int(bool(_INITIAL.search(own))), int(", " in own), sum(t in _ORG for t in low), sum(t in _POST for t in low), sum(t in _TOPIC for t in low),
+        min(max(sizes), 15), min(sizes[0], 15), min(sizes[-1], 15),
         (0 if not seps else 1 if seps == {" "} else 2 if seps == {"."} else 3 if seps == {"-"} else 4),
         int(bool(toks) and len(toks[-1]) == 2 and toks[-1].isupper()), min(len(toks[0]) if toks else 0, 15), min(len(toks[-1]) if toks else 0, 15),
-        (0 if "@" not in own and not re.search(r"(?i)\bat\b|\ba\b", own) else 1 if re.search(r"\S@\S", own) else 2 if "@" in own else 3 if re.search(r"[\[({]", own) else 4),
-        int(bool(re.match(r",? ?[A-Z][a-z]", right))), int(bool(re.search(r"[A-Z][\w.]* $", left))), min(len(words), 9),
+        (0 if "@" not in own and not _WORD_AT.search(own) else 1 if _TIGHT.search(own) else 2 if "@" in own else 3 if _BRACKET.search(own) else 4),
+        int(bool(_THEN.match(right))), int(bool(_BEFORE.search(left))), min(len(words), 9),
     )
 
 
@@ -160,6 +167,7 @@ _PLACE = "field ford haven bury mere wick stead dale bridge port".split()
 _STREETS = "Oak Maple Cedar Mill Church Station King’s Queen's Park River Hill Orchard Bishop Harbour Chapel Willow Copper Old New North South West Half Moon Stone Bell Cross".split()
 _WORDS = "pipeline store service agent console model registry harness layer workflow search chatbot reader assistant review queue latency audit launch budget report".split()
 _TEAMS = "the legal team;the support desk;the risk committee;the field engineers;the data group;the policy team;the partner banks;the on-call rota;the finance office".split(";")
+_TRADES = "Dance Teacher,Bus Driver,Tax Adviser,Forest Ranger,Chef de Partie,Swim Coach,Opera Singer,Truck Mechanic,School Nurse,Piano Tuner,Bank Clerk,Harbour Pilot,Ski Guide,Shop Assistant,Film Editor,Sabbatical Leave,See Below,Retail Buyer,Bee Keeper,Family Time,Church Organist,Call Centre Agent,Travel Agent,Zoo Keeper,Wine Maker".split(",")
 _TECH = "Python Java Rust SQL Kafka Spark Redis Docker Kubernetes Airflow Snowflake Terraform Grafana Postgres PyTorch Triton GraphQL Linux Go Ray".split()
 
 
@@ -252,7 +260,13 @@ class _Maker:
     def post(self) -> str:
         r = self.r
         t = r.choice("Data,ML,Software,Site Reliability,Machine Learning,Backend,Full Stack,Research,Product,Security,Search,Network,Forward Deployed".split(",")) + " " + r.choice("Engineer Scientist Analyst Manager Architect Developer Designer".split())
-        t = r.choice(("", "", "Senior ", "Lead ", "Junior ", "Staff ", "Sr. ", "Principal ")) + t
+        if r.random() < 0.3:  # what a list of occupations doesn't have
+            t = r.choice(_TRADES)
+        elif r.random() < 0.15:  # mistyped
+            i = r.randrange(1, len(t) - 1)
+            t = t[:i] + r.choice((t[i] * 2, t[i + 1] + t[i], "")) + t[i + 1 :]
+        t = r.choice(("", "", "", "Senior ", "Lead ", "Junior ", "Staff ", "Sr. ", "Principal ")) + t
+        t = r.choice((t, t, t, t, t.upper(), t.replace(" ", "-", 1), " ".join(reversed(t.split(" ", 1))).replace(" ", ", ", 1)))
         return t + r.choice(("", "", "", ", " + self.place(), " (Senior)", " – hybrid"))
 
     def bullet(self) -> list:
@@ -299,7 +313,7 @@ class _Maker:
         mark = r.choice(("• ", "- ", "* ", "o ", "1) ", "▪ ", "(cid:127) "))
         for _ in range(r.randrange(1, 4)):
             y = r.randrange(2002, 2024)
-            dates = r.choice((f"0{r.randrange(1, 9)}/{y} - 1{r.randrange(0, 3)}/{y + 1}", f"Jan {y} to Mar {y + 2}", f"Sep. {y} – present"))
+            dates = r.choice((f"0{r.randrange(1, 9)}/{y} - 1{r.randrange(0, 3)}/{y + 1}", f"Jan {y} to Mar {y + 2}", f"Sep. {y} – present", f"Sep. {y} – present", ""))
             self.add(self.post(), ", ", self.company(), "    ", dates, "\n")
             for _ in range(r.randrange(1, 5)):
                 self.add(mark, *self.bullet(), "\n")
