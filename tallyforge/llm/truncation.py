@@ -11,13 +11,20 @@ Evidence, all of it counted over the whole corpus, the last token of each text l
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.session import cut, spread_join
+from tallyforge.session import BROADCAST_BYTES, bytes_of, cut, spread_join
 
 #: A word, a number with its per cent sign, or the end of a sentence or line.
-TOKENS = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+(?:['’\-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*+)*+%?|[.!?…]++(?=[\s\"”’)]|$)|\n++"
+TOKENS = r"[\p{L}\p{N}]++(?:['’\-][\p{L}\p{N}]++)*+%?|[.!?…]++(?=[\s\"”’)]|$)|\n++"
+#: The same for Python.
+PY_TOKENS = r"[^\W_]+(?:['’\-][^\W_]+)*%?|[.!?…]+(?=[\s\"”’)]|$)|\n+"
 END = r"^[.!?…\n]"
 OPEN_END = r"[,;:(\[{“„«\-–—/&•▪*]$"
 ENTITY_END = r"&#?\w{0,6}$"
@@ -52,36 +59,29 @@ def truncation_evidence(df: DataFrame, key: str, source: str, text: str, min_kno
     is trusted; `min_peak`, `peak`: texts at a length, at least and as a multiple of those at the lengths near it.
     """
     docs = _prepared(df, key, source, text)
-    toks = _tokens("t")
     tail_line = F.array_join(_tokens(F.substring_index("t", "\n", -1)), " ")
     finals = docs.select("id", "src", "chars", "octets", "broken", "dots", "entity", F.right("t", F.lit(1)).alias("last"), tail_line.alias("line"), _last_three().alias("w"))
     finals = cut(finals)
 
     # Contexts wanted: those of texts that end in a word.
     asked = finals.filter(F.col("last").rlike(WORD_END)).select(
-        F.element_at("w", -1).alias("w1"),
+        F.try_element_at("w", F.lit(-1)).alias("w1"),
         F.when(F.size("w") >= 2, F.concat_ws(" ", F.slice("w", -2, 2))).alias("w2"),
         F.when(F.size("w") >= 3, F.concat_ws(" ", "w")).alias("w3"),
     )
     grams = asked.select(F.explode(F.array_compact(F.array("w2", "w3"))).alias("g")).distinct()
 
-    # One pass over all tokens: each word that is followed by something, with the two before it in its sentence.
-    stream = docs.select("id", toks.alias("k"))
-    at = F.sequence(F.lit(0), F.size("k") - 2)
-    entry = lambda i: F.struct(
-        F.get("k", i).alias("w"),
-        F.when(i >= 1, F.concat_ws(" ", F.get("k", i - 1), F.get("k", i))).alias("w2"),
-        F.when(i >= 2, F.concat_ws(" ", F.get("k", i - 2), F.get("k", i - 1), F.get("k", i))).alias("w3"),
-        F.get("k", i + 1).rlike(END).cast("int").alias("e"),
-    )
-    steps = stream.filter(F.size("k") >= 2).select("id", F.explode(F.transform(at, entry)).alias("x")).select("id", "x.*").filter(~F.col("w").rlike(END))
-    vocabulary = cut(steps.groupBy("w").agg(F.count("*").alias("n"), F.sum("e").alias("ends")).filter(F.col("n") >= min_known))
-    pairs = steps.select("id", F.explode(F.array_compact(F.array("w2", "w3"))).alias("g"), "e")
-    contexts = spread_join(pairs, grams, ["g"], "id").groupBy("g").agg(F.count("*").alias("n"), F.sum("e").alias("ends"))
-    contexts = cut(contexts.filter(F.col("n") >= min_seen))
+    # One pass over all tokens: how often each word, and each context wanted, is followed by anything, and by an end.
+    grams = cut(grams)
+    small = bytes_of(grams) <= BROADCAST_BYTES
+    counts = _counted(docs.select("t"), [r["g"] for r in grams.toLocalIterator()] if small else [])
+    counts = cut(counts.groupBy("words", "g").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
+    vocabulary = counts.filter((F.col("words") == 1) & (F.col("n") >= min_known)).select(F.col("g").alias("w"), "n", "ends")
+    contexts = counts.filter("words > 1").select("g", "n", "ends") if small else _contexts(docs, grams)
+    contexts = contexts.filter(F.col("n") >= min_seen)
 
     # The trie's nodes under unknown final tokens.
-    unknown = finals.filter(F.col("last").rlike(WORD_END)).select(F.element_at("w", -1).alias("w")).distinct().join(vocabulary.select("w"), "w", "left_anti")
+    unknown = finals.filter(F.col("last").rlike(WORD_END)).select(F.try_element_at("w", F.lit(-1)).alias("w")).distinct().join(vocabulary.select("w"), "w", "left_anti")
     stems = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), F.lit(1), i))
     nodes = vocabulary.filter(F.length("w") > 1).select(F.explode(stems).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("below"))
     stubs = unknown.join(nodes, "w", "left_semi").select("w", F.lit(True).alias("stub"))
@@ -91,7 +91,7 @@ def truncation_evidence(df: DataFrame, key: str, source: str, text: str, min_kno
     octet_peaks = _peaks(finals, "octets", min_peak, peak).withColumnRenamed("peak", "octet_peak")
     closings = _closings(docs, finals, closing_docs)
 
-    x = finals.withColumns({"w1": F.element_at("w", -1), "w2": F.when(F.size("w") >= 2, F.concat_ws(" ", F.slice("w", -2, 2))), "w3": F.when(F.size("w") >= 3, F.concat_ws(" ", "w"))})
+    x = finals.withColumns({"w1": F.try_element_at("w", F.lit(-1)), "w2": F.when(F.size("w") >= 2, F.concat_ws(" ", F.slice("w", -2, 2))), "w3": F.when(F.size("w") >= 3, F.concat_ws(" ", "w"))})
     x = spread_join(x, known.select(F.col("w").alias("w1"), F.col("n").alias("n1"), F.col("ends").alias("e1"), "below"), ["w1"], "id", "left")
     for k in ("2", "3"):
         x = spread_join(x, contexts.select(F.col("g").alias("w" + k), F.col("n").alias("n" + k), F.col("ends").alias("e" + k)), ["w" + k], "id", "left")
@@ -120,6 +120,64 @@ def truncation_evidence(df: DataFrame, key: str, source: str, text: str, min_kno
     return out.select(key, source, "chars", F.col("reason").isNotNull().alias("is_cut"), "reason")
 
 
+def _counted(texts: DataFrame, wanted: list[str]) -> DataFrame:
+    """Rows (words, g, n, ends), partial counts a task: of every word, and of the contexts of two or three in `wanted`
+    (a list of measured size). A task's table is emptied whenever it holds half a million entries."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+    token, digits, stops = re.compile(PY_TOKENS), re.compile(r"\d+"), frozenset(".!?…\n")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs: dict[str, dict[str, str]] = {}
+        triples: dict[str, dict[tuple[str, str], str]] = {}
+        for g in sent.value:
+            ws = g.split(" ")
+            if len(ws) == 2:
+                pairs.setdefault(ws[1], {})[ws[0]] = g
+            elif len(ws) == 3:
+                triples.setdefault(ws[2], {})[ws[0], ws[1]] = g
+        lasts = pairs.keys() | triples.keys()
+        n: list[Counter] = [Counter(), Counter(), Counter()]
+        ends: list[Counter] = [Counter(), Counter(), Counter()]
+
+        def out():
+            for k in range(3):
+                if n[k]:
+                    yield pd.DataFrame({"words": k + 1, "g": list(n[k]), "n": list(n[k].values()), "ends": [ends[k][g] for g in n[k]]}).astype({"words": "int32", "n": "int64", "ends": "int64"})
+                n[k].clear()
+                ends[k].clear()
+
+        for b in batches:
+            for text in b["t"]:
+                toks = token.findall(digits.sub("0", text.lower()))
+                if len(toks) < 2:
+                    continue
+                body = toks[:-1]
+                n[0].update(w for w in body if w[0] not in stops)
+                ends[0].update(w for w, after in zip(toks, toks[1:]) if after[0] in stops and w[0] not in stops)
+                for i in [i for i, w in enumerate(body) if w in lasts and i]:
+                    w, end = body[i], toks[i + 1][0] in stops
+                    found = (pairs.get(w, {}).get(body[i - 1]), triples.get(w, {}).get((body[i - 2], body[i - 1])) if i > 1 else None)
+                    for k, g in enumerate(found, 1):
+                        if g is not None:
+                            n[k][g] += 1
+                            ends[k][g] += end
+            if sum(map(len, n)) > 500_000:
+                yield from out()
+        yield from out()
+
+    return texts.mapInPandas(scan, "words int, g string, n long, ends long")
+
+
+def _contexts(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """The same counts of more contexts than can be sent around: joined, on salted keys."""
+    toks = _tokens("t")
+    at = F.sequence(F.lit(1), F.size("k") - 2)
+    entry = lambda i: F.struct(F.array(F.array_join(F.slice("k", i, 2), " "), F.when(i >= 2, F.array_join(F.slice("k", i - 1, 3), " "))).alias("g"), F.get("k", i).alias("w"), F.get("k", i + 1).rlike(END).cast("int").alias("e"))
+    steps = docs.select("id", toks.alias("k")).filter(F.size("k") >= 3).select("id", F.explode(F.transform(at, entry)).alias("x")).filter(~F.col("x.w").rlike(END))
+    pairs = steps.select("id", F.explode(F.array_compact("x.g")).alias("g"), F.col("x.e").alias("e"))
+    return cut(spread_join(pairs, grams, ["g"], "id", limit=0).groupBy("g").agg(F.count("*").alias("n"), F.sum("e").alias("ends")))
+
+
 def _last_three():
     """The last three tokens of t's final sentence."""
     words = _tokens(F.substring_index("t", " ", -9))
