@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as T
 from tallyforge.operators import segments
 from tallyforge.operators.intervals import latest_rows
+from tallyforge.operators.roles import parsed_roles
 from tallyforge.sources.tables import table
 
 SECTIONS = {"summary": "summary", "profile": "summary", "experience": "experience", "work experience": "experience", "employment": "experience", "skills": "skills", "education": "education", "references": "references", "personal": "personal", "personal details": "personal"}
@@ -187,10 +188,15 @@ def posting_labels(spark: SparkSession, folder: str) -> DataFrame:
     return posts.select("posting_id", *(F.regexp_extract("raw_text", rf"(?im)^[ \t]*{x}[ \t]*:[ \t]*([^\n]*)", 1).alias(x) for x in ("level", "team", "location", "contract")))
 
 
+def seg_roles_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Roles read off the experience section of each résumé."""
+    return parsed_roles(_resumes(spark, folder), "resume_id", "text").withColumn("bullets", F.size("bullets"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_documents_lines, norm_whitespace_lower, filter_unreadable, contact_first_match, glyph_normalise, exotic_bullets, section_lines, section_missing, bullet_locators,
+        seg_roles_parsed, scan_documents_lines, norm_whitespace_lower, filter_unreadable, contact_first_match, glyph_normalise, exotic_bullets, section_lines, section_missing, bullet_locators,
         rule_long_bullet, rule_quantified_share, rule_rhythm, rule_synonym_cycling, rule_over_repetition, rule_duplicate_bullet_first_match, text_named_tokens, text_quantities,
         text_portability, rule_pattern_hits, text_truncated_messages, text_rule_slugs, posting_buckets, posting_bullets_rejoined, posting_labels,
     )
