@@ -38,7 +38,7 @@ def _tokens(column):
 
 
 def _prepared(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    rows = df.select(F.col(key).alias("id"), F.col(source).alias("src"), F.col(text).alias("t")).filter(F.col("t").isNotNull()).distinct()
+    rows = df.select(F.col(key).alias("id"), F.col(source).alias("src"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
     bare = F.rtrim(F.col("t"), F.lit(BLANKS))
     rows = rows.select("id", "src", F.length("t").alias("chars"), F.octet_length("t").alias("octets"), bare.alias("t"))
     dots = F.endswith("t", F.lit("…")) | F.endswith("t", F.lit("..."))
@@ -48,7 +48,8 @@ def _prepared(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
 
 
 def truncation_evidence(df: DataFrame, key: str, source: str, text: str, min_known: int = 2, min_seen: int = 3, min_peak: int = 8, peak: float = 10.0, closing_docs: int = 3) -> DataFrame:
-    """Rows (key, source, chars, is_cut, reason), one per distinct text.
+    """Rows (key, source, chars, is_cut, reason), one per distinct row. The texts themselves are never shuffled, so the
+    counts of words and contexts take a repeated row as often as it stands.
 
     `reason`: 'character' (ends in the replacement character), 'open' (ends in a comma, dash, opening bracket, bullet
     or part of a character reference), 'prefix' (trie: no known word but the start of one, or in a context never seen
@@ -61,7 +62,7 @@ def truncation_evidence(df: DataFrame, key: str, source: str, text: str, min_kno
     docs = _prepared(df, key, source, text)
     tail_line = F.array_join(_tokens(F.substring_index("t", "\n", -1)), " ")
     finals = docs.select("id", "src", "chars", "octets", "broken", "dots", "entity", F.right("t", F.lit(1)).alias("last"), tail_line.alias("line"), _last_three().alias("w"))
-    finals = cut(finals)
+    finals = cut(finals.distinct())
 
     # Contexts wanted: those of texts that end in a word.
     asked = finals.filter(F.col("last").rlike(WORD_END)).select(
@@ -140,6 +141,8 @@ def _counted(texts: DataFrame, wanted: list[str]) -> DataFrame:
         ends: list[Counter] = [Counter(), Counter(), Counter()]
 
         def out():
+            for w in [w for w in n[0] if w[0] in stops]:
+                del n[0][w]
             for k in range(3):
                 if n[k]:
                     yield pd.DataFrame({"words": k + 1, "g": list(n[k]), "n": list(n[k].values()), "ends": [ends[k][g] for g in n[k]]}).astype({"words": "int32", "n": "int64", "ends": "int64"})
@@ -152,8 +155,8 @@ def _counted(texts: DataFrame, wanted: list[str]) -> DataFrame:
                 if len(toks) < 2:
                     continue
                 body = toks[:-1]
-                n[0].update(w for w in body if w[0] not in stops)
-                ends[0].update(w for w, after in zip(toks, toks[1:]) if after[0] in stops and w[0] not in stops)
+                n[0].update(body)
+                ends[0].update([toks[i] for i, w in enumerate(toks[1:]) if w[0] in stops])
                 for i in [i for i, w in enumerate(body) if w in lasts and i]:
                     w, end = body[i], toks[i + 1][0] in stops
                     found = (pairs.get(w, {}).get(body[i - 1]), triples.get(w, {}).get((body[i - 2], body[i - 1])) if i > 1 else None)
