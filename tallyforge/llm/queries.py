@@ -155,5 +155,17 @@ WITH rows_ AS (
 SELECT DISTINCT i.posting_id, CAST(i.line_no AS INTEGER) AS line_no
 FROM ids i JOIN often o ON i.src = o.src AND i.id = o.id JOIN sizes s ON i.src = s.src
 WHERE o.docs >= 5 AND o.docs >= s.n * 0.2
+""",
+    "p9_found": r"""
+WITH texts AS (
+  SELECT 'd' AS t, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM eval_items
+), words AS (
+  SELECT t, id, regexp_extract_all(lower(regexp_replace(text, '([\pL\pN])[-‐‑\x{ad}][ \t]*\r?\n\s*([\pL\pN])', '\1\2', 'g')), '[\pL\pN]+') AS w FROM texts WHERE text IS NOT NULL
+), places AS (
+  SELECT t, id, w, unnest(generate_series(1, len(w) - 9)) AS i FROM words WHERE len(w) >= 10
+), grams AS (
+  SELECT DISTINCT t, id, array_to_string(w[i:i + 9], ' ') AS g FROM places
+)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i ON d.g = i.g WHERE d.t = 'd' AND i.t = 'i'
 """,
 }
