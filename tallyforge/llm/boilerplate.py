@@ -92,9 +92,9 @@ def _runs(block: int):
 
 
 def documents_with_ids(df: DataFrame, key: str, source: str, text: str, min_chars: int = 30) -> DataFrame:
-    """Cut table (id, src, ids): one row per distinct document text; documents without source are left out."""
-    rows = df.select(F.col(key).alias("id"), source_key(source).alias("src"), F.col(text).alias("text")).filter(F.col("src") != "").distinct()
-    return cut(rows.select("id", "src", line_ids("text", min_chars).alias("ids")))
+    """Cut table (id, src, ids), equal rows once, so that texts aren't shuffled; documents without source are left out."""
+    rows = df.select(F.col(key).alias("id"), source_key(source).alias("src"), F.col(text).alias("text")).filter(F.col("src") != "")
+    return cut(rows.select("id", "src", line_ids("text", min_chars).alias("ids")).distinct())
 
 
 def repeated_blocks(docs: DataFrame, min_docs: int = 5, min_share: float = 0.2, block: int = BLOCK) -> DataFrame:

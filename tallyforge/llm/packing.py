@@ -23,7 +23,7 @@ LOT = 100_000
 
 
 def token_counts(df: DataFrame, key: str, text: str, ranks: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", pattern: str | None = None) -> DataFrame:
-    """Rows (key, n_tokens), one per distinct row: tokens of a byte-level BPE whose rank file is at `ranks` on every
+    """Rows (key, n_tokens), equal ones once: tokens of a byte-level BPE whose rank file is at `ranks` on every
     executor (or under a shared folder). `pattern` splits words; by default the usual one of that vocabulary. Null
     and empty texts have no tokens. Texts are counted whole; strings that look like special tokens are plain text."""
     pat = pattern or r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -36,8 +36,8 @@ def token_counts(df: DataFrame, key: str, text: str, ranks: str = "/opt/tokenize
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "n_tokens": [len(bpe.encode_ordinary(t)) if t else 0 for t in b["t"]]})
 
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).distinct()
-    return rows.mapInPandas(count, "k long, n_tokens long").select(F.col("k").alias(key), "n_tokens")
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    return rows.mapInPandas(count, "k long, n_tokens long").distinct().select(F.col("k").alias(key), "n_tokens")
 
 
 class BestFit:

@@ -72,7 +72,7 @@ def p6_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _votes(spark: SparkSession, folder: str) -> DataFrame:
-    replies = table(spark, folder, "judgments", "judgment_id", "resume_id", "provider", "categories").distinct()
+    replies = table(spark, folder, "judgments", "judgment_id", "resume_id", "provider", "categories")  # answers are read once a reply
     answers = consensus.reply_answers(replies, ["judgment_id", "resume_id", "provider"], "categories")
     return consensus.votes_by_rater(answers, ["resume_id", "criterion_id"], "provider")
 
