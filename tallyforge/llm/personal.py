@@ -28,7 +28,9 @@ TRAIN_TEXTS, HELD_OUT_TEXTS = 2600, 900
 
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|a)\s?[\])}]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\sdot\s)"
-_EMAIL = re.compile(rf"(?<![\w.+\-@])[A-Za-z0-9][A-Za-z0-9.+_\-]*{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)+(?![\w@])", re.I)
+#: What stands for a full stop in the part before the sign; a plain one belongs to its words.
+_SPELLED = r"(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\sdot\s)"
+_EMAIL = re.compile(rf"(?<![\w.+\-@])[A-Za-z0-9][A-Za-z0-9.+_\-]*+(?:{_SPELLED}[A-Za-z0-9.+_\-]++)*+{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)+(?![\w@])", re.I)
 _DIGITS = re.compile(r"(?<![\w.+(@/#\-])\+?\(?\d+\)?(?:(?: ?\(0\) ?|[ .\-]|\) )\(?\d+\)?)*(?![\w@]|[.\-]\d)")
 _CODE = re.compile(r"(?<![\w./@+\-])(?=(?:[A-Z]*\d){5})[A-Z0-9]{6,20}(?![\w@/\-])|(?<![\w./@+\-])[A-Z]{2} \d\d \d\d \d\d [A-Z](?![\w@])")
 _UPPER = "A-ZÀ-ÖØ-Þ"
@@ -208,7 +210,8 @@ class _Maker:
         if x < 0.14:
             return ("email", f"{user}{r.choice(('(at)', '[at]', ' [at] ', ' (at) '))}{host}")
         if x < 0.22:
-            return ("email", f"{user}{r.choice((' at ', ' [at] '))}{host.replace('.', r.choice((' dot ', ' [dot] ')))}")
+            at, dot = r.choice((" at ", " [at] ", "[at]", " (at) ")), r.choice((" dot ", " [dot] "))
+            return ("email", f"{user.replace('.', dot) if r.random() < 0.6 else user}{at}{host.replace('.', dot)}")
         if x < 0.26:
             return ("email", f"{user} at {host}")
         out = f"{user}@{host}"

@@ -1,5 +1,7 @@
 """Personal details: held-out accuracy on made texts, placeholders, odd inputs."""
 
+import re
+
 import pytest
 
 from tallyforge.llm import personal as X
@@ -25,6 +27,24 @@ def test_places_and_placeholders(spark):
     assert clean[1].startswith("Ms [NAME]\n[EMAIL] | Tel [PHONE] | [ADDRESS]\n") and "4017-217-975" in clean[1] and clean[2] is None and clean[3] == "" and clean[4] == "nothing here"
 
 
+@pytest.mark.parametrize("address", ["emeka dot sorvello54 at post dot halvenreed dot example", "m dot falkstadt (at) fenwick-mail dot test", "ines dot ruvistadt[at]post dot halvenreed dot example", "ana [dot] m [dot] balberg [at] corfield [dot] org", "t.b dot heskholt at mail dot ostermark dot test"])
+def test_full_stops_spelled_out_before_the_sign(spark, address):
+    texts = [address, f"E-mail: {address}", f"Olga Balberg\n{address} | Tel (317) 555-0118 | Oakford, NY\n\nEXPERIENCE\n", f"• Call (317) 555-0118 or write {address} about the launch audit"]
+    for text, found in zip(texts, X.find_details(texts, X.models())):
+        assert [text[a:b] for kind, a, b in found if kind == "email"] == [address]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, t string")
+    assert [r.clean_text for r in X.redacted(df, "row_id", "t").sort("row_id").collect()][:2] == ["[EMAIL]", "E-mail: [EMAIL]"]
+
+
+def test_made_texts_spell_out_full_stops_before_the_sign():
+    made = [t[a:b] for t, spans in X.sample_texts(600, seed=11) for k, a, b in spans if k == "email"]
+    assert sum(bool(re.search(r" \[?dot\]? .*\bat\b", m)) for m in made) >= 5
+
+
+def test_long_line_of_spelled_full_stops():
+    assert X.find_details(["word dot " * 3000 + "@"], X.models()) == [[]]
+
+
 def test_empty_and_long(spark):
     df = spark.createDataFrame([(1, "• Mentored Boris Ferini, now on the risk committee\n" * 4000)], "k long, t string")
     assert X.personal_details(df.limit(0), "k", "t").count() == 0
