@@ -93,6 +93,37 @@ def test_twins(spark):
     assert got == {1: (1, 4), 2: (1, 4), 3: (1, 4), 12: (1, 4), 4: (4, 1), 5: (5, 1), 6: (6, 1), 7: (7, 1), 8: (8, 1), 9: (9, 1), 10: (10, 2), 11: (10, 2)}
 
 
+def twins_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    return [r.class_id for r in W.twin_classes(df, "k", "t").sort("k").collect()]
+
+
+LONG = {"Level": "senior or staff, whichever of the two suits you best", "Team": "support desk", "Location": "Oakford or Millhaven, with two days a week at home"}
+
+
+def long_posting(labels, body, sep="\n"):
+    return sep.join([f"{k}: {LONG[k]}" for k in labels] + body)
+
+
+def test_values_of_any_length(spark):
+    body = ["We look for people who have shipped things.", "You get time to do it well, and colleagues who help."]
+    lined = [long_posting(x, body) for x in (["Team", "Location", "Level"], ["Level", "Location", "Team"], ["Location", "Level", "Team"])]
+    assert twins_of(spark, lined) == [0, 0, 0]
+    flat = [long_posting(x, body, " ") for x in (["Team", "Location", "Level"], ["Level", "Team", "Location"])]
+    assert twins_of(spark, [lined[1], *flat]) == [0, 0, 0]
+    assert twins_of(spark, flat) == [0, 0]
+    half = [long_posting(["Location", "Team"], [f"Level: {LONG['Level']} {body[0]}", body[1]]), long_posting(["Level", "Team"], [f"Location: {LONG['Location']} {body[0]}", body[1]])]
+    assert twins_of(spark, half) == [0, 0] and twins_of(spark, [*half, lined[0]]) == [0, 0, 0]
+
+
+def test_what_moves_in_the_body_is_no_twin(spark):
+    heads, notes = ["Level: senior", "Team: support desk"], ["Kafka: four years of it or more, all in production", "Go: eight years"]
+    bodies = [["We look for people who have shipped things and more.", *notes], ["We look for people who have shipped things and more.", *notes[::-1]]]
+    lined, flat = ["\n".join(heads + b) for b in bodies], [" ".join(heads + b) for b in bodies]
+    names = ["Kafka: x\nGo: y\nother text"]
+    assert twins_of(spark, [*lined, *flat, *names]) == [0, 1, 0, 1, 4]
+
+
 def test_twins_of_empty_and_hot_groups(spark):
     df = spark.createDataFrame([], "k long, t string")
     assert W.twin_classes(df, "k", "t").count() == 0
