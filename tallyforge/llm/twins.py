@@ -32,18 +32,6 @@ _NAME = r"[^\W\d_](?:[^\W_]| ){0,30}?"
 _LABEL, _COLON, _OTHER = re.compile(rf"[\W_]*({_NAME})\s*:\s*\S"), re.compile(r"((?:[^\W_]|\s){1,40})\s*:"), re.compile(r"[\W_]+")
 
 
-def label_names(df: DataFrame, text: str, min_share: float = 0.01) -> list[str]:
-    """Names of labelled lines, learned from all records: what opens one of the leading lines of at least
-    `min_share` of the records. At most 1 / min_share times the leading lines a record can be such names."""
-    head = F.regexp_extract(F.lower(text), r"^(?:\s*[^\p{L}\p{N}\n]*\p{L}[\p{L}\p{N} ]{0,30}?[^\S\n]*:[^\S\n]*\S[^\n]*(?:\n|$))*", 0)
-    name = lambda x: F.regexp_extract(x, r"^[^\p{L}\p{N}]*(\p{L}[\p{L}\p{N} ]{0,30}?)\s*:", 1)
-    leading = F.transform(F.split(head, "\n"), name)
-    names = df.filter(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.filter(leading, lambda x: x != ""))).alias("n"))
-    total = df.filter(F.col(text).isNotNull()).count()
-    rows = names.groupBy("n").count().filter(F.col("count") >= max(1, total * min_share)).collect()
-    return sorted((r["n"] for r in rows), key=lambda x: (-len(x), x))
-
-
 def _marks(m: re.Match) -> str:
     return "".join(c for c in m.group() if unicodedata.category(c)[0] == "M")
 
@@ -56,7 +44,7 @@ def _lower(text: str) -> str:
     return text.replace("\r", " ").replace("\xa0", " ").lower()
 
 
-def _tree(t: str, names: set[str] | None = None) -> tuple[list[str], list[str], str]:
+def _tree(t: str) -> tuple[list[str], list[str], str]:
     """(leaves, their names, body): the labelled lines that lead the text, each up to its line end."""
     leaves, found, at = [], [], 0
     while at < len(t):
@@ -66,11 +54,10 @@ def _tree(t: str, names: set[str] | None = None) -> tuple[list[str], list[str],
         leaf = _plain(line)
         if leaf:  # rules and empty lines belong to neither
             m = _LABEL.match(line)
-            name = " ".join(m[1].split()) if m else ""
-            if not m or (names is not None and name not in names):
+            if not m:
                 break
             leaves.append(leaf)
-            found.append(name)
+            found.append(" ".join(m[1].split()))
         at = end + 1
     return leaves, found, _plain(t[at:])
 
@@ -141,7 +128,7 @@ def _classes(b: pd.DataFrame) -> pd.DataFrame:
     """The forms of one bag, and the smallest id of each one's class."""
     texts = [_lower(t) for t in b["text"]]
     names = list(b["known"].iloc[0]) if b["known"].iloc[0] is not None else []
-    trees = [_tree(t, None) for t in texts]
+    trees = [_tree(t) for t in texts]
     plain, pieces = [_plain(t) for t in texts], [_pieces(t, names) for t in texts]
     offered = {leaf for leaves, _, body in trees if len(leaves) > 1 or body for leaf in leaves}
     group = list(range(len(b)))

@@ -124,6 +124,15 @@ def test_what_moves_in_the_body_is_no_twin(spark):
     assert twins_of(spark, [*lined, *flat, *names]) == [0, 1, 0, 1, 4]
 
 
+def test_rare_labels(spark):
+    rows = ["Level: x\nTeam: y\nText of number " + str(i) for i in range(400)]
+    body = "We look for people who have shipped things."
+    rare = [f"Guild: red\nLevel: senior\nTeam: desk\n{body}", f"Level: senior\nTeam: desk\nGuild: red\n{body}", f"Team: desk\nGuild: red\nLevel: senior\n{body}", f"Level: senior Guild: red Team: desk {body}"]
+    assert twins_of(spark, rows + rare)[400:] == [400] * 4
+    assert twins_of(spark, rows + rare[:1] + [rare[3]])[400:] == [400] * 2
+    assert twins_of(spark, rows + [rare[3], f"Guild: red Team: desk Level: senior {body}"])[400:] == [400] * 2
+
+
 def test_twins_of_empty_and_hot_groups(spark):
     df = spark.createDataFrame([], "k long, t string")
     assert W.twin_classes(df, "k", "t").count() == 0
