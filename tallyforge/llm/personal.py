@@ -1,15 +1,17 @@
 """Personal details in free text: found, and replaced by typed placeholders.
 
-High-recall generators propose overlapping spans of each kind. Boosted trees, one model a kind, judge a span by its own
-form and by its context; thresholds come from held-out rows; of overlapping spans the likelier, then longer, stays.
-The models are fitted on `TRAIN_TEXTS` labelled texts made by `sample_texts`, never on the texts to be searched.
+High-recall generators propose overlapping spans of each kind; no list of words keeps a span from being proposed. Boosted
+trees, one model a kind, judge a span by its own form and by its context; thresholds come from held-out rows; of
+overlapping spans the likelier, then longer, stays. The models are fitted on `TRAIN_TEXTS` labelled texts made by
+personal_samples, whose sentences are its own. Card and account numbers count as identity numbers and are proposed only
+if their check digits hold.
 """
 
 from __future__ import annotations
 
 import functools
-import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.boosting import BoostedTrees, best_threshold
+from tallyforge.llm.personal_samples import luhn, sample_texts
 
 KINDS = ("email", "phone", "id", "address", "name")
 
 #: Bound of the labelled sample the models are fitted on, and of the held-out rows for the thresholds.
-TRAIN_TEXTS, HELD_OUT_TEXTS = 2600, 900
+TRAIN_TEXTS, HELD_OUT_TEXTS = 6000, 1500
 
 # --- generators -----------------------------------------------------------------------------------------------------
 
@@ -31,36 +34,52 @@ _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\sdot\s)"
 #: What stands for a full stop in the part before the sign; a plain one belongs to its words.
 _SPELLED = r"(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\sdot\s)"
 _EMAIL = re.compile(rf"(?<![\w.+\-@])[A-Za-z0-9][A-Za-z0-9.+_\-]*+(?:{_SPELLED}[A-Za-z0-9.+_\-]++)*+{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)+(?![\w@])", re.I)
-_DIGITS = re.compile(r"(?<![\w.+(@/#\-])\+?\(?\d+\)?(?:(?: ?\(0\) ?|[ .\-]|\) )\(?\d+\)?)*(?![\w@]|[.\-]\d)")
+_DIGITS = re.compile(r"(?<![\w.+(@/#\-])\+?\(?\d+\)?(?:(?: ?\(0\) ?|[ .\-]|\) |/(?=\d))\(?\d+\)?)*(?![\w@]|[.\-]\d)")
 _CODE = re.compile(r"(?<![\w./@+\-])(?=(?:[A-Z]*\d){5})[A-Z0-9]{6,20}(?![\w@/\-])|(?<![\w./@+\-])[A-Z]{2} \d\d \d\d \d\d [A-Z](?![\w@])")
-_UPPER = "A-ZÀ-ÖØ-Þ"
+_CARD = re.compile(r"(?<![\w.+@/#\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?![\w@/\-])")
+_IBAN = re.compile(r"(?<![\w./@+\-])[A-Z]{2}\d\d(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![\w@/])")
+#: Capitals of the scripts that have them, and letters of those that don't.
+_UPPER = "A-Z" + "".join(c for c in map(chr, range(0xC0, 0x590)) if c.isupper())
+_CASELESS = "֐-ࣿऀ-๿ぁ-ヿ㐀-鿿가-힯"
 _TYPES = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Close|Way|Terrace|Ter|Boulevard|Blvd|Court|Ct|Square|Sq|Place|Pl|Crescent|Cres|Grove|Row|Parkway|Pkwy|Highway|Hwy|Walk|Mews)"
 _HOUSE = re.compile(rf"(?<![\w#./@\-])\d{{1,5}}[A-Za-z]? (?:[{_UPPER}][\w’'\-]* ){{1,4}}?{_TYPES}\b\.?(?:,? (?:#\d+|(?:Flat|Unit|Apt|Suite)\.? \d+\w?))?(?:, [{_UPPER}][\w’'\-]+(?:,? [A-Z]{{2}})?(?: \d{{5}})?)?")
 _STREET = re.compile(rf"(?<![\w/@.])(?:(?:[{_UPPER}][\w’'\-]+\s){{0,3}})[{_UPPER}][\w’'\-]*\.? \d{{1,4}}[a-zA-Z]?, \d{{4,5}} [{_UPPER}][\w’'\-]+|(?<![\w/@.])[{_UPPER}]\w*(?:straße|strasse|str\.|weg|allee|kamp|gasse|platz|ring|damm|ufer) \d{{1,4}}[a-zA-Z]?(?!\w)")
 _WORD = re.compile(rf"(?<![\w@/’'.+\-])[{_UPPER}](?:\.|[\w]*(?:[’'\-][{_UPPER}]?\w+)*)(?![\w@/])")
-_LEFT = re.compile(r"[\w’'\-@.+/#&]+|[^\w\s]")
+_UNCASED = re.compile(rf"(?<![\w@/])[{_CASELESS}]+(?: [{_CASELESS}]+){{0,2}}(?![\w@/])")
+#: Small words inside a name.
+_PARTICLE = re.compile(r"(?: (?:van|von|de|da|del|della|di|la|le|bin|ibn|der|den|ten|af|dos|al))+ ")
+_TOKEN = re.compile(r"[\w’'\-@.+/#&]+|[^\w\s]")
 
 # --- words that say something about their neighbours ------------------------------------------------------------------
 
 _CUES = {
-    1: "tel telephone phone mobile mob cell call fax m t p whatsapp",
-    2: "ssn passport ni nino insurance id card licence license national file identity permit visa social number no nr document",
-    3: "ticket order build release version loaded invoice issue case sku kept ref. port page room batch job commit",
-    4: "address home lives post resident residence based living pilot out",
-    5: "mentored reported name vitae cv quote ref reference contact referee supervisor supervised manager managed went covered emergency signed author",
+    1: "tel telephone phone mobile mob cell call ring fax m t p whatsapp",
+    2: "ssn passport ni nino insurance id card licence license national file identity permit visa social number no nr document iban account",
+    3: "ticket order build release version loaded invoice issue case sku kept port page room batch job commit parcel shipment serial bug isbn",
+    4: "address home lives live post resident residence based living deliver moved",
+    5: "mentored coached taught supervised supervisor managed manager reported name vitae cv resume résumé quote quoted ref reference references contact referee signed author interviewed met patient cc attn emergency kin covered present minutes",
     6: "mr ms mrs miss dr prof professor sir mx",
     7: "to from of with by at for and via on in under",
     8: "the a an our their this that these",
+    16: "dear hi hello hey",
+    17: "regards wishes sincerely yours cheers thanks greetings",
 }
 _CUE = {w: k for k, ws in _CUES.items() for w in ws.split()}
 _TITLES = set(_CUES[6].split())
-_ORG = set("labs lab claims logistics health partners retail energy robotics mutual service services bank group institute university college school inc ltd gmbh llc corp company systems technologies society council office desk foundation agency holdings insurance media software industries capital ventures consulting data".split())
-_POST = set("engineer engineering scientist manager analyst developer senior junior lead staff principal architect designer writer administrator specialist advocate consultant director head intern student engr eng mgr dev sr jr snr jnr prin princ bsc msc phd ba ma mba reliability site machine learning full stack forward deployed computer vision business product program platform security research applied frontend backend mobile cloud network embedded knowledge prompt evaluation annotation solutions database technical ux qa nlp ai devops career break owner volunteer".split())
-_TOPIC = set("python java go rust sql kafka spark ray redis docker kubernetes airflow snowflake terraform grafana postgres fastapi pytorch triton dbt elasticsearch typescript graphql grpc linux bash mlflow opentelemetry pandas lora rag oauth2 great expectations bayesian node.js ci cd etl tcp ip german english french languages skills tools methods stack summary experience education references personal details profile projects interests january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec monday tuesday wednesday thursday friday present current summary email phone address national insurance driving licence passport curriculum vitae".split())
+#: Cues after which one word alone is proposed as a name.
+_LONE = {5, 6, 16, 17}
+_ORG = set("labs lab claims logistics health partners retail energy robotics mutual service services bank group institute university college school inc ltd gmbh llc corp company systems technologies society council office desk foundation agency holdings insurance media software industries capital ventures consulting data foods airways motors telecom press publishing solutions works".split())
+_POST = set("engineer engineering scientist manager analyst developer senior junior lead staff principal architect designer writer administrator specialist advocate consultant director head intern student engr eng mgr dev sr jr snr jnr prin princ bsc msc phd ba ma mba reliability site machine learning full stack forward deployed computer vision business product program platform security research applied frontend backend mobile cloud network embedded knowledge prompt evaluation annotation solutions database technical ux qa nlp ai devops career break owner volunteer tester".split())
+_TOPIC = set("python java go rust sql kafka spark ray redis docker kubernetes airflow snowflake terraform grafana postgres fastapi pytorch triton dbt elasticsearch typescript graphql grpc linux bash mlflow opentelemetry pandas lora rag oauth2 bayesian node.js ci cd etl tcp ip german english french languages skills tools methods stack summary experience education references personal details profile projects interests january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec monday tuesday wednesday thursday friday present current summary email phone address national insurance driving licence passport curriculum vitae".split())
+#: Common given names of many countries; the made texts use some of these and as many that aren't here.
+_GIVEN = set("aaron adam ahmed aisha alan alex ali alice amir amy ana andrea andrew anna anne antonio arun asha ben bruno carl carla carlos carmen charles chen chloe clara claire dan daniel david diana dmitri elena eli elif elsa emil emily emma eric erik esther eva fatima felix fiona frank gabriel george grace greta hana hannah hans hassan helen henry hugo ian ibrahim igor ines ingrid irene isaac isabel ivan jack jacob jakob james jan jane jean jens joan joe john jon jonas jose joseph juan judith julia karen karl kate katya kevin kim kofi lars laura lee lena leo liam lily lin linda lucas lucia luis luke maja marco maria marie mark marta martin mary matteo maya mehmet mei michael miguel mina mohamed mona nadia nina noah nora olga oliver omar oscar otto pablo patricia paul pedro peter petra pia priya rachel rafael raj ravi rebecca rita rob robert rosa ruth sam samuel sara sarah sofia stefan steve sven tara theo thomas tom uma vera victor walter wei will yusuf zoe".split())
+#: Endings of words that are seldom names.
+_ENDS = {e: k for k, es in {1: "ing tion sion ment ness ity ance ence ics logy ware ship dom hood", 2: "ive ous ful able"}.items() for e in es.split()}
 _SECTIONS = {"summary": 2, "profile": 2, "experience": 3, "work": 3, "employment": 3, "projects": 3, "skills": 4, "languages": 4, "education": 5, "references": 6, "referees": 6, "personal": 7, "details": 7}
 _RANGE = re.compile(r"\b(?:19|20)\d\d\b.*(?:[-–—]|\bto\b).*(?:\b(?:19|20)\d\d\b|present|current|now)", re.I)
 
 
+@functools.lru_cache(maxsize=100_000)
 def _cue(w: str) -> int:
     if not w:
         return 0
@@ -69,7 +88,7 @@ def _cue(w: str) -> int:
         return _CUE[low]
     if low in _ORG:
         return 9
-    if low in _POST:
+    if low in _POST and w not in ("Ma", "Ba", "Dev"):  # names, unlike MA, BA and dev
         return 10
     if low in _TOPIC:
         return 11
@@ -80,22 +99,64 @@ def _cue(w: str) -> int:
     return 14 if w[0].isalpha() else 15
 
 
+@functools.lru_cache(maxsize=100_000)
+def _form(w: str) -> int:
+    """What a word's spelling says: 1 a common given name, 2 an initial, 3 or 4 an ending, else 0."""
+    low = w.lower().strip(".")
+    if low in _GIVEN:
+        return 1
+    if len(low) == 1:
+        return 2
+    found = next((_ENDS[low[-k:]] for k in (4, 3, 2) if len(low) > k + 2 and low[-k:] in _ENDS), 0)
+    return found + 2 if found else 0
+
+
+@functools.lru_cache(maxsize=10_000)
 def _char(c: str) -> int:
     if not c:
         return 0
-    for k, chars in enumerate((" \t ", ":", "-–—•▪|*·>", "/", ",;", ".", "()[]", "\"'“”’<"), 1):
+    for k, chars in enumerate((" \t\xa0", ":", "-–—•▪|*·>", "/", ",;", ".", "()[]", "\"'“”’<"), 1):
         if c in chars:
             return k
     return 10 if c.isdigit() else 11 if c.isalpha() else 12
 
 
-#: Words that no name holds; months and other words that are names as well aren't among them.
-_NOT_NAMES = (_ORG | _POST | _TOPIC) - set("april may june august march ray great go rust triton german english french mar jan jun jul".split())
-
 _FRONT, _HEAD = re.compile(r"^\W+|\W+$"), re.compile(r"\d\D{0,3}\d\D{0,3}\d\D{0,3}\d\D{0,3}\d")
 _MAYBE_AT, _MAYBE_HOUSE = re.compile(r"@|[\[({ ](?:at|a)[\])} ]", re.I), re.compile(rf"\d[A-Za-z]? [{_UPPER}]|\. \d|\w \d")
-_INITIAL, _GROUPS, _LETTERS, _SEPS = re.compile(rf"\b[{_UPPER}]\."), re.compile(r"\d+"), re.compile(r"[^\W\d_][\w’'.\-]*"), re.compile(r"(?<=\d)\D(?=\d)")
-_WORD_AT, _TIGHT, _BRACKET, _THEN, _BEFORE = re.compile(r"\bat\b|\ba\b", re.I), re.compile(r"\S@\S"), re.compile(r"[\[({]"), re.compile(r",? ?[A-Z][a-z]"), re.compile(r"[A-Z][\w.]* $")
+_INITIAL, _GROUPS, _LETTERS, _SEPS = re.compile(rf"(?<!\w)[{_UPPER}]\."), re.compile(r"\d+"), re.compile(r"[^\W\d_][\w’'.\-]*"), re.compile(r"(?<=\d)\D(?=\d)")
+_WORD_AT, _TIGHT, _BRACKET, _THEN, _BEFORE, _LINK = re.compile(r"\bat\b|\ba\b", re.I), re.compile(r"\S@\S"), re.compile(r"[\[({]"), re.compile(r",? ?[A-Z][a-z]"), re.compile(r"[A-Z][\w.]* $"), re.compile(r"://|www\.|\w\.[a-z]{2,}/\w")
+
+
+def iban_holds(code: str) -> bool:
+    """Whether the check digits of an account number hold."""
+    plain = code.replace(" ", "")
+    return len(plain) >= 15 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _name_spans(line: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, generator) of every run of two or three words that may be a name, and of one after a cue."""
+    words = [(m.start(), m.end()) for m in _WORD.finditer(line)]
+    for i, (start, end) in enumerate(words):
+        first = line[start:end].lower().strip(".")
+        if first in _TITLES:
+            continue
+        gap = line[end : words[i + 1][0]] if i + 1 < len(words) else ""
+        if gap in (" ", ", ") or (gap and _PARTICLE.fullmatch(gap)):
+            b = words[i + 1][1]
+            comma = 2 * (gap == ", ")
+            if comma or not (b - words[i + 1][0] == 2 and line[b - 1] == "."):
+                yield start, b, 7 + comma
+            if i + 2 < len(words):
+                gap = line[b : words[i + 2][0]]
+                if gap == " " or _PARTICLE.fullmatch(gap):
+                    yield start, words[i + 2][1], 8 + comma
+        if end - start > 1:
+            before = line[max(0, start - 24) : start].rstrip(" ,:\t")
+            if before and _cue(before.rsplit(" ", 1)[-1].lstrip("(\"“>")) in _LONE:
+                yield start, end, 11
+    if not line.isascii():
+        for m in _UNCASED.finditer(line):
+            yield m.start(), m.end(), 12
 
 
 def candidates(text: str) -> list[tuple[str, int, int, tuple]]:
@@ -116,275 +177,51 @@ def candidates(text: str) -> list[tuple[str, int, int, tuple]]:
                     spans["id", m.start(), m.end()] = 3
             for m in _CODE.finditer(line):
                 spans["id", m.start(), m.end()] = 4
+            for m in _CARD.finditer(line):
+                if luhn("".join(_GROUPS.findall(m.group()))):
+                    spans["id", m.start(), m.end()] = 13
+            for m in _IBAN.finditer(line):
+                if iban_holds(m.group()):
+                    spans["id", m.start(), m.end()] = 14
         if _MAYBE_HOUSE.search(line):
             for g, pattern in ((5, _HOUSE), (6, _STREET)):
                 for m in pattern.finditer(line):
                     spans["address", m.start(), m.end()] = g
-        words = [(m.start(), m.end(), w) for m in _WORD.finditer(line) if (w := m.group().lower().strip(".")) not in _NOT_NAMES]
-        for i in range(len(words) - 1):
-            start, end, low = words[i]
-            gap = line[end : words[i + 1][0]]
-            if low in _TITLES or gap not in (" ", ", "):
-                continue
-            end = words[i + 1][1]
-            if gap == ", " or not (end - words[i + 1][0] == 2 and line[end - 1] == "."):
-                spans["name", start, end] = 7 + 2 * (gap == ", ")
-            if i + 2 < len(words) and line[end : words[i + 2][0]] == " ":
-                spans["name", start, words[i + 2][1]] = 8 + 2 * (gap == ", ")
+        for a, b, g in _name_spans(line):
+            spans["name", a, b] = g
         if spans:
-            extra = (min(number, 9), section, int("@" in line) + 2 * int("://" in line or ".example/" in line or "/in/" in line), int(bool(_RANGE.search(line))), min(len(line) // 12, 31))
+            tokens = [(m.start(), m.end(), _cue(m.group()), m.group()[0].isalnum()) for m in _TOKEN.finditer(line)]
+            starts, ends = [t[0] for t in tokens], [t[1] for t in tokens]
+            extra = (min(number, 9), section, int("@" in line) + 2 * bool(_LINK.search(line)), int(bool(_RANGE.search(line))), min(len(line) // 12, 31))
             for (kind, a, b), g in spans.items():
-                out.append((kind, at + a, at + b, _features(line, a, b, g, extra)))
+                out.append((kind, at + a, at + b, _features(line, a, b, g, extra, tokens, starts, ends)))
         at += len(line) + 1
     return out
 
 
-def _features(line: str, a: int, b: int, generator: int, extra: tuple) -> tuple:
-    own, left, right = line[a:b], line[max(0, a - 40) : a], line[b : b + 30]
-    before, after = _LEFT.findall(left), _LEFT.findall(right)
-    words = [w for w in before if w[0].isalnum()]
-    groups, toks = _GROUPS.findall(own), _LETTERS.findall(own)
+def _features(line: str, a: int, b: int, generator: int, extra: tuple, tokens: list, starts: list, ends: list) -> tuple:
+    own, left, right = line[a:b], line[max(0, a - 24) : a], line[b : b + 4]
+    i, j = bisect_left(ends, a + 1), bisect_left(starts, b)  # the tokens before i end before the span, those from j follow it
+    before = tokens[max(0, i - 8) : i]
+    words = [t[2] for t in before if t[3]]
+    groups, toks = (_GROUPS.findall(own) if generator not in (7, 8, 9, 10, 11, 12) else []), _LETTERS.findall(own)
     sizes = [len(g) for g in groups] or [0]
     seps = set(_SEPS.findall(own)) if groups else ()
-    low = [t.lower().strip(".") for t in toks]
+    cues = [_cue(t) for t in toks]
     return (
         generator, min(len(own), 31), min(sum(sizes), 31), min(len(groups), 9), min(len(toks), 9),
         (5 if own[0] == "+" else 4 if own[0] == "(" else 3 if own[0].isdigit() else 2 if own[0].islower() else 1),
-        _cue(words[-1] if words else ""), _cue(words[-2] if len(words) > 1 else ""), _cue(before[-1] if before else ""), _char(left[-1:]), _char(left[-2:-1]), _char(right[:1]), _char(right[1:2]),
-        _cue(next((w for w in after if w[0].isalnum()), "")), *extra, min(10 * len(own) // max(1, len(line)), 10),
-        int(own.isupper()), int(bool(_INITIAL.search(own))), int(", " in own), sum(t in _ORG for t in low), sum(t in _POST for t in low), sum(t in _TOPIC for t in low),
+        words[-1] if words else 0, words[-2] if len(words) > 1 else 0, before[-1][2] if before else 0, _char(left[-1:]), _char(left[-2:-1]), _char(right[:1]), _char(right[1:2]),
+        next((t[2] for t in tokens[j : j + 6] if t[3]), 0), *extra, min(10 * len(own) // max(1, len(line)), 10),
+        int(own.isupper()), int(bool(_INITIAL.search(own))), int(", " in own), cues.count(9), cues.count(10), cues.count(11),
         min(max(sizes), 15), min(sizes[0], 15), min(sizes[-1], 15),
-        (0 if not seps else 1 if seps == {" "} else 2 if seps == {"."} else 3 if seps == {"-"} else 4),
+        (0 if not seps else 1 if seps == {" "} else 2 if seps == {"."} else 3 if seps == {"-"} else 4 if seps == {"/"} else 5),
         int(bool(toks) and len(toks[-1]) == 2 and toks[-1].isupper()), min(len(toks[0]) if toks else 0, 15), min(len(toks[-1]) if toks else 0, 15),
         (0 if "@" not in own and not _WORD_AT.search(own) else 1 if _TIGHT.search(own) else 2 if "@" in own else 3 if _BRACKET.search(own) else 4),
-        int(bool(_THEN.match(right))), int(bool(_BEFORE.search(left))), min(len(words), 9),
+        int(bool(_THEN.match(right))), int(bool(_BEFORE.search(left))), min(i, 9), cues[0] if cues else 0, cues[-1] if cues else 0, _form(toks[0]) if toks else 0, _form(toks[-1]) if toks else 0, words[-3] if len(words) > 2 else 0,
     )
 
 
-# --- labelled texts ---------------------------------------------------------------------------------------------------
-
-_GIVEN = "Anna Boris Celia Daniel Elena Felix Gloria Henrik Irene José Kamila Lars Maria Niklas Olga Pedro Quinn Rania Stefan Thea Ulrich Violeta Walid Xenia Yann Zelda Aïsha Björn Chloé Dmitri Éva Françoise Günther Håkon Inès Jürgen Søren Ayumi Kwame Ngozi Ravi Meera Omar Leila Tariq Priya Noah Emma Liam Ava".split()
-_ONSET, _MID, _END = "Bal Cor Dam Fer Gar Hol Jan Kel Lor Man Nor Ost Pal Rud San Tor Ul Val Wes Zan Bren Cal Drei Fros Gran Hess Kron Lind Mor Quar".split(), "a e i o u er an el in or".split(), "berg dahl ez ini ko lund mann nen ov quist rup sen son ström ti vic wald ya zen ard ini eau oni".split()
-_PLACE = "field ford haven bury mere wick stead dale bridge port".split()
-_STREETS = "Oak Maple Cedar Mill Church Station King’s Queen's Park River Hill Orchard Bishop Harbour Chapel Willow Copper Old New North South West Half Moon Stone Bell Cross".split()
-_WORDS = "pipeline store service agent console model registry harness layer workflow search chatbot reader assistant review queue latency audit launch budget report".split()
-_TEAMS = "the legal team;the support desk;the risk committee;the field engineers;the data group;the policy team;the partner banks;the on-call rota;the finance office".split(";")
-_TRADES = "Dance Teacher,Bus Driver,Tax Adviser,Forest Ranger,Chef de Partie,Swim Coach,Opera Singer,Truck Mechanic,School Nurse,Piano Tuner,Bank Clerk,Harbour Pilot,Ski Guide,Shop Assistant,Film Editor,Sabbatical Leave,See Below,Retail Buyer,Bee Keeper,Family Time,Church Organist,Call Centre Agent,Travel Agent,Zoo Keeper,Wine Maker".split(",")
-_TECH = "Python Java Rust SQL Kafka Spark Redis Docker Kubernetes Airflow Snowflake Terraform Grafana Postgres PyTorch Triton GraphQL Linux Go Ray".split()
-
-
-class _Maker:
-    """One labelled text: plain pieces and details, with the details' places."""
-
-    def __init__(self, rng: random.Random):
-        self.r, self.text, self.spans = rng, "", []
-        self.given, self.last = rng.choice(_GIVEN), self.surname()
-
-    def surname(self) -> str:
-        r = self.r
-        s = r.choice(_ONSET) + (r.choice(_MID) if r.random() < 0.5 else "") + r.choice(_END)
-        return s + ("-" + r.choice(_ONSET) + r.choice(_END) if r.random() < 0.06 else "")
-
-    def add(self, *parts) -> None:
-        for p in parts:
-            if isinstance(p, tuple):
-                self.spans.append((p[0], len(self.text), len(self.text) + len(p[1])))
-                p = p[1]
-            self.text += p
-
-    def name(self, given: str = "", last: str = "", style: float = -1.0):
-        r = self.r
-        g, s, x = given or r.choice(_GIVEN), last or self.surname(), r.random() if style < 0 else style
-        out = f"{g} {s}" if x < 0.55 else f"{g} {r.choice('ABCDEHKMT')}. {s}" if x < 0.65 else f"{g[0]}. {s}" if x < 0.76 else f"{s}, {g}" if x < 0.88 else f"{g} {s}".upper()
-        return ("name", out)
-
-    def email(self):
-        r = self.r
-        g, s = (re.sub(r"[^a-z]", "", w.lower().translate(str.maketrans("áéíóúïüöäåøçèñ", "aeiouiuoaaocen"))) for w in (self.given, self.last))
-        user = r.choice((f"{g}.{s}", f"{g}{s}", f"{s}_{g[0]}", f"{s}-{g}", f"{g[0]}.{s}", f"{g}.{s}{r.randrange(10, 99)}", f"{g}+cv", f"{g}{r.randrange(1960, 2005)}"))
-        host = r.choice(("mail", "post", "inbox", "uni", "cv")) + "." if r.random() < 0.4 else ""
-        host += r.choice(_ONSET).lower() + r.choice(_PLACE) + r.choice(("", "", "-mail")) + "." + r.choice(("org", "com", "net", "test", "example", "invalid", "de", "co"))
-        x = r.random()
-        if x < 0.07:
-            return ("email", f"{user} @ {host}")
-        if x < 0.14:
-            return ("email", f"{user}{r.choice(('(at)', '[at]', ' [at] ', ' (at) '))}{host}")
-        if x < 0.22:
-            at, dot = r.choice((" at ", " [at] ", "[at]", " (at) ")), r.choice((" dot ", " [dot] "))
-            return ("email", f"{user.replace('.', dot) if r.random() < 0.6 else user}{at}{host.replace('.', dot)}")
-        if x < 0.26:
-            return ("email", f"{user} at {host}")
-        out = f"{user}@{host}"
-        return ("email", out.upper() if x < 0.33 else out.title() if x < 0.37 else out)
-
-    def digits(self, shape: str) -> str:
-        return "".join(str(self.r.randrange(10)) if c == "0" else c for c in shape).replace("z", "0")
-
-    def phone(self):
-        shape = self.r.choice(("000-000-0000", "(000) 000-0000", "+1 000 000 0000", "+10000000000", "1-000-000-0000", "000.000.0000", "000 000 0000", "+44 20 0000 0000", "+44 (z)0000 000 000", "00000 000000", "+49 30 00000000", "030 00000 000", "+33 6 00 00 00 00", "06.00.00.00.00"))
-        return ("phone", self.digits(shape) + (f" x{self.r.randrange(100, 999)}" if self.r.random() < 0.05 and "000-" in shape else ""))
-
-    def label(self, *words: str) -> str:
-        return self.r.choice(words)
-
-    def identity(self):
-        """(label, id)."""
-        r, up = self.r, "ABCDEFGHKLMNPRSTXYZ"
-        letter = lambda n: "".join(r.choice(up) for _ in range(n))
-        k = r.randrange(5)
-        if k == 0:
-            return r.choice(("SSN ", "SSN: ", "Social security number ")), ("id", self.digits("000-00-0000"))
-        if k == 1:
-            return r.choice(("passport ", "Passport: ", "Passport no. ", "Passport ")), ("id", letter(1) + self.digits("0000000"))
-        if k == 2:
-            return r.choice(("NI no. ", "NI number: ", "National Insurance ", "NINO ")), ("id", letter(2) + self.digits(r.choice((" 00 00 00 ", "000000"))) + r.choice("ABCD"))
-        if k == 3:
-            return r.choice(("National ID: ", "ID card ", "Identity card ")), ("id", self.digits("000.000.000-00"))
-        return r.choice(("Driving licence ", "Licence no: ", "Driver's license ")), ("id", letter(5) + self.digits("000000") + letter(1) + self.digits("0") + letter(1))
-
-    def place(self) -> str:
-        return self.r.choice(_ONSET) + self.r.choice(_PLACE)
-
-    def state(self) -> str:
-        return self.r.choice(("NY", "CA", "TX", "MA", "WA", "IL", "GA", "CO", "OH"))
-
-    def address(self):
-        r = self.r
-        if r.random() < 0.22:
-            street = r.choice(("Am Alten Tor", "An Der Aue", r.choice(_ONSET) + "straße", r.choice(_ONSET) + "weg", r.choice(_ONSET) + "str.", r.choice(_ONSET) + "allee", r.choice(_ONSET) + "kamp"))
-            return ("address", f"{street} {r.randrange(1, 150)}, {r.randrange(10000, 99999)} {self.place()}")
-        out = f"{r.randrange(1, 999)}{r.choice(('', '', '', 'A', 'b'))} {' '.join(r.sample(_STREETS, r.choice((1, 1, 2))))} {r.choice(('Street', 'St.', 'Road', 'Rd', 'Lane', 'Avenue', 'Ave', 'Drive', 'Close', 'Way', 'Terrace', 'Blvd', 'St', 'Court'))}"
-        out += r.choice(("", "", "", f", Flat {r.randrange(1, 60)}", f" #{r.randrange(1, 60)}", f", Unit {r.randrange(1, 60)}", f", Apt {r.randrange(1, 60)}"))
-        return ("address", out + r.choice(("", f", {self.place()}", f", {self.place()} {self.state()}", f", {self.place()}, {self.state()} {r.randrange(10000, 99999)}")))
-
-    def company(self) -> str:
-        return self.r.choice(_ONSET) + self.r.choice(_PLACE) + " " + self.r.choice("Labs Claims Logistics Health Partners Retail Energy Robotics Mutual Group".split() + ["Data Service"])
-
-    def post(self) -> str:
-        r = self.r
-        t = r.choice("Data,ML,Software,Site Reliability,Machine Learning,Backend,Full Stack,Research,Product,Security,Search,Network,Forward Deployed".split(",")) + " " + r.choice("Engineer Scientist Analyst Manager Architect Developer Designer".split())
-        if r.random() < 0.3:  # what a list of occupations doesn't have
-            t = r.choice(_TRADES)
-        elif r.random() < 0.15:  # mistyped
-            i = r.randrange(1, len(t) - 1)
-            t = t[:i] + r.choice((t[i] * 2, t[i + 1] + t[i], "")) + t[i + 1 :]
-        t = r.choice(("", "", "", "Senior ", "Lead ", "Junior ", "Staff ", "Sr. ", "Principal ")) + t
-        t = r.choice((t, t, t, t, t.upper(), t.replace(" ", "-", 1), " ".join(reversed(t.split(" ", 1))).replace(" ", ", ", 1)))
-        return t + r.choice(("", "", "", ", " + self.place(), " (Senior)", " – hybrid"))
-
-    def bullet(self) -> list:
-        r, w = self.r, lambda: "the " + self.r.choice(_WORDS) + " " + self.r.choice(_WORDS)
-        team = r.choice(_TEAMS)
-        plain = [
-            [f"Rebuilt {w()} on {r.choice(_TECH)} for {team}, serving {r.randrange(5, 99)}k requests a day"], [f"Cut {r.choice(_WORDS)} time by {r.randrange(2, 90)}% by moving {w()} to {r.choice(_TECH)}"],
-            [f"Prototyped a {r.choice(_TECH)} and {r.choice(_TECH)} {r.choice(_WORDS)} used by {team}; {r.randrange(2, 90)}% fewer errors"], [f"Was on call for {w()} and {w()}, {r.randrange(2, 99)} incidents closed"],
-            [f"Closed ticket {self.digits('0000-000-000')} {r.choice(('by year end', 'before the launch', 'over two releases'))}"], [f"Order {self.digits('0000000')} traced end to end through {w()}"], [f"Loaded {r.randrange(1, 9)} {self.digits('000')} 000 rows a night into {r.choice(_TECH)}"],
-            [f"Build 20{self.digits('00')}{r.randrange(10, 13)}{r.randrange(10, 29)}-{self.digits('0000')} shipped to {team}"], [f"Moved {w()} to release {r.randrange(1, 9)}.{self.digits('00')}.{self.digits('000')} with care"], [f"Kept {r.randrange(2, 99)} of {r.randrange(100, 400)} alerts quiet on the {self.place()} ring road project"],
-            [f"Published @{r.choice(_WORDS)}/{r.choice(_WORDS)} as an internal package for {team}"], [f"Ran the {r.choice(_GIVEN)} assistant and the {r.choice(_GIVEN)} pipeline for {team}"], [f"Partnered with {self.company()} on {r.choice(_WORDS)} control"], [f"Invoice {self.digits('00000000')} and case {self.digits('000-000-0000')[:9]} reconciled for {team}"],
-            [f"Hands-on {r.choice(_TECH)}, {r.choice(_TECH)} and cost control on a live {r.choice(_WORDS)}"], [f"Our {self.place()} meetup spent an evening on {r.choice(_WORDS)} drift, with {r.choice(_TECH)} demos"],
-        ]
-        lab, num = self.identity()
-        own = [
-            ["Mentored ", self.name(), f", now on {team}"], ["Reported to ", self.name(), f" and covered {w()}"], [f"Took over {w()} from {r.choice(('Dr. ', 'Mr ', 'Ms ', 'Prof. ', ''))}", self.name(style=0.1), f" with {r.choice(_TECH)}"],
-            ["Escalations went to ", self.name(), r.choice((", tel. ", " / ", " - ")), self.phone(), " out of hours"], ["Quote from ", self.name(style=0.7), f": steady work on {r.choice(_WORDS)}"], ["Call ", self.phone(), " or write ", self.email(), f" about {w()}"],
-            ["Sample work on request from ", self.email()], ["Ran the pilot out of ", self.address(), f" for {team}"], ["Cleared for site work, ", lab, num, f", renewed {r.randrange(2012, 2025)}"], ["Badge and ID on file: ", num, f"; see {team[4:]}"], ["Worked with ", self.name(), f" on {w()}"],
-        ]
-        return r.choice(plain if r.random() < 0.6 else own)
-
-    def resume(self):
-        r = self.r
-        head = r.choice(("", "", "", "", "CV of ", "Name: ", "Curriculum vitae — ", r.choice(("Ms ", "Mr ", "Dr. "))))
-        self.add(head, self.name(self.given, self.last), "\n")
-        bits: list[list] = []
-        if r.random() < 0.85:
-            bits.append([r.choice(("", "e: ", "Email: ", "")), self.email()])
-        if r.random() < 0.8:
-            bits.append([r.choice(("", "M: ", "Tel ", "Phone: ", "")), self.phone()])
-        bits.append([self.address()] if r.random() < 0.3 else [f"{self.place()}, {self.state()}"])
-        handle = r.choice(_WORDS) + r.choice(_WORDS) + str(r.randrange(10, 99))
-        bits += [[f"{site}.example/{handle}"] for site in ("linkedin", "github") if r.random() < 0.5]
-        bits[-1] = [bits[-1][0].replace("linkedin.example/", "linkedin.example/in/")] if isinstance(bits[-1][0], str) else bits[-1]
-        if r.random() < 0.3:
-            r.shuffle(bits)
-        sep = r.choice((" | ", " • ", " / ", "  ", "\n"))
-        for i, b in enumerate(bits):
-            self.add(*([sep] if i else []), *b)
-        self.add("\n")
-        if r.random() < 0.5:
-            self.add("\nSUMMARY\n", f"Readers asked how to describe {r.choice(_WORDS)} drift without sounding like everybody else. Strong on {r.choice(_TECH)}, thinner on {r.choice(_WORDS)} quality. In {r.randrange(2008, 2025)} the usual advice was to list every tool.\n")
-        self.add("\nEXPERIENCE\n")
-        mark = r.choice(("• ", "- ", "* ", "o ", "1) ", "▪ ", "(cid:127) "))
-        for _ in range(r.randrange(1, 4)):
-            y = r.randrange(2002, 2024)
-            dates = r.choice((f"0{r.randrange(1, 9)}/{y} - 1{r.randrange(0, 3)}/{y + 1}", f"Jan {y} to Mar {y + 2}", f"Sep. {y} – present", f"Sep. {y} – present", ""))
-            self.add(self.post(), ", ", self.company(), "    ", dates, "\n")
-            for _ in range(r.randrange(1, 5)):
-                self.add(mark, *self.bullet(), "\n")
-            self.add("\n")
-        if r.random() < 0.7:
-            skills = r.sample([*_TECH, "Great Expectations", "Bayesian methods", "German, fluent", "CI/CD", "prompt design", "Node.js", "Kafka, self-hosted", "Great Expectations"], r.randrange(1, 8))
-            self.add("SKILLS\n", r.choice(("", "", "Tools: ", "Languages: ")), r.choice((", ", "; ", " | ", "\n", "\n• ", " / ", " • ", ",")).join(skills), "\n\n")
-        if r.random() < 0.4:
-            self.add("EDUCATION\n", f"{r.choice(('BSc', 'MSc', 'BA'))} {r.choice(('Computing', 'Applied Mathematics', 'Physics'))}, {self.place()} {r.choice(('Institute', 'University', 'College'))}, {r.randrange(1995, 2022)}\n\n")
-        if r.random() < 0.3:
-            self.add("REFERENCES\n")
-            for _ in range(r.randrange(1, 3)):
-                self.reference()
-        if r.random() < 0.25:
-            self.add("PERSONAL\n")
-            if r.random() < 0.7:
-                self.add(*self.identity(), "\n")
-            if r.random() < 0.6:
-                self.add(r.choice(("Home: ", "Address: ", "Post to ", "")), self.address(), "\n")
-
-    def reference(self):
-        r = self.r
-        keep = self.given, self.last
-        self.given, self.last = r.choice(_GIVEN), self.surname()
-        contact = [r.choice((", ", " - ", " — ", "; ")), self.email() if r.random() < 0.5 else self.phone()] if r.random() < 0.85 else []
-        self.add(r.choice(("", "Ref: ", "Mr ", "Ms ", "Dr. ", "Prof. ", "Mrs ")), self.name(self.given, self.last, r.random() * 0.6), *contact, "\n")
-        self.given, self.last = keep
-
-    def evidence(self):
-        r = self.r
-        front, back = r.choice((("", ""), ("", ""), ("> ", ""), ("Line: ", ""), ("“", "”")))
-        self.add(front)
-        x = r.random()
-        if x < 0.62:
-            self.add(*self.bullet())
-        elif x < 0.7:
-            self.add(self.post(), ", ", self.company(), f"    0{r.randrange(1, 9)}/{r.randrange(2002, 2024)} - now")
-        elif x < 0.78:
-            self.add(self.name(self.given, self.last))
-        elif x < 0.86:
-            self.reference()
-            self.text = self.text.rstrip("\n")
-        elif x < 0.94:
-            self.add(r.choice(("", "e: ", "Email: ")), self.email(), r.choice((" | ", " • ", " / ", "  ")), r.choice(("", "M: ", "Tel ")), self.phone(), " | ", f"{self.place()}, {self.state()}")
-        else:
-            self.add(*(self.identity() if r.random() < 0.5 else [r.choice(("Home: ", "Address: ", "")), self.address()]))
-        self.add(back)
-
-    def contact(self):
-        x = self.r.random()
-        if x < 0.12:
-            self.add(self.name(self.given, self.last, 0.1), " <", self.email(), ">")
-        elif x < 0.2:
-            self.add("@" + self.r.choice(_WORDS) + str(self.r.randrange(10, 99)))
-        else:
-            self.add(self.r.choice(("", "", "", "mailto:", "E-mail: ", "e: ")), self.email(), self.r.choice(("", "", " ", ";")))
-
-
-def sample_texts(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """n labelled texts: résumés, quoted lines and address fields with everyday names, numbers and near misses."""
-    out = []
-    for i in range(n):
-        m = _Maker(random.Random(f"{seed}:{i}"))
-        (m.resume if i % 10 < 4 else m.evidence if i % 10 < 9 else m.contact)()
-        out.append((m.text, m.spans))
-    return out
-
-
 @functools.lru_cache(maxsize=2)
 def models(train: int = TRAIN_TEXTS, held_out: int = HELD_OUT_TEXTS) -> dict[str, tuple[BoostedTrees, float]]:
     """A model and a threshold for each kind. A span counts as true if it begins where a detail of its kind does."""
@@ -438,10 +275,10 @@ def personal_details(df: DataFrame, key: str, text: str, train: int = TRAIN_TEXT
         for b in batches:
             found = find_details(list(b["t"]), sent.value)
             rows = [(k, kind, a + 1, e) for k, spans in zip(b["k"], found) for kind, a, e in spans]
-            yield pd.DataFrame(rows, columns=["k", "kind", "char_start", "char_end"]).astype({"k": "int64", "char_start": "int32", "char_end": "int32"})
+            yield pd.DataFrame(rows, columns=["k", "kind", "char_start", "char_end"]).astype({"k": b["k"].dtype, "char_start": "int32", "char_end": "int32"})
 
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter(F.col("k").isNotNull() & (F.length("t") > 0))
-    out = rows.mapInPandas(scan, "k long, kind string, char_start int, char_end int").distinct()
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("k").isNotNull() & (F.length("t") > 0))
+    out = rows.mapInPandas(scan, f"k {dict(df.dtypes)[key]}, kind string, char_start int, char_end int").distinct()
     return out.withColumnRenamed("k", key)
 
 
@@ -461,5 +298,5 @@ def redacted(df: DataFrame, key: str, text: str, train: int = TRAIN_TEXTS, held_
                 clean.append(t)
             yield pd.DataFrame({"k": b["k"], "clean_text": clean, "details": [len(s) for s in found]}).astype({"details": "int32"})
 
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter(F.col("k").isNotNull())
-    return rows.mapInPandas(scan, "k long, clean_text string, details int").distinct().withColumnRenamed("k", key)
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("k").isNotNull())
+    return rows.mapInPandas(scan, f"k {dict(df.dtypes)[key]}, clean_text string, details int").distinct().withColumnRenamed("k", key)

@@ -1,6 +1,7 @@
 """Personal details: held-out accuracy on made texts, placeholders, odd inputs."""
 
 import re
+from pathlib import Path
 
 import pytest
 
@@ -9,14 +10,58 @@ from tallyforge.llm import personal as X
 TEXT = "Ms Olga Balberg\nolga [at] mail [dot] example | Tel (317) 555-0118 | 12b Mill Lane, Flat 3, Oakford\n\nEXPERIENCE\nData Engineer, Corfield Labs    Jan 2010 to Mar 2012\n• Closed ticket 4017-217-975 over two releases\n• Mentored Boris Ferini, now on the risk committee\n• Cleared for site work, SSN 666-53-0783, renewed 2021\n"
 
 
-def test_held_out_accuracy():
+def test_accuracy_on_made_texts():
+    """Other texts of the generator the models are fitted with; no measure of anything else."""
     fitted = X.models()
     right = wrong = missed = 0
     sample = X.sample_texts(250, seed=777)
     for (_, spans), found in zip(sample, X.find_details([t for t, _ in sample], fitted)):
         want, got = {(k, a) for k, a, _ in spans}, {(k, a) for k, a, _ in found}
         right, wrong, missed = right + len(want & got), wrong + len(got - want), missed + len(want - got)
-    assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.98
+    assert right / (right + wrong) > 0.92 and right / (right + missed) > 0.97
+
+
+def written_by_hand():
+    """(text, details): lines written one by one, of no generator, details in marks."""
+    for line in (Path(__file__).parent / "personal_cases.txt").read_text(encoding="utf8").splitlines():
+        text, want = "", set()
+        parts = re.split(r"⟦(\w+):([^⟧]*)⟧", line)
+        for plain, kind, detail in zip(parts[::3], [*parts[1::3], ""], [*parts[2::3], ""]):
+            text += plain
+            if kind:
+                want.add((kind, len(text)))
+            text += detail
+        yield text, want
+
+
+def test_lines_written_by_hand():
+    cases = list(written_by_hand())
+    assert len(cases) >= 150
+    counts = {k: [0, 0, 0] for k in X.KINDS}
+    for (_, want), found in zip(cases, X.find_details([t for t, _ in cases], X.models())):
+        got = {(k, a) for k, a, _ in found}
+        for n, part in enumerate((want & got, want - got, got - want)):
+            for k, _ in part:
+                counts[k][n] += 1
+    for kind, (right, missed, wrong) in counts.items():
+        assert right / (right + missed) >= 0.9, (kind, right, missed)
+        assert right / (right + wrong) >= 0.9, (kind, right, wrong)
+
+
+def test_no_word_keeps_a_span_from_being_proposed():
+    for text, name in (("Mentored Dev Patel", "Dev Patel"), ("Ref: Mrs Sofia Head", "Sofia Head"), ("Name: Tom Bank", "Tom Bank"), ("Data Engineer", "Data Engineer"), ("Dear Anna Lindberg", "Anna Lindberg"), ("Name: 李明", "李明")):
+        assert name in [text[a:b] for k, a, b, _ in X.candidates(text) if k == "name"]
+
+
+def test_check_digits():
+    assert X.luhn("4111111111111111") and not X.luhn("4111111111111112") and X.iban_holds("DE89 3704 0044 0532 0130 00") and not X.iban_holds("DE88 3704 0044 0532 0130 00")
+    assert not [c for c in X.candidates("Tracking 4111111111111112, reference DE88370400440532013000") if c[3][0] in (13, 14)]
+
+
+def test_keys_of_any_type(spark):
+    df = spark.createDataFrame([("doc-a", "Tel (317) 555-0118"), ("doc-b", None)], "k string, t string")
+    assert [tuple(r) for r in X.personal_details(df, "k", "t").collect()] == [("doc-a", "phone", 5, 18)]
+    assert {r.k: r.clean_text for r in X.redacted(df, "k", "t").collect()} == {"doc-a": "Tel [PHONE]", "doc-b": None}
 
 
 def test_places_and_placeholders(spark):
