@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest table, in bytes of its JSON form, that is ever sent to every executor.
@@ -58,6 +58,17 @@ def small_or_none(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame | No
     return F.broadcast(df) if bytes_of(df) <= limit else None
 
 
+def table_or_none(df: DataFrame, key: str, value: str, limit: int = 1 << 20) -> Column | None:
+    """A (cut) two-column table as one map constant if its measured size is within `limit`, else None."""
+    small = cut(df.select(F.col(key).alias("k"), F.col(value).alias("v")))
+    if bytes_of(small) > limit:
+        return None
+    shape = small.schema["v"].dataType.simpleString()
+    pairs = small.select(F.to_json(F.struct("k", "v")).alias("j")).collect()
+    known = F.from_json(F.lit("[" + ",".join(r["j"] for r in pairs) + "]"), f"array<struct<k:string,v:{shape}>>")
+    return F.map_from_entries(known)
+
+
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: str, how: str = "inner", limit: int = BROADCAST_BYTES, salts: int = 16) -> DataFrame:
     """Equi-join where one key may hold much of `big`.
 

@@ -1,9 +1,12 @@
 """Packed fields: rules on skeletons, whole texts, and an exact round trip."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyforge.operators import packed as P
 from tallyforge.operators.packed import split_packed
 
 CASES = [
@@ -60,3 +63,34 @@ def test_round_trip(spark, seed):
 
 def test_very_long_text(spark):
     assert len(run(spark, [", ".join(["value"] * 50_000)])[0]) == 50_000
+
+
+def by_rule(text):
+    """The values by the rule on the whole text's skeleton."""
+    tokens = re.findall(r"""[^,;|•·\n\t/"'“”():\s]+|[^\S\n\t]+|[\s\S]""", text)
+    shape = "".join("a" if re.match(r"""[^,;|•·\n\t/"'“”():\s]""", t) else " " if t[0] not in "\n\t" and t.isspace() else t for t in tokens)
+    out = []
+    for a, n, quoted in P.split_rule(shape):
+        v = "".join(tokens[a - 1 : a - 1 + n])
+        out.append((v.replace('""', '"') if quoted else v).strip())
+    return [v for v in out if v]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_pieces_equal_the_rule_on_whole_texts(spark, seed, monkeypatch):
+    r = random.Random(seed)
+    texts = ["".join(r.choices(["a", "bc", " ", "  ", ",", ";", "|", "\n", "\t", "/", " / ", '"', '""', "“", "”", "'", "(", ")", ":", "•"], k=r.randrange(1, 24))) for _ in range(1500)]
+    want = [by_rule(t) if t.strip() else [] for t in texts]
+    assert run(spark, texts) == want
+    monkeypatch.setattr(P, "table_or_none", lambda *a, **k: None)
+    assert run(spark, texts) == want
+
+
+def test_deep_brackets_and_distant_apostrophes(spark):
+    texts = ["x, (1, (2, (3, (4, (5, (6, 6), 5), 4), 3), 2), 1), y", "a," + " " * 40 + "'b, c', d", "(a, b) (c, d) (e, f) (g, h) (i, j), k"]
+    assert run(spark, texts) == [["x", "(1, (2, (3, (4, (5, (6, 6), 5), 4), 3), 2), 1)", "y"], ["a", "b, c", "d"], ["(a, b) (c, d) (e, f) (g, h) (i, j)", "k"]]
+
+
+def test_skeletons_stay_few(spark, small):
+    texts = spark.read.parquet(f"{small}/resumes.parquet").select("skills_text").filter("skills_text IS NOT NULL")
+    assert texts.select(F.explode(P.pieces(F.col("skills_text"))).alias("p")).select(P.piece_shape(F.col("p"))).distinct().count() < 40
