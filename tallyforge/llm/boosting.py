@@ -8,7 +8,7 @@ import numpy as np
 class BoostedTrees:
     """Logistic loss, trees of equal depth, splits "feature > bin". Features are integers below `bins`."""
 
-    def __init__(self, rounds: int = 120, depth: int = 5, rate: float = 0.15, bins: int = 32, least: float = 2.0, ridge: float = 1.0, part: float = 0.35, seed: int = 5):
+    def __init__(self, rounds: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 32, least: float = 2.0, ridge: float = 1.0, part: float = 0.35, seed: int = 5):
         self.rounds, self.depth, self.rate, self.bins, self.least, self.ridge, self.part, self.seed = rounds, depth, rate, bins, least, ridge, part, seed
         self.base = 0.0
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

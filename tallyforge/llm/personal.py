@@ -192,7 +192,7 @@ def candidates(text: str) -> list[tuple[str, int, int, tuple]]:
         if spans:
             tokens = [(m.start(), m.end(), _cue(m.group()), m.group()[0].isalnum()) for m in _TOKEN.finditer(line)]
             starts, ends = [t[0] for t in tokens], [t[1] for t in tokens]
-            extra = (min(number, 9), section, int("@" in line) + 2 * bool(_LINK.search(line)), int(bool(_RANGE.search(line))), min(len(line) // 12, 31))
+            extra = (min(number, 9), section, int("@" in line) + 2 * bool(_LINK.search(line)), int(("20" in line or "19" in line) and bool(_RANGE.search(line))), min(len(line) // 12, 31))
             for (kind, a, b), g in spans.items():
                 out.append((kind, at + a, at + b, _features(line, a, b, g, extra, tokens, starts, ends)))
         at += len(line) + 1
@@ -200,25 +200,27 @@ def candidates(text: str) -> list[tuple[str, int, int, tuple]]:
 
 
 def _features(line: str, a: int, b: int, generator: int, extra: tuple, tokens: list, starts: list, ends: list) -> tuple:
-    own, left, right = line[a:b], line[max(0, a - 24) : a], line[b : b + 4]
+    own = line[a:b]
     i, j = bisect_left(ends, a + 1), bisect_left(starts, b)  # the tokens before i end before the span, those from j follow it
-    before = tokens[max(0, i - 8) : i]
-    words = [t[2] for t in before if t[3]]
-    groups, toks = (_GROUPS.findall(own) if generator not in (7, 8, 9, 10, 11, 12) else []), _LETTERS.findall(own)
-    sizes = [len(g) for g in groups] or [0]
-    seps = set(_SEPS.findall(own)) if groups else ()
+    words = [t[2] for t in tokens[max(0, i - 8) : i] if t[3]]
+    near = (
+        generator, min(len(own), 31), words[-1] if words else 0, words[-2] if len(words) > 1 else 0, words[-3] if len(words) > 2 else 0, tokens[i - 1][2] if i else 0, _char(line[a - 1 : a]), _char(line[a - 2 : a - 1]) if a > 1 else 0,
+        _char(line[b : b + 1]), _char(line[b + 1 : b + 2]), next((t[2] for t in tokens[j : j + 6] if t[3]), 0), *extra, min(10 * len(own) // max(1, len(line)), 10), min(i, 9), int(own.isupper()),
+    )
+    toks = _LETTERS.findall(own)
     cues = [_cue(t) for t in toks]
-    return (
-        generator, min(len(own), 31), min(sum(sizes), 31), min(len(groups), 9), min(len(toks), 9),
-        (5 if own[0] == "+" else 4 if own[0] == "(" else 3 if own[0].isdigit() else 2 if own[0].islower() else 1),
-        words[-1] if words else 0, words[-2] if len(words) > 1 else 0, before[-1][2] if before else 0, _char(left[-1:]), _char(left[-2:-1]), _char(right[:1]), _char(right[1:2]),
-        next((t[2] for t in tokens[j : j + 6] if t[3]), 0), *extra, min(10 * len(own) // max(1, len(line)), 10),
-        int(own.isupper()), int(bool(_INITIAL.search(own))), int(", " in own), cues.count(9), cues.count(10), cues.count(11),
-        min(max(sizes), 15), min(sizes[0], 15), min(sizes[-1], 15),
-        (0 if not seps else 1 if seps == {" "} else 2 if seps == {"."} else 3 if seps == {"-"} else 4 if seps == {"/"} else 5),
-        int(bool(toks) and len(toks[-1]) == 2 and toks[-1].isupper()), min(len(toks[0]) if toks else 0, 15), min(len(toks[-1]) if toks else 0, 15),
+    if 7 <= generator <= 12:  # names
+        return near + (
+            len(toks), int(bool(_INITIAL.search(own))), int(", " in own), cues.count(9), cues.count(10), cues.count(11), cues[0] if cues else 0, cues[-1] if cues else 0, _form(toks[0]) if toks else 0, _form(toks[-1]) if toks else 0,
+            min(len(toks[0]) if toks else 0, 15), min(len(toks[-1]) if toks else 0, 15), int(bool(_BEFORE.search(line[max(0, a - 24) : a]))), int(bool(_THEN.match(line[b : b + 4]))), 0, 0,
+        )
+    groups = _GROUPS.findall(own)
+    sizes, seps = [len(g) for g in groups] or [0], set(_SEPS.findall(own))
+    return near + (
+        min(sum(sizes), 31), min(len(groups), 9), min(len(toks), 9), (5 if own[0] == "+" else 4 if own[0] == "(" else 3 if own[0].isdigit() else 2 if own[0].islower() else 1), cues.count(9), cues.count(10), cues.count(11), cues[-1] if cues else 0,
+        min(max(sizes), 15), min(sizes[0], 15), min(sizes[-1], 15), (0 if not seps else 1 if seps == {" "} else 2 if seps == {"."} else 3 if seps == {"-"} else 4 if seps == {"/"} else 5),
+        int(bool(toks) and len(toks[-1]) == 2 and toks[-1].isupper()), min(len(toks[-1]) if toks else 0, 15), int(", " in own),
         (0 if "@" not in own and not _WORD_AT.search(own) else 1 if _TIGHT.search(own) else 2 if "@" in own else 3 if _BRACKET.search(own) else 4),
-        int(bool(_THEN.match(right))), int(bool(_BEFORE.search(left))), min(i, 9), cues[0] if cues else 0, cues[-1] if cues else 0, _form(toks[0]) if toks else 0, _form(toks[-1]) if toks else 0, words[-3] if len(words) > 2 else 0,
     )
 
 
@@ -250,9 +252,11 @@ def find_details(texts: list[str | None], fitted: dict[str, tuple[BoostedTrees,
         which = [(i, c) for i, cs in enumerate(every) for c in cs if c[0] == kind]
         if which:
             model, threshold = fitted[kind]
-            for (i, c), p in zip(which, model.probability(np.array([c[3] for _, c in which]))):
-                if p >= threshold:
-                    scored[i].append((round(float(p), 1), c[2] - c[1], c[1], kind))
+            rows = {c[3]: n for n, c in enumerate({c[3]: c for _, c in which}.values())}  # equal features are judged once
+            judged = model.probability(np.array(list(rows))).tolist()
+            for i, c in which:
+                if (p := judged[rows[c[3]]]) >= threshold:
+                    scored[i].append((round(p, 1), c[2] - c[1], c[1], kind))
     out = []
     for found in scored:
         kept: list[tuple[str, int, int]] = []

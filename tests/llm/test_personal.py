@@ -43,9 +43,11 @@ def test_lines_written_by_hand():
         for n, part in enumerate((want & got, want - got, got - want)):
             for k, _ in part:
                 counts[k][n] += 1
+    right, missed, wrong = (sum(c[i] for c in counts.values()) for i in range(3))
+    assert right / (right + missed) >= 0.93 and right / (right + wrong) >= 0.93
     for kind, (right, missed, wrong) in counts.items():
-        assert right / (right + missed) >= 0.9, (kind, right, missed)
-        assert right / (right + wrong) >= 0.9, (kind, right, wrong)
+        assert right / (right + missed) >= 0.85, (kind, right, missed)
+        assert right / (right + wrong) >= 0.85, (kind, right, wrong)
 
 
 def test_no_word_keeps_a_span_from_being_proposed():
