@@ -1,8 +1,10 @@
 """Passages of test items that stand, wholly or partly, in a corpus.
 
-A passage of `passage` words may differ by `edits` words. It then holds at least one of its item's pieces unchanged, if
-the item is cut into pieces of floor((passage + 1) / (edits + 2)) words: any `edits` changes spoil at most as many of
-the edits + 1 whole pieces in it. All pieces are sought at once by an automaton; each hit is verified with Myers'
+A passage of `passage` words may differ by `edits` words. Cut into edits + 1 pieces, at least one of them stands
+unchanged: any `edits` changes spoil at most as many. Since a passage may begin at any word of its item, the pieces of
+all passages are the item's stretches of `passage // (edits + 1)` words. They form a table, one row a stretch with its
+digest and the words around it. The corpus is read once: stretches whose digest isn't among the items' (a bitmap of
+bounded size tells) are passed over, the others are joined to the table by digest, and each hit is verified with Myers'
 bit-parallel edit distance, on words, of the passages that hold the piece against the words around the hit.
 """
 
@@ -12,15 +14,20 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of test items one automaton is built of; more items are searched for in several blocks.
-BLOCK_CHARS = 4_000_000
+from tallyforge.session import cut, spread_join
+
+#: Bits of the largest bitmap of digests sent to the executors (16 MB), as a power of two, and bits a digest.
+MOST_BITS, BITS_EACH = 27, 64
 
 _BROKEN = re.compile(r"(?<=[^\W_])[-‐‑­][^\S\n]*\r?\n\s*(?=[^\W_])")
 _WORD = re.compile(r"[^\W_]+")
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
@@ -55,111 +62,109 @@ def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
     return best, at
 
 
-class Finder:
-    """The automaton of a block of items and the search of one text."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], passage: int, edits: int):
-        import ahocorasick
-
-        self.items, self.passage, self.edits = dict(items), passage, edits
-        self.piece = max(1, (passage + 1) // (edits + 2))
-        pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for item, ws in items:
-            if len(ws) >= passage:
-                for i in range(0, len(ws) - self.piece + 1, self.piece):
-                    pieces[f" {' '.join(ws[i : i + self.piece])} "].append((item, i))
-        self.automaton = ahocorasick.Automaton()
-        for piece, places in pieces.items():
-            self.automaton.add_word(piece, (len(piece), places))
-        self.automaton.make_automaton()
-        self.empty = not pieces
-
-    def search(self, text: str) -> dict[int, list[int]]:
-        """{item: [least edits, longest run of consecutive equal words, first word of a hit]}."""
-        found: dict[int, list[int]] = {}
-        ws = words_of(text)
-        if self.empty or len(ws) < self.piece:
-            return found
-        joined = f" {' '.join(ws)} "
-        word_at: dict[int, int] = {}
-        hits = list(self.automaton.iter(joined))
-        if not hits:
-            return found
-        at = 0
-        for i, w in enumerate(ws):
-            word_at[at] = i
-            at += len(w) + 1
-        covered: dict[tuple[int, int], int] = {}
-        enough = -(-(self.passage - self.edits) // (self.edits + 1))  # equal words some stretch of a passage must have
-        for end, (size, places) in hits:
-            d = word_at[end - size + 1]
-            for item, i in places:
-                iw = self.items[item]
-                if covered.get((item, d - i), -1) >= d:
-                    continue
-                a, b = 0, self.piece
-                while i + a > 0 and d + a > 0 and iw[i + a - 1] == ws[d + a - 1]:
-                    a -= 1
-                while i + b < len(iw) and d + b < len(ws) and iw[i + b] == ws[d + b]:
-                    b += 1
-                covered[item, d - i] = d + b - self.piece
-                run, least = b - a, None
-                if run < enough:
-                    continue
-                if run >= self.passage:
-                    least = 0
-                else:
-                    for s in range(max(0, i + self.piece - self.passage), min(i, len(iw) - self.passage) + 1):
-                        lo = max(0, d - (i - s) - self.edits)
-                        e, _ = myers(iw[s : s + self.passage], ws[lo : d + self.passage - (i - s) + self.edits])
-                        if e <= self.edits and (least is None or e < least):
-                            least = e
-                if least is not None:
-                    x = found.setdefault(item, [least, run, d + a])
-                    x[0], x[1], x[2] = min(x[0], least), max(x[1], run), min(x[2], d + a)
-        return found
-
-
-def _blocks(items: DataFrame, key: str, text: str, block_chars: int) -> list[list[tuple[int, list[str]]]]:
-    rows = items.select(key, text).filter(F.col(text).isNotNull()).distinct()
-    out: list[list[tuple[int, list[str]]]] = [[]]
-    size = 0
-    for r in rows.toLocalIterator():
-        if size and size + len(r[1]) > block_chars:
-            out.append([])
-            size = 0
-        out[-1].append((r[0], words_of(r[1])))
-        size += len(r[1])
-    return out
-
-
-def leaked_passages(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, passage: int = 10, edits: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows (doc_key, item_key, edits, run, first_word), one per document and item: some `passage` consecutive words
+class Digests:
+    """64-bit digests of all stretches of `piece` words; digests of words are kept, up to a million at a time."""
+
+    def __init__(self, piece: int):
+        self.piece, self.known = piece, {}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > 1_000_000:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w)
+        h = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+        n = len(words) - self.piece + 1
+        out = np.zeros(max(n, 0), dtype=np.uint64)
+        for j in range(self.piece if n > 0 else 0):
+            out = (out ^ (out >> np.uint64(29))) * _FACTOR + h[j : j + n]
+        return out ^ (out >> np.uint64(32))
+
+
+def _pieces(items: DataFrame, key: str, text: str, passage: int, edits: int, piece: int) -> DataFrame:
+    """Cut table (h, i, at, left, words, size): every piece of every item's passages, the item's words around it, how
+    many of these stand before it, and the words of a passage (all of the item if it is shorter)."""
+    room = passage - piece
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digests = Digests(piece)
+        for b in batches:
+            out = []
+            for i, t in zip(b["i"], b["t"]):
+                ws = words_of(t)
+                for at, h in enumerate(digests.of(ws).view(np.int64).tolist()):
+                    lo = max(0, at - room)
+                    out.append((h, i, at, at - lo, ws[lo : at + piece + room], min(passage, len(ws))))
+            yield pd.DataFrame(out, columns=["h", "i", "at", "left", "words", "size"]).astype({"h": "int64", "at": "int32", "left": "int32", "size": "int32", "i": b["i"].dtype})
+
+    rows = items.select(F.col(key).alias("i"), F.col(text).alias("t")).filter((F.length("t") > 0) & F.col("i").isNotNull()).distinct()
+    return cut(rows.mapInPandas(work, f"h long, i {dict(items.dtypes)[key]}, at int, left int, words array<string>, size int"))
+
+
+def _bitmap(pieces: DataFrame) -> tuple[np.ndarray, int]:
+    """(words of 64 bits, bits as a power of two): the low bits of all digests. The driver gets one number a word, of
+    which there are at most 2 ** (MOST_BITS - 6); with more digests than fit it only lets more stretches through."""
+    bits = max(10, min(MOST_BITS, (BITS_EACH * max(1, pieces.count())).bit_length()))
+    low = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = pieces.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(h & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["b"]
+    return out.view(np.uint64), bits
+
+
+def leaked_passages(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, passage: int = 10, edits: int = 1) -> DataFrame:
+    """Rows (doc_key, item_key, edits, words, first_word), one per document and item: some `passage` consecutive words
     of the item stand in the document with at most `edits` words changed, added or left out. `edits` is the least
-    found, `run` the longest stretch of consecutive equal words around a hit, `first_word` its first place, from 1.
+    distance found, `words` the length of the passages compared, `first_word` the first place of a hit, from 1.
 
-    Every document is searched whole for every item. The items are the bounded side: blocks of `block_chars`
-    characters go to the executors one at a time, each searched for in all documents. Null and empty texts and items
-    shorter than a passage hold nothing; repeated rows count once; item keys with several texts are taken apart by
-    text and joined by key. Empty input gives no rows; other columns are ignored.
+    An item shorter than a passage is one passage, and found if it stands in the document unchanged; items shorter than
+    a piece are left out. Every document is searched whole for every item, in one scan. Null and empty texts hold
+    nothing; null keys are left out; repeated rows count once; item keys with several texts are taken apart by text and
+    joined by key. Empty input gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    shape = "d long, i long, edits int, run int, first_word int"
-    rows = docs.select(F.col(doc_key).cast("long").alias("d"), F.col(doc_text).alias("t")).filter(F.length("t") > 0)
-    out = None
-    for block in _blocks(items, item_key, item_text, block_chars):
-        numbered = [(n, ws) for n, (_, ws) in enumerate(block)]
-        keys = [k for k, _ in block]
-        sent = spark.sparkContext.broadcast((numbered, keys))
-
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            own, names = sent.value
-            finder = Finder(own, passage, edits)
-            for b in batches:
-                found = [(d, names[i], *x) for d, t in zip(b["d"], b["t"]) for i, x in finder.search(t).items()]
-                yield pd.DataFrame(found, columns=["d", "i", "edits", "run", "first_word"]).astype({"d": "int64", "i": "int64", "edits": "int32", "run": "int32", "first_word": "int32"})
-
-        part = rows.mapInPandas(scan, shape)
-        out = part if out is None else out.unionByName(part)
-    best = out.groupBy("d", "i").agg(F.min("edits").alias("edits"), F.max("run").alias("run"), (F.min("first_word") + 1).alias("first_word"))
-    return best.select(F.col("d").alias(doc_key), F.col("i").alias(item_key), "edits", "run", "first_word")
+    piece = passage // (edits + 1)
+    room = passage - piece
+    margin = room + edits
+    pieces = _pieces(items, item_key, item_text, passage, edits, piece)
+    sent = spark.sparkContext.broadcast(_bitmap(pieces))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bitmap, bits = sent.value
+        digests, mask, six = Digests(piece), np.uint64((1 << bits) - 1), np.uint64(6)
+        for b in batches:
+            out = []
+            for d, t in zip(b["d"], b["t"]):
+                ws = words_of(t)
+                h = digests.of(ws)
+                low = h & mask
+                for at in np.flatnonzero((bitmap[low >> six] >> (low & np.uint64(63))) & np.uint64(1)).tolist():
+                    lo = max(0, at - margin)
+                    out.append((int(h[at : at + 1].view(np.int64)[0]), d, at, at - lo, ws[lo : at + piece + margin]))
+            yield pd.DataFrame(out, columns=["h", "d", "d_at", "d_left", "d_words"]).astype({"h": "int64", "d_at": "int32", "d_left": "int32", "d": b["d"].dtype})
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for d, i, d_at, d_left, d_words, left, words, size in zip(b["d"], b["i"], b["d_at"], b["d_left"], b["d_words"], b["left"], b["words"], b["size"]):
+                iw, dw = list(words), list(d_words)
+                allowed = edits if size == passage else 0
+                for k in range(edits + 1) if size == passage else range(size - piece + 1):
+                    a = left - (k * piece if size == passage else k)  # the passage's first word, the piece being its k-th
+                    if a < 0 or a + size > len(iw):
+                        continue
+                    lo = max(0, d_left - (left - a) - allowed)
+                    e, _ = myers(iw[a : a + size], dw[lo : d_left + size - (left - a) + allowed])
+                    if e <= allowed:
+                        out.append((d, i, e, size, d_at))
+            yield pd.DataFrame(out, columns=["d", "i", "edits", "words", "first_word"]).astype({"edits": "int32", "words": "int32", "first_word": "int32", "d": b["d"].dtype, "i": b["i"].dtype})
+
+    d_type, i_type = dict(docs.dtypes)[doc_key], dict(items.dtypes)[item_key]
+    rows = docs.select(F.col(doc_key).alias("d"), F.col(doc_text).alias("t")).filter((F.length("t") > 0) & F.col("d").isNotNull())
+    hits = rows.mapInPandas(scan, f"h long, d {d_type}, d_at int, d_left int, d_words array<string>")
+    met = spread_join(hits, pieces, ["h"], "d").drop("h", "at")
+    found = met.mapInPandas(verify, f"d {d_type}, i {i_type}, edits int, words int, first_word int")
+    best = found.groupBy("d", "i").agg(F.min("edits").alias("edits"), F.max("words").alias("words"), (F.min("first_word") + 1).alias("first_word"))
+    return best.select(F.col("d").alias(doc_key), F.col("i").alias(item_key), "edits", "words", "first_word")

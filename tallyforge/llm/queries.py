@@ -54,6 +54,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.repeated_lines(table(spark, folder, "postings", "posting_id", "company", "raw_text"), "posting_id", "company", "raw_text")
 
 
+def p5_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest blocks of lines repeated across the postings of a company."""
+    docs = boilerplate.documents_with_ids(table(spark, folder, "postings", "posting_id", "company", "raw_text"), "posting_id", "company", "raw_text")
+    found = boilerplate.maximal_blocks(boilerplate.repeated_blocks(docs))
+    return found.select(F.col("src").alias("company"), F.col("k").alias("lines"), "docs", F.xxhash64("block").alias("block"))
+
+
 def p5_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     """Every posting without those lines."""
     return boilerplate.without_repeated_lines(table(spark, folder, "postings", "posting_id", "company", "raw_text"), "posting_id", "company", "raw_text")
@@ -122,8 +129,8 @@ def _leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold ten consecutive words of an item, and the item."""
-    return _leaks(spark, folder).filter("run >= 10").select("doc_id", "item_id")
+    """Documents that hold ten consecutive words of an item, and the item: the verified passages without any edit."""
+    return _leaks(spark, folder).filter("edits = 0 AND words >= 10").select("doc_id", "item_id")
 
 
 def p9_near(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,7 +140,7 @@ def p9_near(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_unmatched, p3_found, p3_redacted, p5_found, p5_cleaned, p6_found, p6_copies, p7_found, p7_reliability, p7_agreement, p8_blocks, p9_found, p9_near, p10_found, p10_sources)
+    for f in (p2_found, p2_unmatched, p3_found, p3_redacted, p5_found, p5_blocks, p5_cleaned, p6_found, p6_copies, p7_found, p7_reliability, p7_agreement, p8_blocks, p9_found, p9_near, p10_found, p10_sources)
 }
 
 ORACLES = {

@@ -64,10 +64,45 @@ def test_longer_blocks_are_found_and_cleaned(spark):
     df = spark.createDataFrame(rows, "k long, s string, t string")
     blocks = B.repeated_blocks(B.documents_with_ids(df, "k", "s", "t")).collect()
     assert sorted((b.k, b.docs) for b in blocks) == [(1, 6), (1, 6), (2, 6)]
+    assert [(b.k, b.docs) for b in B.maximal_blocks(B.repeated_blocks(B.documents_with_ids(df, "k", "s", "t"))).collect()] == [(2, 6)]
     clean = {r.k: (r.clean_text, r.removed) for r in B.without_repeated_lines(df, "k", "s", "t").collect()}
     assert clean[3] == ("own line of document number xxx and more words", 2)
 
 
+def brute_blocks(rows, need):
+    """{(lines, documents)} of the blocks that stand in `need` documents, of one source."""
+    counts = {}
+    for k, _, text in rows:
+        ids = [plain(x) if len(x) >= 30 else "" for x in text.split("\n")]
+        found = {tuple(ids[a:b]) for a in range(len(ids)) for b in range(a + 1, len(ids) + 1) if all(ids[a:b])}
+        for block in found:
+            counts.setdefault(block, set()).add(k)
+    return sorted((len(b), len(d)) for b, d in counts.items() if len(d) >= need)
+
+
+def test_blocks_of_any_length_equal_brute_force(spark):
+    r = random.Random(8)
+    notice = [f"this is line number {'i' * n} of a notice that goes on and on" for n in range(30)]
+    rows = []
+    for k in range(24):
+        a = r.randrange(0, 12)
+        part = notice[a : a + r.randrange(3, 30)]
+        own = [f"a line that stands in one document only {'x' * (k + 1)}"]
+        rows.append((k, "s", "\n".join(r.choice([part + own, own + part, part + own + part[:4], part + ["short"] + part[1:5]]))))
+    df = spark.createDataFrame(rows, "k long, s string, t string")
+    blocks = B.repeated_blocks(B.documents_with_ids(df, "k", "s", "t"), min_docs=5, min_share=0.2).collect()
+    assert sorted((b.k, b.docs) for b in blocks) == brute_blocks(rows, 5) and max(b.k for b in blocks) > 8
+
+
+def test_least_lines(spark):
+    pair, lone = ["this is the first of two lines that always come", "and this is the second of those two lines here"], "a line that comes alone, with others around it"
+    rows = [(k, "s", "\n".join([*pair, f"own line of document number {'x' * k} and more words", lone, "short"])) for k in range(6)]
+    df = spark.createDataFrame(rows + [(9, "s", lone), (9, "s", pair[1])], "k long, s string, t string")
+    lines = lambda n: sorted((r.k, r.line_no) for r in B.repeated_lines(df, "k", "s", "t", least_lines=n).collect())
+    assert lines(1) == sorted([(k, n) for k in range(6) for n in (1, 2, 4)] + [(9, 1)])
+    assert lines(2) == sorted((k, n) for k in range(6) for n in (1, 2)) and lines(3) == []
+
+
 def test_empty_lines_table(spark):
     df = spark.createDataFrame([], "k long, s string, t string")
     assert B.repeated_lines(df, "k", "s", "t").count() == 0 and B.without_repeated_lines(df, "k", "s", "t").count() == 0

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from tallyforge import session as S
 from tallyforge.llm import leakage as X
 
 
@@ -58,12 +61,51 @@ def test_exact_and_near_passages_equal_brute_force(spark):
             e = min((distance_in(iw[s : s + 10], ws) for s in range(len(iw) - 9)), default=99)
             if e <= 1:
                 want[d, i] = e
-    for block in (10**6, 300):
-        got = {(r.d, r.i): r.edits for r in run(spark, docs, items, block_chars=block)}
-        assert got == want
+    got = {(r.d, r.i): r.edits for r in run(spark, docs, items) if r.words == 10}
+    assert got == want
     assert len(want) > 40 and len(set(want.values())) == 2
 
 
+def test_joined_pieces_and_small_bitmaps_give_the_same(spark, monkeypatch):
+    docs, items = made(3, 2)
+    want = {(r.d, r.i, r.edits, r.first_word) for r in run(spark, docs, items)}
+    monkeypatch.setattr(X, "MOST_BITS", 10)  # nearly every digest passes
+    monkeypatch.setattr(X, "spread_join", lambda a, b, keys, salt: S.spread_join(a, b, keys, salt, limit=0))
+    assert {(r.d, r.i, r.edits, r.first_word) for r in run(spark, docs, items)} == want and want
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_other_budgets_equal_brute_force(spark, edits):
+    docs, items = made(5, edits)
+    want = {}
+    for d, t in docs:
+        ws = X.words_of(t)
+        for i, it in items:
+            iw = X.words_of(it)
+            e = min((distance_in(iw[s : s + 12], ws) for s in range(len(iw) - 11)), default=99)
+            if e <= edits:
+                want[d, i] = e
+    assert {(r.d, r.i): r.edits for r in run(spark, docs, items, passage=12, edits=edits) if r.words == 12} == want and want
+
+
+def test_near_passages_of_the_tables_equal_brute_force(spark, small):
+    docs = [(r[0], r[1]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").distinct().collect() if r[1]]
+    items = [(r[0], r[1]) for r in spark.read.parquet(f"{small}/eval_items.parquet").select("item_id", "text").distinct().collect() if r[1]]
+    held = [(d, ws, {" ".join(ws[k : k + 5]) for k in range(len(ws) - 4)}) for d, t in docs for ws in [X.words_of(t)]]
+    want = {}
+    for i, t in items:
+        iw = X.words_of(t)
+        for s in range(len(iw) - 9):
+            halves = " ".join(iw[s : s + 5]), " ".join(iw[s + 5 : s + 10])
+            for d, ws, grams in held:
+                if halves[0] in grams or halves[1] in grams:  # one edit leaves one half
+                    e = distance_in(iw[s : s + 10], ws)
+                    if e <= 1:
+                        want[d, i] = min(e, want.get((d, i), 9))
+    got = {(r.d, r.i): r.edits for r in run(spark, docs, items) if r.words == 10}
+    assert got == want and want
+
+
 def test_words_broken_at_line_ends():
     assert X.words_of("The vendor's fig-\n  ures, on-call RÉSUMÉ_2") == ["the", "vendor", "s", "figures", "on", "call", "résumé", "2"]
 
@@ -71,6 +113,12 @@ def test_words_broken_at_line_ends():
 def test_odd_inputs(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = [(1, None), (2, ""), (3, item), (3, item), (4, "one two three four five six seven eight nine"), (5, ("filler word " * 30_000) + item)]
-    got = sorted((r.d, r.i, r.run) for r in run(spark, docs, [(7, item), (7, item), (8, None), (9, "too short")], edits=0))
-    assert got == [(3, 7, 11), (5, 7, 11)]
+    got = sorted((r.d, r.i, r.first_word) for r in run(spark, docs, [(7, item), (7, item), (8, None), (9, "too short")], edits=0))
+    assert got == [(3, 7, 1), (5, 7, 60_001)]
     assert run(spark, docs, []) == [] and run(spark, [], [(7, item)]) == []
+
+
+def test_short_items_and_keys_of_any_type(spark):
+    d = spark.createDataFrame([("doc-a", "Well: the quick brown fox jumps, they say"), ("doc-b", "the quick brown dog jumps")], "d string, t string")
+    i = spark.createDataFrame([("i1", "The quick brown fox jumps"), ("i2", "the quick brown"), (None, "the quick brown fox jumps")], "i string, t string")
+    assert [tuple(r) for r in X.leaked_passages(d, "d", "t", i, "i", "t").collect()] == [("doc-a", "i1", 0, 5, 2)]
