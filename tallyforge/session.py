@@ -48,14 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """Size of a (cut) table as JSON; an aggregate, nothing is collected but one number."""
-    row = df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))).cast("long"))).first()
+    """Bytes of a (cut) table as JSON; an aggregate, nothing is collected but one number."""
+    row = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))).first()
     return int(row[0] or 0)
 
 
-def small_or_none(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame | None:
-    """`broadcast(df)` if the measured size of the (cut) table is within `limit`, else None."""
-    return F.broadcast(df) if bytes_of(df) <= limit else None
+def small_or_none(df: DataFrame, limit: int | None = None) -> DataFrame | None:
+    """`broadcast(df)` if the measured size of the (cut) table is within `limit` (BROADCAST_BYTES), else None."""
+    return F.broadcast(df) if bytes_of(df) <= (BROADCAST_BYTES if limit is None else limit) else None
 
 
 def table_or_none(df: DataFrame, key: str, value: str, limit: int = 1 << 20) -> Column | None:
@@ -69,17 +69,37 @@ def table_or_none(df: DataFrame, key: str, value: str, limit: int = 1 << 20) ->
     return F.map_from_entries(known)
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: str, how: str = "inner", limit: int = BROADCAST_BYTES, salts: int = 16) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: str, how: str = "inner", limit: int | None = None, salts: int | None = None) -> DataFrame:
     """Equi-join where one key may hold much of `big`.
 
     `small` is cut and measured. Within `limit` it is broadcast, so `big` isn't shuffled at all; beyond it, each
-    key is spread over `salts` tasks by a hash of `salt_on`, and `small` is repeated as often.
-    `how`: inner or left, `big` being the left side.
+    key is spread over `salts` tasks by a hash of `salt_on`, and `small` is repeated as often: by default as many as
+    there are shuffle partitions for a key that holds more than a task's share of the rows, which are counted, and
+    one for the others. `how`: inner or left, `big` being the left side; its null keys match nothing.
     """
     small = cut(small)
     sent = small_or_none(small, limit)
     if sent is not None:
         return big.join(sent, keys, how)
-    big = big.withColumn("__salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
-    small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    tasks = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if salts is not None:
+        small = small.withColumn("__n", F.lit(salts))
+        big = big.withColumn("__n", F.lit(salts))
+    else:
+        counted = big.filter(F.col(keys[0]).isNotNull()).groupBy(*keys).count()
+        total = counted.agg(F.sum("count")).first()[0] or 1
+        hot = cut(counted.filter(F.col("count") * tasks > F.lit(int(total))).select(*keys, F.least(F.lit(tasks), F.ceil(F.col("count") * tasks / F.lit(int(total)))).cast("int").alias("__n")))  # fewer than `tasks` keys
+        small = small.join(F.broadcast(hot), keys, "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
+        big = big.join(F.broadcast(hot), keys, "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
+    big = big.withColumn("__salt", F.pmod(F.xxhash64(salt_on), F.col("__n")).cast("int")).drop("__n")
+    small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
     return big.join(small, [*keys, "__salt"], how).drop("__salt")
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """df with equal rows once. Only rows of keys that occur several times are moved, if those keys can be broadcast."""
+    many = cut(df.groupBy(key).count().filter("count > 1").select(F.col(key).alias("__k")))
+    if bytes_of(many) > BROADCAST_BYTES:
+        return df.distinct()
+    same = df[key].eqNullSafe(many["__k"])
+    return df.join(F.broadcast(many), same, "left_anti").unionByName(df.join(F.broadcast(many), same, "left_semi").distinct())
