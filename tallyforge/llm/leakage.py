@@ -69,15 +69,21 @@ class Digests:
         self.piece, self.known = piece, {}
 
     def of(self, words: list[str]) -> np.ndarray:
+        return self.stretches(self.words(words), self.piece)
+
+    def words(self, words: list[str]) -> np.ndarray:
         known = self.known
         if len(known) > 1_000_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
-        n = len(words) - self.piece + 1
+        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+    @staticmethod
+    def stretches(h: np.ndarray, piece: int) -> np.ndarray:
+        n = len(h) - piece + 1
         out = np.zeros(max(n, 0), dtype=np.uint64)
-        for j in range(self.piece if n > 0 else 0):
+        for j in range(piece if n > 0 else 0):
             out = (out ^ (out >> np.uint64(29))) * _FACTOR + h[j : j + n]
         return out ^ (out >> np.uint64(32))
 
@@ -102,18 +108,25 @@ def _pieces(items: DataFrame, key: str, text: str, passage: int, edits: int, pie
     return cut(rows.mapInPandas(work, f"h long, i {dict(items.dtypes)[key]}, at int, left int, words array<string>, size int"))
 
 
-def _bitmap(pieces: DataFrame) -> tuple[np.ndarray, int]:
-    """(words of 64 bits, bits as a power of two): the low bits of all digests. The driver gets one number a word, of
-    which there are at most 2 ** (MOST_BITS - 6); with more digests than fit it only lets more stretches through."""
-    bits = max(10, min(MOST_BITS, (BITS_EACH * max(1, pieces.count())).bit_length()))
+def bitmap_of(digests: DataFrame) -> tuple[np.ndarray, int]:
+    """(words of 64 bits, bits as a power of two) of a (cut) table with digests `h`: a bit for the low end of each. The
+    driver gets one number a word, of which there are at most 2 ** (MOST_BITS - 6); with more digests than fit it only
+    lets more through."""
+    bits = max(10, min(MOST_BITS, (BITS_EACH * max(1, digests.count())).bit_length()))
     low = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = pieces.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(h & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = digests.select(F.shiftright(low, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
     for r in words.toLocalIterator():
         out[r["w"]] = r["b"]
     return out.view(np.uint64), bits
 
 
+def held(bitmap: tuple[np.ndarray, int], digests: np.ndarray) -> np.ndarray:
+    """The places of the digests whose bit is set."""
+    low = digests & np.uint64((1 << bitmap[1]) - 1)
+    return np.flatnonzero((bitmap[0][low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1))
+
+
 def leaked_passages(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, passage: int = 10, edits: int = 1) -> DataFrame:
     """Rows (doc_key, item_key, edits, words, first_word), one per document and item: some `passage` consecutive words
     of the item stand in the document with at most `edits` words changed, added or left out. `edits` is the least
@@ -129,18 +142,16 @@ def leaked_passages(docs: DataFrame, doc_key: str, doc_text: str, items: DataFra
     room = passage - piece
     margin = room + edits
     pieces = _pieces(items, item_key, item_text, passage, edits, piece)
-    sent = spark.sparkContext.broadcast(_bitmap(pieces))
+    sent = spark.sparkContext.broadcast(bitmap_of(pieces))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap, bits = sent.value
-        digests, mask, six = Digests(piece), np.uint64((1 << bits) - 1), np.uint64(6)
+        digests = Digests(piece)
         for b in batches:
             out = []
             for d, t in zip(b["d"], b["t"]):
                 ws = words_of(t)
                 h = digests.of(ws)
-                low = h & mask
-                for at in np.flatnonzero((bitmap[low >> six] >> (low & np.uint64(63))) & np.uint64(1)).tolist():
+                for at in held(sent.value, h).tolist():
                     lo = max(0, at - margin)
                     out.append((int(h[at : at + 1].view(np.int64)[0]), d, at, at - lo, ws[lo : at + piece + margin]))
             yield pd.DataFrame(out, columns=["h", "d", "d_at", "d_left", "d_words"]).astype({"h": "int64", "d_at": "int32", "d_left": "int32", "d": b["d"].dtype})

@@ -14,72 +14,94 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.session import BROADCAST_BYTES, bytes_of, cut, spread_join
+from tallyforge.llm.leakage import Digests, bitmap_of, held
+from tallyforge.session import cut, spread_join
 
-#: A word, a number with its per cent sign, or the end of a sentence or line.
-TOKENS = r"[\p{L}\p{N}]++(?:['’\-][\p{L}\p{N}]++)*+%?|[.!?…]++(?=[\s\"”’)]|$)|\n++"
-#: The same for Python.
-PY_TOKENS = r"[^\W_]+(?:['’\-][^\W_]+)*%?|[.!?…]+(?=[\s\"”’)]|$)|\n+"
-END = r"^[.!?…\n]"
+#: A word, a number with its per cent sign, or the end of a sentence or line. The only tokeniser here.
+TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*%?|[.!?…]+(?=[\s\"”’)]|$)|\n+")
+DIGITS, STOPS = re.compile(r"\d+"), frozenset(".!?…\n")
 OPEN_END = r"[,;:(\[{“„«\-–—/&•▪*]$"
-ENTITY_END = r"&#?\w{0,6}$"
+ENTITY_END = re.compile(r"&#?\w{0,6}$")
 BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u2007\u202f\u3000"
 WORD_END = r"[\p{L}\p{M}\p{N}%]$"
 
 
-def _tokens(column):
-    """Tokens in lower case, every number the same; runs of digits are masked before the text is cut up."""
-    return F.regexp_extract_all(F.regexp_replace(F.lower(column), r"\p{N}++", "0"), F.lit(TOKENS), F.lit(0))
+def tokens_of(text: str) -> list[str]:
+    """Tokens in lower case, every number the same."""
+    return TOKEN.findall(DIGITS.sub("0", text.lower()))
 
 
-def _prepared(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
+def last_tokens(text: str, n: int = 3) -> list[str]:
+    """The last n tokens; only as much of the text's end is cut up as holds them."""
+    size = 256
+    while size < len(text):
+        tail = text[-size:]
+        blank = min((i for i in map(tail.find, " \t\r") if i >= 0), default=-1)
+        if blank >= 0:
+            toks = tokens_of(tail[blank:])
+            if len(toks) > n:
+                return toks[-n:]
+        size *= 4
+    return tokens_of(text)[-n:]
+
+
+def _finals(df: DataFrame, key: str, source: str, text: str, words: int) -> DataFrame:
+    """Cut table (id, src, chars, octets, broken, dots, entity, last, line, w): how each distinct row's text ends; `line`
+    is its final line if that has at most `words` tokens, `w` its last three tokens."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, src, text in zip(b["id"], b["src"], b["t"]):
+                t = text.rstrip(BLANKS)
+                broken, dots, entity = t.endswith("\ufffd"), t.endswith(("…", "...")), bool(ENTITY_END.search(t[-10:]))
+                t = t.rstrip(BLANKS + "….") if dots else t.rstrip("\ufffd") if broken else t
+                line = t[t.rfind("\n") + 1 :]
+                toks = list(islice((m.group() for m in TOKEN.finditer(DIGITS.sub("0", line.lower()))), words + 1))
+                out.append((i, src, len(text), len(text.encode("utf-8", "replace")), broken, dots, entity, t[-1:], " ".join(toks) if len(toks) <= words else None, last_tokens(t)))
+            yield pd.DataFrame(out, columns=["id", "src", "chars", "octets", "broken", "dots", "entity", "last", "line", "w"]).astype({"id": b["id"].dtype, "chars": "int64", "octets": "int64"})
+
     rows = df.select(F.col(key).alias("id"), F.col(source).alias("src"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    bare = F.rtrim(F.col("t"), F.lit(BLANKS))
-    rows = rows.select("id", "src", F.length("t").alias("chars"), F.octet_length("t").alias("octets"), bare.alias("t"))
-    dots = F.endswith("t", F.lit("…")) | F.endswith("t", F.lit("..."))
-    broken = F.endswith("t", F.lit("\ufffd"))
-    rows = rows.select("*", broken.alias("broken"), dots.alias("dots"), F.right("t", F.lit(10)).rlike(ENTITY_END).alias("entity"))
-    return rows.withColumn("t", F.when(dots, F.rtrim(F.col("t"), F.lit(BLANKS + "…."))).when(broken, F.rtrim(F.col("t"), F.lit("\ufffd"))).otherwise(F.col("t")))
+    kinds = dict(rows.dtypes)
+    return cut(rows.mapInPandas(scan, f"id {kinds['id']}, src {kinds['src']}, chars long, octets long, broken boolean, dots boolean, entity boolean, last string, line string, w array<string>").distinct())
 
 
-def truncation_evidence(df: DataFrame, key: str, source: str, text: str, min_known: int = 2, min_seen: int = 3, min_peak: int = 8, peak: float = 10.0, closing_docs: int = 3) -> DataFrame:
-    """Rows (key, source, chars, is_cut, reason), one per distinct row. The texts themselves are never shuffled, so the
-    counts of words and contexts take a repeated row as often as it stands.
+def truncation_evidence(df: DataFrame, key: str, source: str, text: str, min_known: int = 2, min_seen: int = 3, min_peak: int = 8, peak: float = 10.0, closing_docs: int = 3, closing_words: int = 8) -> DataFrame:
+    """Rows (key, source, chars, is_cut, reason), one per distinct row. Repeated rows count once in everything, though the
+    texts themselves are never shuffled.
 
     `reason`: 'character' (ends in the replacement character), 'open' (ends in a comma, dash, opening bracket, bullet
     or part of a character reference), 'prefix' (trie: no known word but the start of one, or in a context never seen
     a word far rarer than those it starts), 'context' (hardly ever seen before an end), 'length' (at a length peak, in
     a context never seen or one that usually goes on, or before an ellipsis); null if not cut. A text that ends in a full stop, a question or exclamation mark, or a closing quote or
     bracket isn't cut; an ellipsis is, if what stands before it was. Null, empty and blank texts aren't cut.
+    `closing_docs`, `closing_words`: texts that share a closing line, and the words of the longest one.
     `min_known`: texts a known word occurs in as often at least; `min_seen`: occurrences from which a longer context
     is trusted; `min_peak`, `peak`: texts at a length, at least and as a multiple of those at the lengths near it.
     """
-    docs = _prepared(df, key, source, text)
-    tail_line = F.array_join(_tokens(F.substring_index("t", "\n", -1)), " ")
-    finals = docs.select("id", "src", "chars", "octets", "broken", "dots", "entity", F.right("t", F.lit(1)).alias("last"), tail_line.alias("line"), _last_three().alias("w"))
-    finals = cut(finals.distinct())
+    finals = _finals(df, key, source, text, closing_words)
 
-    # Contexts wanted: those of texts that end in a word.
+    # Contexts wanted: those of texts that end in a word; final lines that several texts share.
     asked = finals.filter(F.col("last").rlike(WORD_END)).select(
-        F.try_element_at("w", F.lit(-1)).alias("w1"),
         F.when(F.size("w") >= 2, F.concat_ws(" ", F.slice("w", -2, 2))).alias("w2"),
         F.when(F.size("w") >= 3, F.concat_ws(" ", "w")).alias("w3"),
     )
-    grams = asked.select(F.explode(F.array_compact(F.array("w2", "w3"))).alias("g")).distinct()
+    grams = cut(asked.select(F.explode(F.array_compact(F.array("w2", "w3"))).alias("g")).distinct())
+    shared = finals.filter(F.size(F.split("line", " ")) >= 2).groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= closing_docs)
+    shared = cut(shared)
 
     # One pass over all tokens: how often each word, and each context wanted, is followed by anything, and by an end.
-    grams = cut(grams)
-    small = bytes_of(grams) <= BROADCAST_BYTES
-    counts = _counted(docs.select("t"), [r["g"] for r in grams.toLocalIterator()] if small else [])
-    counts = cut(counts.groupBy("words", "g").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
+    counts = cut(_counted(df, key, source, text, grams, shared, closing_words))
     vocabulary = counts.filter((F.col("words") == 1) & (F.col("n") >= min_known)).select(F.col("g").alias("w"), "n", "ends")
-    contexts = counts.filter("words > 1").select("g", "n", "ends") if small else _contexts(docs, grams)
-    contexts = contexts.filter(F.col("n") >= min_seen)
+    contexts = spread_join(counts.filter("words IN (2, 3)").select("g", "n", "ends"), grams, ["g"], "n").filter(F.col("n") >= min_seen)
+    opened = counts.filter("words = 0").select(F.col("g").alias("line"), F.col("n").alias("more"))
+    closings = shared.join(opened, "line", "left").filter(F.coalesce("more", F.lit(0)) <= 0.2 * F.col("n")).select("line", F.lit(True).alias("closing"))
 
     # The trie's nodes under unknown final tokens.
     unknown = finals.filter(F.col("last").rlike(WORD_END)).select(F.try_element_at("w", F.lit(-1)).alias("w")).distinct().join(vocabulary.select("w"), "w", "left_anti")
@@ -90,7 +112,6 @@ def truncation_evidence(df: DataFrame, key: str, source: str, text: str, min_kno
 
     peaks = _peaks(finals, "chars", min_peak, peak).withColumnRenamed("peak", "char_peak")
     octet_peaks = _peaks(finals, "octets", min_peak, peak).withColumnRenamed("peak", "octet_peak")
-    closings = _closings(docs, finals, closing_docs)
 
     x = finals.withColumns({"w1": F.try_element_at("w", F.lit(-1)), "w2": F.when(F.size("w") >= 2, F.concat_ws(" ", F.slice("w", -2, 2))), "w3": F.when(F.size("w") >= 3, F.concat_ws(" ", "w"))})
     x = spread_join(x, known.select(F.col("w").alias("w1"), F.col("n").alias("n1"), F.col("ends").alias("e1"), "below"), ["w1"], "id", "left")
@@ -121,80 +142,81 @@ def truncation_evidence(df: DataFrame, key: str, source: str, text: str, min_kno
     return out.select(key, source, "chars", F.col("reason").isNotNull().alias("is_cut"), "reason")
 
 
-def _counted(texts: DataFrame, wanted: list[str]) -> DataFrame:
-    """Rows (words, g, n, ends), partial counts a task: of every word, and of the contexts of two or three in `wanted`
-    (a list of measured size). A task's table is emptied whenever it holds half a million entries."""
-    sent = texts.sparkSession.sparkContext.broadcast(wanted)
-    token, digits, stops = re.compile(PY_TOKENS), re.compile(r"\d+"), frozenset(".!?…\n")
+def _counted(df: DataFrame, key: str, source: str, text: str, grams: DataFrame, shared: DataFrame, most: int) -> DataFrame:
+    """Rows (words, g, n, ends): counts of every word (1), of the contexts of two or three words among `grams` (and a few
+    others that share a bit with one), and of lines that begin with one of the `shared` lines and go on (0).
+
+    Bitmaps of bounded size tell which contexts and lines are wanted. A repeated row counts once: the keys that occur
+    more than once are known beforehand, and counts of their rows bear a digest of the row, under which copies fall
+    together. A task's table is emptied whenever it holds half a million entries."""
+    spark = df.sparkSession
+
+    def of(table: DataFrame, column: str, size: int | None, take: int | None = None):
+        def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            d = Digests(1)
+            for b in batches:
+                parts = [g.split(" ")[:take] for g in b[column]]
+                yield pd.DataFrame({"h": [int(d.stretches(d.words(p), len(p)).astype("int64")[0]) for p in parts if size is None or len(p) == size]}).astype("int64")
+
+        return bitmap_of(cut(table.mapInPandas(digest, "h long").distinct()))
+
+    sent = spark.sparkContext.broadcast((of(grams, "g", 2), of(grams, "g", 3), of(shared, "line", None, 2), most))
+    rows = df.select(F.col(key).alias("id"), F.col(source).alias("src"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
+    often = rows.groupBy("id").count().filter("count > 1").select("id", F.lit(True).alias("often"))
+    rows = spread_join(rows, often, ["id"], "id", "left")
+    rows = rows.select("t", F.when(F.col("often") | F.col("id").isNull(), F.md5(F.concat_ws("\x00", F.col("id").cast("string"), "src", "t"))).alias("dup"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs: dict[str, dict[str, str]] = {}
-        triples: dict[str, dict[tuple[str, str], str]] = {}
-        for g in sent.value:
-            ws = g.split(" ")
-            if len(ws) == 2:
-                pairs.setdefault(ws[1], {})[ws[0]] = g
-            elif len(ws) == 3:
-                triples.setdefault(ws[2], {})[ws[0], ws[1]] = g
-        lasts = pairs.keys() | triples.keys()
-        n: list[Counter] = [Counter(), Counter(), Counter()]
-        ends: list[Counter] = [Counter(), Counter(), Counter()]
-
-        def out():
-            for w in [w for w in n[0] if w[0] in stops]:
-                del n[0][w]
-            for k in range(3):
+        pairs, triples, lines, most = sent.value
+        digests = Digests(2)
+        n: list[Counter] = [Counter() for _ in range(4)]
+        ends: list[Counter] = [Counter() for _ in range(4)]
+
+        def out(dup=None):
+            for w in [w for w in n[1] if w[0] in STOPS]:
+                del n[1][w]
+            for k in range(4):
                 if n[k]:
-                    yield pd.DataFrame({"words": k + 1, "g": list(n[k]), "n": list(n[k].values()), "ends": [ends[k][g] for g in n[k]]}).astype({"words": "int32", "n": "int64", "ends": "int64"})
+                    yield pd.DataFrame({"words": k, "g": list(n[k]), "dup": pd.Series([dup] * len(n[k]), dtype=object), "n": list(n[k].values()), "ends": [ends[k][g] for g in n[k]]}).astype({"words": "int32", "n": "int64", "ends": "int64"})
                 n[k].clear()
                 ends[k].clear()
 
+        def count(text: str) -> None:
+            toks = tokens_of(text)
+            if len(toks) < 2:
+                return
+            body = toks[:-1]
+            n[1].update(body)
+            ends[1].update([body[i] for i, w in enumerate(toks[1:]) if w[0] in STOPS])
+            h = digests.words(toks)
+            for k, bitmap in ((2, pairs), (3, triples)):
+                for i in held(bitmap, digests.stretches(h[:-1], k)).tolist():
+                    g = " ".join(body[i : i + k])
+                    n[k][g] += 1
+                    ends[k][g] += toks[i + k][0] in STOPS
+            begins = held(lines, digests.stretches(h, 2)).tolist()
+            for i in [i for i in begins if i == 0 or toks[i - 1][0] == "\n"]:
+                stop = next((j for j in range(i, min(len(toks), i + most + 1)) if toks[j][0] == "\n"), min(len(toks), i + most + 1))
+                for j in range(i + 2, stop):
+                    n[0][" ".join(toks[i:j])] += 1
+
         for b in batches:
-            for text in b["t"]:
-                toks = token.findall(digits.sub("0", text.lower()))
-                if len(toks) < 2:
-                    continue
-                body = toks[:-1]
-                n[0].update(body)
-                ends[0].update([toks[i] for i, w in enumerate(toks[1:]) if w[0] in stops])
-                for i in [i for i, w in enumerate(body) if w in lasts and i]:
-                    w, end = body[i], toks[i + 1][0] in stops
-                    found = (pairs.get(w, {}).get(body[i - 1]), triples.get(w, {}).get((body[i - 2], body[i - 1])) if i > 1 else None)
-                    for k, g in enumerate(found, 1):
-                        if g is not None:
-                            n[k][g] += 1
-                            ends[k][g] += end
+            again = [(t, d) for t, d in zip(b["t"], b["dup"]) if isinstance(d, str)]
+            if again:
+                yield from out()
+                for t, d in again:
+                    count(t.rstrip(BLANKS))
+                    yield from out(d)
+            for t, d in zip(b["t"], b["dup"]):
+                if not isinstance(d, str):
+                    count(t.rstrip(BLANKS))
             if sum(map(len, n)) > 500_000:
                 yield from out()
         yield from out()
 
-    return texts.mapInPandas(scan, "words int, g string, n long, ends long")
-
-
-def _contexts(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """The same counts of more contexts than can be sent around: joined, on salted keys."""
-    toks = _tokens("t")
-    at = F.sequence(F.lit(1), F.size("k") - 2)
-    entry = lambda i: F.struct(F.array(F.array_join(F.slice("k", i, 2), " "), F.when(i >= 2, F.array_join(F.slice("k", i - 1, 3), " "))).alias("g"), F.get("k", i).alias("w"), F.get("k", i + 1).rlike(END).cast("int").alias("e"))
-    steps = docs.select("id", toks.alias("k")).filter(F.size("k") >= 3).select("id", F.explode(F.transform(at, entry)).alias("x")).filter(~F.col("x.w").rlike(END))
-    pairs = steps.select("id", F.explode(F.array_compact("x.g")).alias("g"), F.col("x.e").alias("e"))
-    return cut(spread_join(pairs, grams, ["g"], "id", limit=0).groupBy("g").agg(F.count("*").alias("n"), F.sum("e").alias("ends")))
-
-
-def _last_three():
-    """The last three tokens of t's final sentence."""
-    words = _tokens(F.substring_index("t", " ", -9))
-    return F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))
-
-
-def _closings(docs: DataFrame, finals: DataFrame, least: int, words: int = 8) -> DataFrame:
-    """Final lines of two to `words` words that several texts share and that hardly open a longer line anywhere."""
-    shared = finals.filter(F.size(F.split("line", " ")).between(2, words)).groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    lines = docs.select("id", F.explode(F.split("t", "\n")).alias("l")).select("id", _tokens(F.substring_index(F.ltrim(F.col("l")), " ", words + 3)).alias("k")).filter(F.size("k") > 1)
-    heads = F.transform(F.sequence(F.lit(1), F.least(F.size("k") - 1, F.lit(words))), lambda i: F.array_join(F.slice(F.col("k"), F.lit(1), i), " "))
-    opened = spread_join(lines.select("id", F.explode(heads).alias("line")), shared.select("line"), ["line"], "id").groupBy("line").agg(F.count("*").alias("more"))
-    kept = shared.join(opened, "line", "left").filter(F.coalesce("more", F.lit(0)) <= 0.2 * F.col("n"))
-    return kept.select("line", F.lit(True).alias("closing"))
+    parts = rows.mapInPandas(scan, "words int, g string, dup string, n long, ends long")
+    one = lambda c: F.when(F.col("dup").isNull(), F.sum(c)).otherwise(F.max(c)).alias(c)
+    return parts.groupBy("words", "g", "dup").agg(one("n"), one("ends")).groupBy("words", "g").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
 def _peaks(finals: DataFrame, column: str, least: int, times: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from tallyforge import session as S
+from tallyforge.llm import leakage as L
 from tallyforge.llm import truncation as X
 
 SUBJECTS = "the committee,the workshop,the engineer,our gardener,a neighbour,the librarian".split(",")
@@ -44,14 +46,29 @@ def test_endings(spark):
     assert got == {1002: None, 1003: None, 1004: None, 1005: "open", 1006: "character", 1007: "open", 1008: "prefix", 1009: None, 1010: None}
 
 
-def test_joined_contexts_give_the_same(spark, monkeypatch):
+def test_small_bitmaps_and_joins_give_the_same(spark, monkeypatch):
     rows, _ = corpus(6, 300)
     df = spark.createDataFrame(rows, "k long, s string, t string")
     a = {(r.k, r.reason) for r in X.truncation_evidence(df, "k", "s", "t").collect()}
-    monkeypatch.setattr(X, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(L, "MOST_BITS", 10)
+    monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
     assert {(r.k, r.reason) for r in X.truncation_evidence(df, "k", "s", "t").collect()} == a
 
 
+def test_repeated_rows_change_nothing(spark):
+    rows, _ = corpus(9, 250)
+    reasons = lambda more: {(r.k, r.reason) for r in X.truncation_evidence(spark.createDataFrame(rows + more, "k long, s string, t string"), "k", "s", "t").collect()}
+    assert reasons([]) == reasons(rows[:40]) == reasons(rows[100:] + rows[100:])
+
+
+def test_last_tokens_equal_those_of_the_whole_text():
+    r = random.Random(5)
+    for _ in range(500):
+        t = "".join(r.choices(["word", "a-b", " ", " ", "\n", ".", "...", "12", "%", "’s", ",", "\t"], k=r.randrange(0, 900)))
+        assert X.last_tokens(t) == X.tokens_of(t)[-3:]
+    assert X.last_tokens("x" * 100_000) == ["x" * 100_000]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k long, s string, t string")
     assert X.truncation_evidence(df, "k", "s", "t").count() == 0
