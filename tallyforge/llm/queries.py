@@ -116,10 +116,14 @@ def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_by_source(_evidence(spark, folder), "source")
 
 
+#: Where the tokenizer's rank file lies on every machine.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def p8_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed into blocks of 2,048 tokens."""
-    counts = packing.token_counts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
-    placed = packing.pack(counts, "doc_id", "n_tokens", 2048)
+    counts = packing.token_counts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", RANKS)
+    placed = packing.pack(counts, "doc_id", "n_tokens", 2048, text_id="text_id")
     return placed.withColumnsRenamed({"first_unit": "first_token", "n_units": "n_tokens"})
 
 

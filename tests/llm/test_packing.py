@@ -7,6 +7,9 @@ import pytest
 from tallyforge.llm import packing as X
 
 
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def pack(spark, sizes, **kw):
     df = spark.createDataFrame([(i, n, "x", 1) for i, n in enumerate(sizes)], "k long, n long, block_id string, position int")
     return X.pack(df, "k", "n", **kw).collect()
@@ -55,5 +58,14 @@ def test_best_fit_takes_the_tightest():
 def test_token_counts(spark):
     pytest.importorskip("tiktoken")
     df = spark.createDataFrame([(1, "hello world", 0), (2, "", 0), (3, None, 0), (4, "<|endoftext|>", 0), (1, "hello world", 0)], "k long, t string, n_tokens int")
-    got = {r.k: r.n_tokens for r in X.token_counts(df, "k", "t").collect()}
+    got = {r.k: r.n_tokens for r in X.token_counts(df, "k", "t", RANKS).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
+
+
+def test_texts_of_one_key_and_size_stay_apart(spark):
+    pytest.importorskip("tiktoken")
+    df = spark.createDataFrame([("doc-a", "red car"), ("doc-a", "big dog"), ("doc-a", "big dog"), (None, "lone"), ("b", "x " * 3000)], "k string, t string")
+    counts = X.token_counts(df, "k", "t", RANKS)
+    rows = X.pack(counts, "k", "n_tokens", 2048, text_id="text_id").collect()
+    assert sorted((str(r.k), r.part) for r in rows) == [("None", 0), ("b", 0), ("b", 1), ("doc-a", 0), ("doc-a", 0)] and len({(r.k, r.text_id) for r in rows}) == 4
+    assert sum(r.n_units for r in rows) == counts.agg({"n_tokens": "sum"}).first()[0]
