@@ -30,9 +30,22 @@ _WORD = re.compile(r"[^\W_]+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+_HYPHENED = re.compile(r"[-‐‑­][^\S\n]*\r?\n")
+#: Every byte but ASCII letters and digits a blank.
+_PLAIN = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+
+
 def words_of(text: str) -> list[str]:
-    """Runs of letters and digits in lower case; a word broken by a hyphen at a line end is one."""
-    return _WORD.findall(_BROKEN.sub("", text).lower())
+    """Runs of letters and digits in lower case; a word broken by a hyphen at a line end is one. Lines of ASCII alone
+    need no regular expression."""
+    if _HYPHENED.search(text):
+        text = _BROKEN.sub("", text)
+    if text.isascii():
+        return text.lower().encode().translate(_PLAIN).decode().split()
+    out: list[str] = []
+    for line in text.split("\n"):
+        out += line.lower().encode().translate(_PLAIN).decode().split() if line.isascii() else _WORD.findall(line.lower())
+    return out
 
 
 def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:

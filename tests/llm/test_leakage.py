@@ -110,6 +110,15 @@ def test_words_broken_at_line_ends():
     assert X.words_of("The vendor's fig-\n  ures, on-call RÉSUMÉ_2") == ["the", "vendor", "s", "figures", "on", "call", "résumé", "2"]
 
 
+def test_words_of_any_text():
+    import re
+
+    r = random.Random(4)
+    for _ in range(2000):
+        t = "".join(r.choices(["ab", "é", "1", "_", "-", "‐", "\n", "\r\n", " ", "\x0b", "\x1c", "²", "ß", "İ", "-\n", "中", "\u0301"], k=r.randrange(0, 40)))
+        assert X.words_of(t) == re.findall(r"[^\W_]+", X._BROKEN.sub("", t).lower())
+
+
 def test_odd_inputs(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = [(1, None), (2, ""), (3, item), (3, item), (4, "one two three four five six seven eight nine"), (5, ("filler word " * 30_000) + item)]
