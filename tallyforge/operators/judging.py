@@ -23,14 +23,17 @@ def exemplar(answers: DataFrame, item: list[str], sample: str, met: str, evidenc
     return sided.groupBy(*item).agg(F.first("__m").alias("met"), F.min_by(sample, rank).alias("sample"))
 
 
-def k_of_n(votes: DataFrame, item: list[str], provider: str, sample: str, k: int) -> DataFrame:
-    """Rows (item, providers, confidence): items stated in at least k of a provider's samples (or all it gave, if
-    fewer); joined over providers, confidence 'high' if several state it."""
-    given = votes.groupBy(item[0], provider).agg(F.countDistinct(sample).alias("__n"))
+def k_of_n(votes: DataFrame, item: list[str], provider: str, sample: str, k: int, returned: DataFrame | None = None) -> DataFrame:
+    """Rows (item, providers, confidence): items stated in at least k of a provider's samples (or all that were
+    returned, if fewer); joined over providers, confidence 'high' if several state it, else 'medium'.
+
+    `returned` holds the samples that came back (item[0], provider, sample), those that state nothing among them;
+    without it the votes stand for them."""
+    given = (votes if returned is None else returned).groupBy(item[0], provider).agg(F.countDistinct(sample).alias("__n"))
     stated = votes.groupBy(*item, provider).agg(F.countDistinct(sample).alias("__k"))
     kept = stated.join(given, [item[0], provider]).filter(F.col("__k") >= F.least(F.lit(k), F.col("__n")))
     out = kept.groupBy(*item).agg(F.count("*").alias("providers"))
-    return out.withColumn("confidence", F.when(F.col("providers") > 1, "high").otherwise("low"))
+    return out.withColumn("confidence", F.when(F.col("providers") > 1, "high").otherwise("medium"))
 
 
 def band_table(spark: SparkSession, rules: dict[str, Sequence[str]]) -> DataFrame:

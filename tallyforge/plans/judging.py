@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import judging as J
 from tallyforge.operators.replies import read_replies
+from tallyforge.session import once
 from tallyforge.sources.tables import table
 
 SLUGS = ("agentic-systems", "ai-assisted-coding-fluency", "evaluation-rigour", "production-ownership", "resume-craft")
@@ -24,7 +25,7 @@ BANDS = {
 
 
 def _replies(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "judgments", "judgment_id", "resume_id", "provider", "sample_no", "categories").distinct()
+    return once(table(spark, folder, "judgments", "judgment_id", "resume_id", "provider", "sample_no", "categories"), "judgment_id")
 
 
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,9 +67,9 @@ def vote_exemplar(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vote_k_of_n_then_union(spark: SparkSession, folder: str) -> DataFrame:
-    """Criteria found unmet in two samples of a provider (or all it gave), over providers."""
-    unmet = _answers(spark, folder).filter("NOT met")
-    return J.k_of_n(unmet, ["resume_id", "criterion_id"], "provider", "sample_no", 2)
+    """Criteria found unmet in two samples of a provider (or all that were answered), over providers."""
+    answers = _answers(spark, folder)
+    return J.k_of_n(answers.filter("NOT met"), ["resume_id", "criterion_id"], "provider", "sample_no", 2, answers)
 
 
 def place_conflicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,12 +165,15 @@ QUERIES = {
 
 _R = """rp AS (SELECT DISTINCT judgment_id, resume_id, provider, sample_no, categories FROM judgments),
 js AS (SELECT * EXCLUDE (categories), TRY_CAST(regexp_extract(categories, '\\{.*\\}', 0, 's') AS JSON) AS j FROM rp)"""
-_A = f"""{_R}, sl AS (SELECT js.*, s.slug, json_extract(j, '$."' || s.slug || '".criteria') AS c FROM js CROSS JOIN (VALUES {', '.join(f"('{s}')" for s in SLUGS)}) s(slug) WHERE j IS NOT NULL),
-it AS (SELECT judgment_id, resume_id, provider, sample_no, slug, c, unnest(generate_series(0, CAST(json_array_length(c) AS BIGINT) - 1)) AS pos FROM sl WHERE json_type(c) = 'ARRAY'),
-ty AS (SELECT *, upper(regexp_replace(json_extract_string(c, '$[' || pos || '].id'), '^\\s+|\\s+$', '', 'g')) AS criterion,
-  lower(regexp_replace(json_extract_string(c, '$[' || pos || '].answer'), '^\\s+|\\s+$', '', 'g')) AS said, json_extract_string(c, '$[' || pos || '].evidence') AS evidence FROM it),
-va AS (SELECT *, said IN ('yes', 'true', 'y', 'met') AS met, row_number() OVER (PARTITION BY judgment_id, resume_id, provider, sample_no, slug, criterion ORDER BY pos) AS rn FROM ty
-  WHERE said IN ('yes', 'true', 'y', 'met', 'no', 'false', 'n', 'unmet') AND criterion IN ('C1', 'C2', 'C3', 'C4', 'C5')),
+_TRIM = r"'^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g'"
+_A = f"""{_R}, ks AS (SELECT * EXCLUDE (j), j, unnest(json_keys(j)) AS key, generate_subscripts(json_keys(j), 1) AS place FROM js WHERE j IS NOT NULL),
+sl AS (SELECT * EXCLUDE (j), lower(regexp_replace(key, {_TRIM})) AS slug, json_extract(j, '$."' || key || '".criteria') AS c FROM ks),
+it AS (SELECT judgment_id, resume_id, provider, sample_no, slug, place, c, unnest(generate_series(0, CAST(json_array_length(c) AS BIGINT) - 1)) AS pos FROM sl WHERE json_type(c) = 'ARRAY'),
+ty AS (SELECT *, upper(regexp_replace(json_extract_string(c, '$[' || pos || '].id'), {_TRIM})) AS cid,
+  lower(regexp_replace(regexp_replace(json_extract_string(c, '$[' || pos || '].answer'), {_TRIM}), '[.\\s]+$', '')) AS said, json_extract_string(c, '$[' || pos || '].evidence') AS evidence FROM it),
+cr AS (SELECT *, regexp_replace(CASE WHEN starts_with(cid, upper(slug) || '/') THEN substr(cid, length(slug) + 2) ELSE cid END, {_TRIM}) AS criterion FROM ty),
+va AS (SELECT *, said IN ('yes', 'true', 'y', 'met') AS met, row_number() OVER (PARTITION BY judgment_id, resume_id, provider, sample_no, slug, criterion ORDER BY place, pos) AS rn FROM cr
+  WHERE said IN ('yes', 'true', 'y', 'met', 'no', 'false', 'n', 'unmet', 'not met') AND criterion IN ('C1', 'C2', 'C3', 'C4', 'C5') AND slug IN ({', '.join(f"'{s}'" for s in SLUGS)})),
 a AS (SELECT *, slug || '/' || criterion AS criterion_id FROM va WHERE rn = 1)"""
 _POS = """CASE WHEN slug = 'resume-craft' THEN greatest(met, 1) - 1
   WHEN slug = 'ai-assisted-coding-fluency' THEN CASE WHEN NOT c1 THEN 0 WHEN NOT (c2 AND c3) THEN 1 WHEN NOT (c4 OR c5) THEN 2 WHEN NOT (c4 AND c5) THEN 3 ELSE 4 END
@@ -199,9 +203,9 @@ ORACLES = {
     "vote_majority": f"WITH {_A} {_MAJ}",
     "vote_exemplar": f"""WITH {_A}, j AS ({_MAJ}), k AS (SELECT a.*, j.met AS side, row_number() OVER (PARTITION BY a.resume_id, a.provider, a.criterion_id ORDER BY a.met <> j.met, coalesce(a.evidence, '') = '', a.sample_no) AS r
 FROM a JOIN j USING (resume_id, provider, criterion_id)) SELECT resume_id, provider, criterion_id, side AS met, sample_no AS sample FROM k WHERE r = 1""",
-    "vote_k_of_n_then_union": f"""WITH {_A}, u AS (SELECT * FROM a WHERE NOT met), g AS (SELECT resume_id, provider, count(DISTINCT sample_no) AS n FROM u GROUP BY 1, 2),
+    "vote_k_of_n_then_union": f"""WITH {_A}, u AS (SELECT * FROM a WHERE NOT met), g AS (SELECT resume_id, provider, count(DISTINCT sample_no) AS n FROM a GROUP BY 1, 2),
 s AS (SELECT resume_id, criterion_id, provider, count(DISTINCT sample_no) AS k FROM u GROUP BY 1, 2, 3)
-SELECT resume_id, criterion_id, count(*) AS providers, CASE WHEN count(*) > 1 THEN 'high' ELSE 'low' END AS confidence FROM s JOIN g USING (resume_id, provider) WHERE k >= least(2, n) GROUP BY 1, 2""",
+SELECT resume_id, criterion_id, count(*) AS providers, CASE WHEN count(*) > 1 THEN 'high' ELSE 'medium' END AS confidence FROM s JOIN g USING (resume_id, provider) WHERE k >= least(2, n) GROUP BY 1, 2""",
     "place_conflicts": f"WITH {_A} SELECT resume_id, provider, criterion_id, count(*) AS samples FROM a GROUP BY 1, 2, 3 HAVING count(DISTINCT met) > 1",
     "place_every_role": f"WITH {_A}, p AS (SELECT resume_id, criterion_id, provider, bool_or(met) AS y FROM a GROUP BY 1, 2, 3) SELECT resume_id, criterion_id, bool_and(y) AS met, count(*) AS providers FROM p GROUP BY 1, 2",
     "band_lookup": f"WITH {_B} SELECT judgment_id, slug, mask, band FROM bb",

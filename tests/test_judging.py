@@ -72,3 +72,16 @@ def test_replies(spark):
     reply = 'Sure:\n{"s": {"criteria": [{"id": " c1 ", "answer": "maybe"}, {"id": "C1", "answer": true}, {"id": "C1", "answer": "no"}, {"id": "C9", "answer": "yes"}, {"id": "C2", "answer": "n/a"}]}, "other": {"criteria": [{"id": "C1", "answer": "yes"}]}}'
     df = spark.createDataFrame([(1, reply), (2, None), (3, "nothing"), (4, "{broken")], "k long, r string")
     assert [tuple(r) for r in read_replies(df, ["k"], "r", ["s"], ["C1", "C2"]).collect()] == [(1, "s", "C1", True, None)]
+
+
+def test_spellings_of_replies(spark):
+    reply = '{" S ": {"criteria": [{"id": "s/c1", "answer": "Not met."}, {"id": "S/C2 ", "answer": " YES. "}, {"id": "C1", "answer": "yes"}]}, "s": {"criteria": [{"id": "C2", "answer": "no"}]}, "t": {"criteria": null}}'
+    df = spark.createDataFrame([(1, reply)], "k long, r string")
+    assert sorted(tuple(r)[2:4] for r in read_replies(df, ["k"], "r", ["s", "t"], ["C1", "C2"]).collect()) == [("C1", False), ("C2", True)]
+
+
+def test_one_complaint_in_three_samples_is_no_vote(spark):
+    returned = spark.createDataFrame([(1, "p", s) for s in range(3)], "doc long, provider string, sample int")
+    votes = spark.createDataFrame([(1, "c", "p", 0)], "doc long, item string, provider string, sample int")
+    assert J.k_of_n(votes, ["doc", "item"], "provider", "sample", 2, returned).count() == 0
+    assert J.k_of_n(votes, ["doc", "item"], "provider", "sample", 2, returned.limit(1)).first().confidence == "medium"
