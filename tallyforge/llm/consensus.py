@@ -3,46 +3,29 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.session import cut, spread_join
-
-YES = ("yes", "true", "y", "met")
-NO = ("no", "false", "n", "unmet", "not met")
-SLUGS = ("agentic-systems", "ai-assisted-coding-fluency", "evaluation-rigour", "production-ownership", "resume-craft")
-CRITERIA = ("C1", "C2", "C3", "C4", "C5")
+from tallyforge.operators.replies import read_replies
+from tallyforge.session import cut, once, spread_join
 
 #: Raters up to which their weights travel as one constant; beyond it they are joined.
 WEIGHTS_AS_CONSTANT = 20_000
 
 
-def reply_answers(df: DataFrame, reply_key: list[str], reply: str) -> DataFrame:
-    """Rows (reply_key, criterion_id, met): the yes/no answers of JSON replies, text around the JSON being ignored.
-
-    Dropped: unreadable replies, categories and criteria that don't exist, and answers that are neither yes nor no
-    (an abstention supports neither). Of several answers to one criterion the first counts. Criterion ids may have
-    blanks, any case, and the category before a slash.
-    """
-    shape = "map<string,struct<criteria:array<struct<id:string,answer:string>>>>"
-    body = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    cats = df.select(*reply_key, F.explode(F.from_json(body, shape)).alias("slug", "v")).filter(F.lower(F.trim("slug")).isin(*SLUGS))
-    slug = F.lower(F.trim("slug"))
-    items = cats.select(*reply_key, slug.alias("slug"), F.posexplode("v.criteria").alias("pos", "q"))
-    cid = F.upper(F.regexp_replace("q.id", r"(?U)^\s+|\s+$", ""))
-    own = F.concat(F.upper("slug"), F.lit("/"))
-    cid = F.when(F.startswith(cid, own), F.substring(cid, F.length(own) + 1, F.length(cid))).otherwise(cid)
-    said = F.regexp_replace(F.lower("q.answer"), r"(?U)^\s+|[\s.]+$", "")
-    met = F.when(said.isin(*YES), True).when(said.isin(*NO), False)
-    read = items.select(*reply_key, F.concat_ws("/", "slug", F.trim(cid)).alias("criterion_id"), F.trim(cid).alias("c"), met.alias("met"), "pos").filter(F.col("met").isNotNull() & F.col("c").isin(*CRITERIA))
-    return read.groupBy(*reply_key, "criterion_id").agg(F.min_by("met", "pos").alias("met"))
+def reply_answers(df: DataFrame, reply_key: list[str], reply: str, slugs: Sequence[str], criteria: Sequence[str]) -> DataFrame:
+    """Rows (reply_key, criterion_id, met): the yes/no answers of JSON replies to the given categories and criteria, the
+    first of each; see read_replies. Equal rows count once; only rows whose first key occurs several times are moved."""
+    read = read_replies(once(df.select(*reply_key, reply), reply_key[0]), reply_key, reply, slugs, criteria)
+    return read.select(*reply_key, F.concat_ws("/", "slug", "criterion").alias("criterion_id"), "met")
 
 
 def votes_by_rater(answers: DataFrame, item: list[str], rater: str) -> DataFrame:
     """Cut table (item, v): per item the yes and no counts of each rater, at most one entry a rater."""
     counts = answers.groupBy(*item, rater).agg(F.count_if("met").cast("double").alias("y"), F.count_if(~F.col("met")).cast("double").alias("n"))
-    return cut(counts.groupBy(*item).agg(F.collect_list(F.struct(F.col(rater).alias("r"), "y", "n")).alias("v")))
+    return cut(counts.groupBy(*item).agg(F.array_sort(F.collect_list(F.struct(F.col(rater).alias("r"), "y", "n"))).alias("v")))
 
 
 def reweighted_consensus(votes: DataFrame, item: list[str], rounds: int = 25, tolerance: float = 5e-4, smoothing: float = 4.0) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +38,10 @@ def reweighted_consensus(votes: DataFrame, item: list[str], rounds: int = 25, to
     at one half. The weights are the log odds of an answer under either accuracy, so a lenient rater's yes weighs
     little, and a rater that is wrong more often than right counts against. It ends when no accuracy moves by
     `tolerance`, or after `rounds`. Raters without an answer aren't listed; without votes both are empty.
+
+    Items with the same votes have the same score, so the rounds run over distinct votes with their numbers of items.
     """
+    same = cut(votes.groupBy("v").agg(F.count("*").cast("double").alias("m")))
     raters = votes.select(F.explode("v.r").alias("r")).groupBy("r").agg(F.count("*").alias("answers"))
     weights = cut(raters.select("r", *(F.lit(x).alias(c) for c, x in (("accuracy", 0.5), ("on_yes", 0.5), ("on_no", 0.5), ("wy", 1.0), ("wn", 1.0))), F.lit(0.0).alias("answers")))
     constant = weights.count() <= WEIGHTS_AS_CONSTANT
@@ -63,9 +49,9 @@ def reweighted_consensus(votes: DataFrame, item: list[str], rounds: int = 25, to
     score = F.aggregate("v", F.lit(0.0), lambda a, x: a + worth(x))
     half = smoothing / 2
     for _ in range(rounds):
-        each = _weighed(votes, weights, item, constant).select(F.explode("v").alias("x"), score.alias("s"))
+        each = _weighed(same, weights, ["m"], constant).select(F.explode("v").alias("x"), score.alias("s"), "m")
         p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("s") - worth(F.col("x"))))))
-        y, n = F.col("x.y"), F.col("x.n")
+        y, n = F.col("m") * F.col("x.y"), F.col("m") * F.col("x.n")
         sums = each.groupBy(F.col("x.r").alias("r")).agg(F.sum(p * y).alias("tp"), F.sum(p * (y + n)).alias("pos"), F.sum((1 - p) * n).alias("tn"), F.sum((1 - p) * (y + n)).alias("neg"))
         rates = sums.select("r", ((F.col("tp") + F.col("tn") + half) / (F.col("pos") + F.col("neg") + smoothing)).alias("accuracy"), ((F.col("tp") + half) / (F.col("pos") + smoothing)).alias("on_yes"), ((F.col("tn") + half) / (F.col("neg") + smoothing)).alias("on_no"), (F.col("pos") + F.col("neg")).alias("answers"))
         odds = {"wy": F.log(F.col("on_yes") / (1 - F.col("on_no"))), "wn": F.log(F.col("on_no") / (1 - F.col("on_yes")))}
@@ -86,9 +72,9 @@ def _weighed(votes: DataFrame, weights: DataFrame, item: list[str], constant: bo
         table = F.from_json(F.lit(known), "map<string,struct<wy:double,wn:double>>")
         own = lambda x: F.try_element_at(table, x["r"].cast("string"))
         return votes.withColumn("v", F.transform("v", lambda x: F.struct(x["r"].alias("r"), x["y"].alias("y"), x["n"].alias("n"), F.coalesce(own(x)["wy"], F.lit(0.0)).alias("wy"), F.coalesce(own(x)["wn"], F.lit(0.0)).alias("wn"))))
-    flat = votes.select(*item, F.explode("v").alias("x")).select(*item, F.col("x.r").alias("r"), "x.y", "x.n")
-    flat = spread_join(flat, weights.select("r", "wy", "wn"), ["r"], item[0])
-    return flat.groupBy(*item).agg(F.collect_list(F.struct("r", "y", "n", "wy", "wn")).alias("v"))
+    flat = votes.withColumn("__i", F.monotonically_increasing_id()).select("__i", *item, F.explode("v").alias("x")).select("__i", *item, F.col("x.r").alias("r"), "x.y", "x.n")
+    flat = spread_join(cut(flat), weights.select("r", "wy", "wn"), ["r"], "__i")
+    return flat.groupBy("__i", *item).agg(F.collect_list(F.struct("r", "y", "n", "wy", "wn")).alias("v"))
 
 
 def nominal_alpha(votes: DataFrame, group: list[str]) -> DataFrame:

@@ -78,9 +78,14 @@ def p6_copies(spark: SparkSession, folder: str) -> DataFrame:
     return classes.filter("posting_id = class_id").select("posting_id", "copies")
 
 
+#: The categories and criteria the judges answer. Fixed values.
+SLUGS = ("agentic-systems", "ai-assisted-coding-fluency", "evaluation-rigour", "production-ownership", "resume-craft")
+CRITERIA = ("C1", "C2", "C3", "C4", "C5")
+
+
 def _votes(spark: SparkSession, folder: str) -> DataFrame:
     replies = table(spark, folder, "judgments", "judgment_id", "resume_id", "provider", "categories")  # answers are read once a reply
-    answers = consensus.reply_answers(replies, ["judgment_id", "resume_id", "provider"], "categories")
+    answers = consensus.reply_answers(replies, ["judgment_id", "resume_id", "provider"], "categories", SLUGS, CRITERIA)
     return consensus.votes_by_rater(answers, ["resume_id", "criterion_id"], "provider")
 
 

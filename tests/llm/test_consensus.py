@@ -53,7 +53,7 @@ def test_replies(spark):
     good = 'Here: {"resume-craft": {"criteria": [{"id": "resume-craft/C1", "answer": "No."}, {"id": " c2 ", "answer": true}, {"id": "C2", "answer": false}, {"id": "C3", "answer": "unclear"}, {"id": "X1", "answer": "yes"}]}, "tone": {"criteria": [{"id": "C1", "answer": "yes"}]}, "agentic-systems": {"score": 3}}'
     rows = [(1, good, "x"), (2, None, "x"), (3, "{half", "x"), (4, "", "x")]
     df = spark.createDataFrame(rows, "k long, reply string, met string")
-    assert sorted((r.k, r.criterion_id, r.met) for r in X.reply_answers(df, ["k"], "reply").collect()) == [(1, "resume-craft/C1", False), (1, "resume-craft/C2", True)]
+    assert sorted((r.k, r.criterion_id, r.met) for r in X.reply_answers(df, ["k"], "reply", ["resume-craft", "agentic-systems"], ["C1", "C2", "C3"]).collect()) == [(1, "resume-craft/C1", False), (1, "resume-craft/C2", True)]
 
 
 def test_alpha(spark):
