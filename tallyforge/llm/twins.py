@@ -28,16 +28,22 @@ from tallyforge.session import cut, spread_join
 #: that stands at the same place in front of two flattened records.
 MAX_WORDS = 6
 
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.category(c)[0] == "M")
 _NAME = r"[^\W\d_](?:[^\W_]| ){0,30}?"
-_LABEL, _COLON, _OTHER = re.compile(rf"[\W_]*({_NAME})\s*:\s*\S"), re.compile(r"((?:[^\W_]|\s){1,40})\s*:"), re.compile(r"[\W_]+")
+_LABEL, _COLON, _OTHER = re.compile(rf"[\W_]*({_NAME})\s*:\s*\S"), re.compile(r"((?:[^\W_]|\s){1,40})\s*:"), re.compile(f"[^\\w{_MARKS}]+|_+")
 
 
-def _marks(m: re.Match) -> str:
-    return "".join(c for c in m.group() if unicodedata.category(c)[0] == "M")
+#: Every byte but ASCII letters and digits.
+_DROPPED = bytes(c for c in range(256) if not (c < 128 and chr(c).isalnum()))
 
 
 def _plain(x: str) -> str:
-    return _OTHER.sub("" if x.isascii() else _marks, x)
+    """Letters, digits and combining marks alone; text of ASCII needs no regular expression."""
+    if x.isascii():
+        return x.encode().translate(None, _DROPPED).decode()
+    if "\n" in x:
+        return "".join(map(_plain, x.split("\n")))
+    return _OTHER.sub("", x)
 
 
 def _lower(text: str) -> str:
