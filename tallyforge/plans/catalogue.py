@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import claims, corpus, documents, judging, periods, scoring, tables
+from tallyforge.plans import claims, corpus, documents, judging, periods, rules, scoring, tables
 
-MODULES = [periods, documents, claims, scoring, judging, corpus, tables]
+MODULES = [periods, documents, claims, rules, scoring, judging, corpus, tables]
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
