@@ -140,3 +140,63 @@ def compared(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> Dat
     both = a.join(b, keys, "full")
     status = F.when(F.col("__b").isNull(), "gone").when(F.col("__a").isNull(), "new").when(F.col("old").eqNullSafe(F.col("new")), "carried").otherwise("changed")
     return both.select(*keys, "old", "new", status.alias("status"))
+
+
+def place_answers(answers: DataFrame, item: list[str], place: str, met: str) -> DataFrame:
+    """Rows (item, place, met): each place's answer; a place answered both ways is left out, and so are abstentions."""
+    said = answers.filter(F.col(met).isNotNull()).groupBy(*item, place).agg(F.min(met).alias("met"), F.max(met).alias("__hi"))
+    return said.filter(F.col("met") == F.col("__hi")).drop("__hi")
+
+
+def any_place(required: DataFrame, answers: DataFrame, item: list[str], place: str) -> DataFrame:
+    """Rows (item, met): yes if some required place says yes; null if one that could change that is unanswered; else no.
+
+    required: (item, place); answers: (item, place, met), one row a place."""
+    both = required.join(answers, [*item, place], "left")
+    return both.groupBy(*item).agg(F.when(F.max("met"), True).when(F.count("met") < F.count("*"), None).otherwise(False).alias("met"))
+
+
+def every_group(required: DataFrame, answers: DataFrame, item: list[str], group: str, place: str) -> DataFrame:
+    """Rows (item, met): no if some group is answered in full without a yes; else null if a group without a yes has
+    unanswered places; else yes. required: (item, group, place); a group without places has no yes."""
+    both = required.join(answers, [*item, place], "left")
+    per = both.groupBy(*item, group).agg(F.coalesce(F.max("met"), F.lit(False)).alias("__yes"), (F.count("met") == F.count(place)).alias("__full"))
+    failing, undecided = F.max(~F.col("__yes") & F.col("__full")), F.max(~F.col("__yes") & ~F.col("__full"))
+    return per.groupBy(*item).agg(F.when(failing, False).when(undecided, None).otherwise(True).alias("met"))
+
+
+def band_verdicts(judged: DataFrame, item: list[str], group: str, judge: str, position: str) -> DataFrame:
+    """Rows (group, items, exact, adjacent, far, unstable, verdict): per item the widest gap between two judges' bands.
+    'FAIL' with a far gap or several adjacent ones, 'look' with one or with a judge that contradicts itself."""
+    per = judged.groupBy(group, *item, judge).agg(F.min(position).alias("__lo"), F.max(position).alias("__hi"))
+    packed = per.groupBy(group, *item).agg(F.collect_list(F.struct(F.col(judge).alias("j"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"))).alias("__x"), F.max((F.col("__lo") != F.col("__hi")).cast("int")).alias("__u"))
+    gaps = F.flatten(F.transform("__x", lambda a: F.transform("__x", lambda b: F.when(a["j"] != b["j"], a["hi"] - b["lo"]))))
+    gap = packed.select(group, "__u", F.array_max(gaps).alias("__g"))
+    sums = gap.groupBy(group).agg(F.count("__g").alias("items"), F.count_if(F.col("__g") <= 0).alias("exact"), F.count_if(F.col("__g") == 1).alias("adjacent"), F.count_if(F.col("__g") > 1).alias("far"), F.sum("__u").alias("unstable"))
+    verdict = F.when((F.col("far") > 0) | (F.col("adjacent") > 1), "FAIL").when((F.col("adjacent") > 0) | (F.col("unstable") > 0), "look").otherwise("pass")
+    return sums.withColumn("verdict", verdict)
+
+
+def spread_verdicts(values: DataFrame, item: list[str], judge: str, value: str, passes: float = 5.0, fails: float = 8.0) -> DataFrame:
+    """Rows (item, spread, verdict): the widest difference between values of two judges; null with one judge."""
+    per = values.groupBy(*item, judge).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    packed = per.groupBy(*item).agg(F.collect_list(F.struct(F.col(judge).alias("j"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"))).alias("x"))
+    gaps = F.array_max(F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: F.when(a["j"] != b["j"], a["hi"] - b["lo"])))))
+    return packed.select(*item, gaps.alias("spread")).withColumn("verdict", F.when(F.col("spread") <= passes, "pass").when(F.col("spread") <= fails, "look").when(F.col("spread").isNotNull(), "FAIL"))
+
+
+def offsets(pairs: DataFrame, group: str, a: str, b: str, bar: float = 5.0) -> DataFrame:
+    """Rows (group, n, offset, worst, mean_residual, inside, higher): the mean difference of two judges, what is left once
+    it is taken out, how many are within `bar` then, and in how many the second is higher."""
+    diff = F.col(b) - F.col(a)
+    means = pairs.groupBy(group).agg(F.avg(diff).alias("offset"))
+    left = pairs.join(F.broadcast(means), group).withColumn("__r", F.abs(diff - F.col("offset")))  # a row a group
+    return left.groupBy(group).agg(F.count("*").alias("n"), F.first("offset").alias("offset"), F.max("__r").alias("worst"), F.avg("__r").alias("mean_residual"), F.count_if(F.col("__r") <= bar).alias("inside"), F.count_if(diff > 0).alias("higher"))
+
+
+def key_score(key: DataFrame, samples: DataFrame, answers: DataFrame, item: list[str], judge: list[str]) -> DataFrame:
+    """Rows (judge, matched, wrong, missing): each judge's answers against a key (item, answer). `samples` lists the
+    judges that were asked, so that one without any answer has a row; an entry a judge left out is missing."""
+    asked = samples.select(*judge).distinct().join(F.broadcast(key))  # every judge is asked every entry of a small key
+    both = asked.join(answers.select(*judge, *item, F.col("met").alias("__m")), [*judge, *item], "left")
+    return both.groupBy(*judge).agg(F.count_if(F.col("__m") == F.col("answer")).alias("matched"), F.count_if(F.col("__m") != F.col("answer")).alias("wrong"), F.count_if(F.col("__m").isNull()).alias("missing"))

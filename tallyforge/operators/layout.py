@@ -35,8 +35,8 @@ def gutters(words: DataFrame, pages: DataFrame, least_words: int = 40, gap: floa
     best = Window.partitionBy("doc_id", "page").orderBy(F.desc_nulls_last("__g"), "__x")
     top = placed.filter(F.col("__n") >= least_words).withColumn("__b", F.row_number().over(best)).filter("__b = 1 AND __g IS NOT NULL")
     wide = top.join(pages.select("doc_id", "page", "width"), ["doc_id", "page"]).filter((F.col("__g") >= gap * F.col("width")) & (F.least("__r", F.col("__n") - F.col("__r")) >= side * F.col("__n")))
-    middle = wide.select("doc_id", "page", F.col("__x").alias("left_x"), (F.col("__x") + F.col("__g") / 2).alias("__m"), (F.col("__g") / F.col("width")).alias("width_share"))
-    crossing = words.join(middle, ["doc_id", "page"]).groupBy("doc_id", "page", "left_x", "width_share").agg(F.count_if((F.col("x0") < F.col("__m")) & (F.col("x1") > F.col("__m"))).alias("__s"))
+    middle = wide.select("doc_id", "page", F.col("__x").alias("left_x"), (F.col("__x") + F.col("__g")).alias("__m"), (F.col("__g") / F.col("width")).alias("width_share"))
+    crossing = words.join(middle, ["doc_id", "page"]).groupBy("doc_id", "page", "left_x", "width_share").agg(F.count_if((F.col("x0") < F.col("left_x")) & (F.col("x1") > F.col("__m"))).alias("__s"))
     return crossing.filter(F.col("__s") <= straddlers).drop("__s")
 
 
@@ -57,3 +57,19 @@ def font_families(fonts: DataFrame) -> DataFrame:
     """Rows (doc_id, families): distinct fonts without subset prefix and style."""
     family = F.lower(F.regexp_replace(F.regexp_replace("font_name", r"^[A-Z]{6}\+", ""), r"[-,](?:Bold|Italic|Regular|Oblique|Medium|Light|Roman|MT|PS).*$", ""))
     return fonts.groupBy("doc_id").agg(F.countDistinct(family).alias("families"))
+
+
+def line_spacing(words: DataFrame, most: float = 60.0) -> DataFrame:
+    """Rows (doc_id, spacing): the median distance between neighbouring tops of the first page's words, distances of zero
+    and of `most` or more left out."""
+    w = Window.partitionBy("doc_id").orderBy("top")
+    gaps = words.filter("page = 0").select("doc_id", (F.col("top") - F.lag("top").over(w)).alias("g")).filter((F.col("g") > 0) & (F.col("g") < most))
+    return gaps.groupBy("doc_id").agg(F.median("g").alias("spacing"))
+
+
+def visible_text(docs: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Rows (doc_id, visible, dropped): texts with every hidden span replaced by a blank, and how many there were."""
+    spans = hidden.groupBy("doc_id").agg(F.array_sort(F.collect_list("span")).alias("__h"))
+    both = docs.select("doc_id", "text").join(spans, "doc_id", "left")
+    none = F.array().cast("array<string>")
+    return both.select("doc_id", F.aggregate(F.coalesce("__h", none), F.col("text"), lambda t, h: F.replace(t, h, F.lit(" "))).alias("visible"), F.size(F.coalesce("__h", none)).alias("dropped"))

@@ -14,7 +14,7 @@ MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct no
 NOW = ("present", "current", "now", "today", "ongoing")
 
 _TOKEN = r"(?:[A-Za-z]{3,9}\.? (?:19|20)\d\d|\d{1,2}/(?:19|20)\d\d|(?:19|20)\d\d)"
-_RANGE = re.compile(rf"({_TOKEN})\s*(?:-|–|—|to)\s*({_TOKEN}|{'|'.join(NOW)})\s*$", re.I)
+_RANGE = re.compile(rf"({_TOKEN})\s*(?:-|–|—|to|until)\s*({_TOKEN}|{'|'.join(NOW)})", re.I)
 _BULLET = re.compile(r"^\s*(?:[•▪*\-–◦·]|\d{1,2}[.)]|o|\(cid:\d+\))\s+")
 _SPLITS = (r", ", r"\s+at\s+", r"\s+\|\s+", r"\s+–\s+", r"\s+-\s+", r"\s+—\s+")
 
@@ -35,10 +35,10 @@ def split_heading(line: str) -> tuple[str, str, dt.date | None, dt.date | None,
     start = parse_date(m[1]) if m else None
     current = bool(m) and m[2].lower() in NOW
     end = parse_date(m[2]) if m and not current else None
-    name = (line[: m.start()] if m else line).strip(" \t,|–—-")
+    name = (f"{line[: m.start()]} {line[m.end() :]}" if m else line).strip(" \t,|–—-()")
     for pattern in _SPLITS:
-        if len(parts := re.split(pattern, name)) > 1:
-            return ", ".join(parts[:-1]).strip(), parts[-1].strip(), start, end, current
+        if len(parts := re.split(pattern, name, maxsplit=1)) > 1:
+            return parts[0].strip(), parts[1].strip(), start, end, current
     return name, "", start, end, current
 
 

@@ -16,7 +16,7 @@ def test_roles(spark):
     df = spark.createDataFrame([(1, TEXT), (1, TEXT), (2, None), (3, "no section")], "k long, t string")
     got = [(r.role_ix, r.title, r.company, r.subtitle, r.start_date, r.end_date, r.is_current, list(r.bullets), r.line_index) for r in R.parsed_roles(df, "k", "t").orderBy("role_ix").collect()]
     assert got == [
-        (0, "Data Engineer, Oakford", "Corfield Labs", "Remote", dt.date(2010, 1, 1), dt.date(2012, 3, 1), False, ["built it twice", "ran it"], 3),
+        (0, "Data Engineer", "Oakford, Corfield Labs", "Remote", dt.date(2010, 1, 1), dt.date(2012, 3, 1), False, ["built it twice", "ran it"], 3),
         (1, "Analyst", "Balford", "", dt.date(2008, 12, 1), None, True, ["one"], 9),
         (2, "Undated thing", "", "", None, None, False, ["two"], 12),
     ]
