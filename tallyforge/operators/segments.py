@@ -41,12 +41,14 @@ def sections(df: DataFrame, key: str, text: str, names: Mapping[str, str], start
     return kept.groupBy(key, F.col("part").alias("section")).agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"))
 
 
-def bucketed(df: DataFrame, key: str, text: str, headings: Mapping[str, str], start: str, rescue_to: str, rescue_from: str, rescue_if: str) -> DataFrame:
-    """Rows (key, line_no, bucket, line): the non-blank lines of postings under the bucket of the last header line.
+def bucketed(df: DataFrame, key: str, text: str, headings: Mapping[str, str], start: str, rescue_to: str, rescue_from: str, rescue_if: str, most_chars: int = 60) -> DataFrame:
+    """Rows (key, line_no, bucket, line): the non-blank lines of postings under the bucket of the last header line, which
+    has at most `most_chars` characters.
 
     `headings`: bucket by pattern, in order of precedence. A document with headers but nothing under `rescue_to`
     gets those lines of `rescue_from` there that match `rescue_if`."""
-    parts = carried_forward(numbered_lines(df, key, text), key, T.first_present(T.squeezed_lower(F.col("line")), headings), start)
+    line = T.squeezed_lower(F.col("line"))
+    parts = carried_forward(numbered_lines(df, key, text), key, F.when(F.length(line) <= most_chars, T.first_present(line, headings)), start)
     per_doc = Window.partitionBy(key)
     body = ~F.col("is_heading") & F.col("line").rlike(r"\S")
     has_headers = F.max(F.col("is_heading").cast("int")).over(per_doc) == 1

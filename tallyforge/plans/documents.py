@@ -9,12 +9,31 @@ from tallyforge.functions import text as T
 from tallyforge.operators import segments
 from tallyforge.operators.intervals import latest_rows
 from tallyforge.operators.roles import parsed_roles
+from tallyforge.session import once
 from tallyforge.sources.tables import table
 
 SECTIONS = {"summary": "summary", "profile": "summary", "experience": "experience", "work experience": "experience", "employment": "experience", "skills": "skills", "education": "education", "references": "references", "personal": "personal", "personal details": "personal"}
 
-#: Header lines of postings, as their bucket's pattern, in order of precedence.
-BUCKETS = {"duties": r"^what you will do$", "required": r"^(?:what we expect|requirements|you have)$", "nice": r"^nice to have$"}
+#: Header lines of postings, as their bucket's phrases, in order of precedence, and the family of headings that say who
+#: fits. Fixed values.
+HEADERS = {
+    "duties": "about the role|about this role|about the opportunity|the opportunity|the role|what you'll do|what you will do|what you'll be doing|responsibilities|your role|day to day|day-to-day|role overview|role scope|scope of the role",
+    "required": r"what we're looking for|what we are looking for|what we expect|who you are|what you'll bring|what you will bring|your background|requirements|qualifications|minimum qualifications|basic qualifications|must haves|must-haves|required skills|skills & experience|skills and experience|about you|you have|what you need|what you'll need|what you will need|you (?:may|might|could|would) be an? (?:good|great|strong|ideal) fit(?: if you\b[a-z' ]*)?",
+    "nice": "nice to have|nice-to-have|bonus points|bonus|preferred qualifications|preferred|extra credit|a plus|technical environment|core engineering stack|tech stack|our stack|technologies we use",
+    "other": "benefits|perks|what we offer|compensation|about us|about the company|about the team|equal opportunity|how to apply|diversity|our values|who we are",
+}
+BUCKETS = {k: rf"^(?:{v}) ?:?$" for k, v in HEADERS.items()}
+HEADER_CHARS = 60
+#: Sentences that state a requirement or a duty. Fixed values.
+REQUIREMENT = r"\byou (?:have|need|should have)\b|\bmust have\b|\bexperience (?:with|in)\b|\bproficiency (?:with|in)\b|\b\d+\+?\s*years?\b|\brequired\b"
+DUTY = r"\byou(?:'| wi)ll\b|\byou will\b"
+#: Typographic quotes, dashes and blanks, and the plain ones.
+MARKS = ("‘’ʼ“”–—\u00a0", "'''" + '""' + "-- ")
+
+
+def plain_marks(text):
+    return F.translate(text, *MARKS)
+
 
 RULES = {
     "dash_cluster": "—[^—\n]*—",
@@ -26,7 +45,7 @@ RULES = {
 
 
 def _resumes(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "resumes", "resume_id", "text").distinct()
+    return once(table(spark, folder, "resumes", "resume_id", "text"), "resume_id")
 
 
 def _bullets(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +111,7 @@ def bullet_locators(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rule_long_bullet(spark: SparkSession, folder: str) -> DataFrame:
-    """Bullets of more than 16 words."""
+    """Bullets of more than 16 words; the bound of 30 is in rules_bullets."""
     n = F.size(T.words(F.col("bullet"))).cast("long")
     return _bullets(spark, folder).select("resume_id", "locator", n.alias("n_words")).filter("n_words > 16")
 
@@ -170,21 +189,41 @@ def text_rule_slugs(spark: SparkSession, folder: str) -> DataFrame:
 
 def posting_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of each bucket of a posting, duties moved to required where nothing is."""
-    posts = table(spark, folder, "postings", "posting_id", "raw_text").distinct()
-    out = segments.bucketed(posts, "posting_id", "raw_text", BUCKETS, "intro", "required", "duties", r"\d+ (?:years|months)|hands-on|you have")
+    posts = once(table(spark, folder, "postings", "posting_id", "raw_text"), "posting_id")
+    posts = posts.withColumn("raw_text", plain_marks(F.col("raw_text")))
+    out = segments.bucketed(posts, "posting_id", "raw_text", BUCKETS, "duties", "required", "duties", REQUIREMENT, HEADER_CHARS)
     return out.groupBy("posting_id", "bucket").agg(F.count("*").alias("n_lines"), F.min("line_no").cast("long").alias("first_line"))
 
 
+def posting_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences of documents that state a requirement or else a duty: how a posting without headings is sorted; where
+    none does, the whole text is required."""
+    docs = table(spark, folder, "documents", "doc_id", "text").filter("text IS NOT NULL")
+    parts = F.split("text", r"(?<=[.!?])\s+", -1)
+    sort = lambda x: F.when(F.lower(plain_marks(x)).rlike(REQUIREMENT), "required").when(F.lower(plain_marks(x)).rlike(DUTY), "duties")
+    sorted_ = F.filter(F.transform(parts, sort), lambda b: b.isNotNull())
+    flat = docs.select("doc_id", sorted_.alias("b")).select("doc_id", (F.size("b") == 0).alias("whole"), F.explode(F.when(F.size("b") > 0, F.col("b")).otherwise(F.array(F.lit("required")))).alias("bucket"))
+    return flat.groupBy("doc_id", "bucket", "whole").agg(F.count("*").alias("sentences"))
+
+
+def posting_bullets_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Rejoined bullets of 40 to 260 characters without links or addresses."""
+    posts = once(table(spark, folder, "postings", "posting_id", "raw_text"), "posting_id")
+    out = segments.rejoined_bullets(segments.numbered_lines(posts, "posting_id", "raw_text"), "posting_id")
+    kept = out.filter(F.length("bullet").between(40, 260) & ~F.col("bullet").rlike(r"(?i)https?://|www\.|@|equal opportunity"))
+    return kept.groupBy("posting_id").agg(F.count("*").alias("bullets"), F.sum(F.length("bullet")).alias("chars"))
+
+
 def posting_bullets_rejoined(spark: SparkSession, folder: str) -> DataFrame:
     """Bullets of postings with the lines that continue them."""
-    posts = table(spark, folder, "postings", "posting_id", "raw_text").distinct()
+    posts = once(table(spark, folder, "postings", "posting_id", "raw_text"), "posting_id")
     out = segments.rejoined_bullets(segments.numbered_lines(posts, "posting_id", "raw_text"), "posting_id")
     return out.select("posting_id", F.col("first_line").cast("long").alias("first_line"), "n_lines", F.md5("bullet").alias("digest"))
 
 
 def posting_labels(spark: SparkSession, folder: str) -> DataFrame:
     """The labelled lines that open a posting, one column each; empty if absent."""
-    posts = table(spark, folder, "postings", "posting_id", "raw_text").distinct().filter("raw_text IS NOT NULL")
+    posts = once(table(spark, folder, "postings", "posting_id", "raw_text"), "posting_id").filter("raw_text IS NOT NULL")
     return posts.select("posting_id", *(F.regexp_extract("raw_text", rf"(?im)^[ \t]*{x}[ \t]*:[ \t]*([^\n]*)", 1).alias(x) for x in ("level", "team", "location", "contract")))
 
 
@@ -198,7 +237,7 @@ QUERIES = {
     for f in (
         seg_roles_parsed, scan_documents_lines, norm_whitespace_lower, filter_unreadable, contact_first_match, glyph_normalise, exotic_bullets, section_lines, section_missing, bullet_locators,
         rule_long_bullet, rule_quantified_share, rule_rhythm, rule_synonym_cycling, rule_over_repetition, rule_duplicate_bullet_first_match, text_named_tokens, text_quantities,
-        text_portability, rule_pattern_hits, text_truncated_messages, text_rule_slugs, posting_buckets, posting_bullets_rejoined, posting_labels,
+        text_portability, rule_pattern_hits, text_truncated_messages, text_rule_slugs, posting_buckets, posting_sentences, posting_bullets_kept, posting_bullets_rejoined, posting_labels,
     )
 }
 
@@ -213,6 +252,8 @@ _VALID = """latest AS (
 )"""
 
 _LINES = r"string_split_regex(text, '\r\n|\n|\r')"
+_qq = lambda p: p.replace("'", "''")
+_PLAIN_MARKS = f"translate(raw_text, '{MARKS[0][:-1]}' || chr(160), '{_qq(MARKS[1])}')"
 _TRIM = r"'^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g'"
 _SEC = f"""src AS (SELECT DISTINCT resume_id, text FROM resumes WHERE text IS NOT NULL),
 ln AS (SELECT resume_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) - 1 AS line_no FROM src),
@@ -254,15 +295,20 @@ SELECT b.resume_id, b.ix, min(a.ix) AS first_ix FROM s a JOIN s b ON a.resume_id
     "text_truncated_messages": r"""SELECT finding_id, regexp_replace(CASE WHEN regexp_extract(left(message, 24), '^(.*)\s\S*$', 1) = '' THEN left(message, 24) ELSE regexp_extract(left(message, 24), '^(.*)\s\S*$', 1) END, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') || '…' AS short
 FROM (SELECT DISTINCT finding_id, message FROM findings) WHERE length(message) > 24""",
     "text_rule_slugs": r"""SELECT regexp_replace(left(regexp_replace(lower(message), '[^a-z0-9]+', '-', 'g'), 30), '^-+|-+$', '', 'g') AS slug, count(*) AS times FROM (SELECT DISTINCT finding_id, message FROM findings WHERE message IS NOT NULL) GROUP BY 1""",
-    "posting_buckets": rf"""WITH src AS (SELECT DISTINCT posting_id, raw_text AS text FROM postings WHERE raw_text IS NOT NULL), ln AS (SELECT posting_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) - 1 AS line_no FROM src),
-hd AS (SELECT *, CASE WHEN k = 'what you will do' THEN 'duties' WHEN k IN ('what we expect', 'requirements', 'you have') THEN 'required' WHEN k = 'nice to have' THEN 'nice' END AS h FROM (SELECT *, lower(regexp_replace(regexp_replace(line, '[\s\x{{a0}}]+', ' ', 'g'), {_TRIM})) AS k FROM ln)),
-pt AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY posting_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'intro') AS part, h IS NULL AND regexp_matches(line, '\S') AS body FROM hd),
+    "posting_buckets": rf"""WITH src AS (SELECT DISTINCT posting_id, {_PLAIN_MARKS} AS text FROM postings WHERE raw_text IS NOT NULL), ln AS (SELECT posting_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) - 1 AS line_no FROM src),
+hd AS (SELECT *, CASE WHEN length(k) <= {HEADER_CHARS} THEN CASE {' '.join(f"WHEN regexp_matches(k, '{_qq(p)}') THEN '{b}'" for b, p in BUCKETS.items())} END END AS h FROM (SELECT *, lower(regexp_replace(regexp_replace(line, '[\s\x{{a0}}]+', ' ', 'g'), {_TRIM})) AS k FROM ln)),
+pt AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY posting_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'duties') AS part, h IS NULL AND regexp_matches(line, '\S') AS body FROM hd),
 fl AS (SELECT *, bool_or(h IS NOT NULL) OVER (PARTITION BY posting_id) AND NOT bool_or(body AND part = 'required') OVER (PARTITION BY posting_id) AS rescue FROM pt),
-bk AS (SELECT *, CASE WHEN rescue AND part = 'duties' AND regexp_matches(lower(line), '\d+ (?:years|months)|hands-on|you have') THEN 'required' ELSE part END AS bucket FROM fl WHERE body)
+bk AS (SELECT *, CASE WHEN rescue AND part = 'duties' AND regexp_matches(lower(line), '{REQUIREMENT}') THEN 'required' ELSE part END AS bucket FROM fl WHERE body)
 SELECT posting_id, bucket, count(*) AS n_lines, min(line_no) AS first_line FROM bk GROUP BY 1, 2""",
+    "posting_sentences": rf"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS raw_text FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, lower({_PLAIN_MARKS}) AS t FROM s),
+b AS (SELECT doc_id, CASE WHEN regexp_matches(t, '{REQUIREMENT}') THEN 'required' WHEN regexp_matches(t, '{_qq(DUTY)}') THEN 'duties' END AS bucket FROM n), c AS (SELECT doc_id, bucket, count(*) AS sentences FROM b WHERE bucket IS NOT NULL GROUP BY 1, 2)
+SELECT doc_id, bucket, false AS whole, sentences FROM c UNION ALL SELECT doc_id, 'required', true, 1 FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM c)""",
     "posting_bullets_rejoined": rf"""WITH src AS (SELECT DISTINCT posting_id, raw_text AS text FROM postings WHERE raw_text IS NOT NULL), ln AS (SELECT posting_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) - 1 AS line_no FROM src),
 mk AS (SELECT *, regexp_matches(line, '^\s*[•*\-▪]\s') AS m FROM ln), mo AS (SELECT *, regexp_matches(line, '^\s{{2,}}\S') AND NOT m AS more FROM mk),
 il AS (SELECT *, sum(CASE WHEN more THEN 0 ELSE 1 END) OVER (PARTITION BY posting_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS i FROM mo)
 SELECT posting_id, min(line_no) AS first_line, count(*) AS n_lines, md5(regexp_replace(string_agg(regexp_replace(line, {_TRIM}), ' ' ORDER BY line_no), '^[•*\-▪]\s*', '')) AS digest FROM il GROUP BY posting_id, i HAVING arg_min(m, line_no)""",
     "posting_labels": "SELECT posting_id, " + ", ".join(rf"regexp_extract(raw_text, '(?im)^[ \t]*{x}[ \t]*:[ \t]*([^\n]*)', 1) AS {x}" for x in ("level", "team", "location", "contract")) + " FROM (SELECT DISTINCT posting_id, raw_text FROM postings WHERE raw_text IS NOT NULL)",
 }
+_REJOINED = ORACLES["posting_bullets_rejoined"].replace("md5(regexp_replace(string_agg", "(regexp_replace(string_agg").replace("AS digest", "AS bullet")
+ORACLES["posting_bullets_kept"] = f"SELECT posting_id, count(*) AS bullets, CAST(sum(length(bullet)) AS BIGINT) AS chars FROM ({_REJOINED}) WHERE length(bullet) BETWEEN 40 AND 260 AND NOT regexp_matches(bullet, '(?i)https?://|www\\.|@|equal opportunity') GROUP BY 1"
