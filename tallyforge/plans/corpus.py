@@ -19,6 +19,23 @@ DIMENSIONS = {
 }
 
 
+#: The eight families of what a posting may ask for. "Your own" and the like is taken out before. Fixed values.
+_SHIP, _PLACE = r"(?:ship(?:s|ped|ping)?|deploy(?:s|ed|ing)?|launch(?:es|ed|ing)?|deliver(?:s|ed|ing)?|release[sd]?|releasing)", r"(?:production|prod|customers?|users?)"
+FAMILIES = {
+    "production": rf"\b(?:in|into|to|reach(?:ed|ing)?|within)\s+production\b|\bproduction[- ](?:grade|quality|code|system|systems|service|services|environment|application|applications|llm|ml|ai|logs|traffic|readiness|ready)\b|\b{_SHIP}\b[^.]{{0,40}}\b{_PLACE}\b|\bon.call\b|\bincident (?:response|management)\b|\bsl[ao]s?\b|\b(?:live|real|production)\s+traffic\b",
+    "ownership": r"\bown(?:s|ed|ing|ership)\b|\bown\b|\bend[ -]?to[ -]?end\b|\bafter launch\b|\bfull(?: project| product)? lifecycle\b",
+    "reliability": r"\breliabilit(?:y|ies)\b|\breliable\b|\brobustness\b|\buptime\b|\bavailability\b|\bguardrails?\b|\btrustworthy\b|\bauditability\b|\bauditable\b|\bmonitor(?:s|ed|ing)?\b|\b(?:failure|error) (?:modes?|analysis|handling)\b",
+    "agentic": r"\bagentic\b|\bagents?\b|\btool[- ](?:use|using|calling)\b|\bautonomous\b|\bautonomy\b",
+    "evaluation": r"\bevals?\b|\bevaluations?\b|\bevaling\b|\bbenchmark(?:s|ed|ing)?\b|\ba/b test|\bmeasure\b[^.]{0,40}\b(?:quality|performance|regressions?|accuracy)\b",
+    "ai_assisted_coding": r"\bai[- ]assisted\b|\bai[- ](?:coding|dev|development)\b|\b(?:coding|dev|development)\s+(?:models?|agents?|assistants?)\b|\bagentic (?:development|coding|engineering)\b|\b(?:copilot|cursor|codeium|windsurf|aider)\b|\b(?:with|using)\s+ai\s+(?:coding\s+)?tools?\b",
+    "seniority": r"ambiguous problems?|\bambiguity\b|\b0 ?(?:to|-) ?1\b|greenfield|minimal (?:guidance|oversight|supervision)|self.directed",
+    "experience_gate": r"\b\d+\+?\s*(?:-|to)?\s*\d*\+?\s*years?\b[^.]{0,40}\bexperience\b|\bexperience\b[^.]{0,20}\b\d+\+?\s*years?\b",
+}
+_THEIRS = r"\b(?:your|our|their|my|its) own\b"
+#: Which families each judged category unites. Fixed value.
+UNIONS = {"Production ownership": ("production", "ownership", "reliability"), "Agentic systems": ("agentic",), "Evaluation rigour": ("evaluation",), "AI-assisted coding fluency": ("ai_assisted_coding",)}
+
+
 def _postings(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "postings", "posting_id", "company", "raw_text").distinct().filter("raw_text IS NOT NULL")
 
@@ -60,6 +77,38 @@ def tax_dimension_flags(spark: SparkSession, folder: str) -> DataFrame:
     return _postings(spark, folder).select("posting_id", *(F.lower("raw_text").rlike(p).alias(k) for k, p in DIMENSIONS.items()))
 
 
+def tax_families(spark: SparkSession, folder: str) -> DataFrame:
+    """Postings and documents that state each family, by number."""
+    posts = _postings(spark, folder).select(F.lit("posting").alias("kind"), F.lower("raw_text").alias("t"))
+    docs = table(spark, folder, "documents", "text").filter("text IS NOT NULL").select(F.lit("document").alias("kind"), F.lower("text").alias("t"))
+    plain = F.regexp_replace("t", _THEIRS, " ")
+    return posts.unionByName(docs).select("kind", plain.alias("t")).groupBy("kind").agg(F.count("*").alias("texts"), *(F.count_if(F.col("t").rlike(p)).alias(k) for k, p in FAMILIES.items()))
+
+
+def tax_category_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that state any family of a category, and the weight a budget of 50 gives it."""
+    docs = table(spark, folder, "documents", "text").filter("text IS NOT NULL").select(F.regexp_replace(F.lower("text"), _THEIRS, " ").alias("t"))
+    sums = docs.agg(*(F.count_if(F.col("t").rlike("|".join(FAMILIES[f] for f in fs))).alias(c) for c, fs in UNIONS.items()))
+    rows = sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(f"`{c}`").alias("documents")) for c in UNIONS))).alias("x")).select("x.*")
+    return S.derived_weights(rows, "documents", 50.0)
+
+
+def tax_digest(spark: SparkSession, folder: str) -> DataFrame:
+    """Per company its postings, distinct titles in the order first seen, and first and last date."""
+    posts = table(spark, folder, "postings", "posting_id", "company", "title", "date_added").distinct().filter("company IS NOT NULL AND title IS NOT NULL")
+    company = F.lower(T.stripped(F.col("company")))
+    first = posts.groupBy(company.alias("company"), "title").agg(F.min("posting_id").alias("p"), F.countDistinct("posting_id").alias("n"), F.min("date_added").alias("a"), F.max("date_added").alias("b"))
+    titles = F.transform(F.array_sort(F.collect_list(F.struct("p", "title"))), lambda x: x["title"])
+    return first.groupBy("company").agg(F.sum("n").alias("postings"), F.md5(F.array_join(titles, "|")).alias("titles"), F.min("a").alias("first_date"), F.max("b").alias("last_date"))
+
+
+def tax_common8(spark: SparkSession, folder: str) -> DataFrame:
+    """The eight commonest words of four letters or more of each language code's documents."""
+    ws = table(spark, folder, "documents", "lang", "text").select("lang", F.explode(T.tokens(F.col("text"))).alias("word")).filter(F.length("word") >= 4)
+    out = C.top_per_group(ws.groupBy("lang", "word").agg(F.count("*").alias("times")), ["lang"], [F.desc("times"), "word"], 8)
+    return out.select("lang", F.col("place").cast("long").alias("place"), "word", "times")
+
+
 def tax_derived_weights(spark: SparkSession, folder: str) -> DataFrame:
     """A budget of 50 shared out by the postings that state each dimension."""
     flags = tax_dimension_flags(spark, folder)
@@ -136,7 +185,7 @@ def seniority_mismatch(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tax_mentions, tax_document_frequency, tax_ranked_top20, tax_dimension_flags, tax_derived_weights, tax_category_df_union, tax_weighted_required_nice, tax_coverage_by_group,
+        tax_mentions, tax_document_frequency, tax_ranked_top20, tax_dimension_flags, tax_families, tax_category_frequency, tax_digest, tax_common8, tax_derived_weights, tax_category_df_union, tax_weighted_required_nice, tax_coverage_by_group,
         tax_thin_groups, tax_coverage_score, tax_jd_gap_anti, tax_top_gaps, seniority_mismatch,
     )
 }
@@ -176,3 +225,10 @@ s AS (SELECT l_suppkey, CAST(sum(w) AS BIGINT) AS matched FROM h JOIN w USING (p
     "seniority_mismatch": """SELECT resume_id, role_ix, m AS months FROM (SELECT DISTINCT resume_id, role_ix, title, (year(end_date) - year(start_date)) * 12 + month(end_date) - month(start_date) AS m, start_date, end_date FROM resume_roles)
 WHERE regexp_matches(lower(title), '\\b(?:junior|jr|jnr|intern)\\b') AND m >= 30""",
 }
+_LOW = lambda c: f"regexp_replace(lower({c}), '{_THEIRS}', ' ', 'g')"
+ORACLES["tax_families"] = f"WITH {_POST}, t AS (SELECT 'posting' AS kind, {_LOW('raw_text')} AS t FROM po UNION ALL SELECT 'document', {_LOW('text')} FROM documents WHERE text IS NOT NULL) SELECT kind, count(*) AS texts, " + ", ".join(f"count(*) FILTER (regexp_matches(t, '{p}')) AS {k}" for k, p in FAMILIES.items()) + " FROM t GROUP BY 1"
+ORACLES["tax_category_frequency"] = f"WITH t AS (SELECT {_LOW('text')} AS t FROM documents WHERE text IS NOT NULL), s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS category, count(*) FILTER (regexp_matches(t, '{'|'.join(FAMILIES[f] for f in fs)}')) AS documents FROM t" for c, fs in UNIONS.items()) + ") SELECT category, documents, coalesce(round_even(50.0::DOUBLE * documents / nullif(sum(documents) OVER (), 0), 2), 0.0) AS weight FROM s"
+ORACLES["tax_digest"] = r"""WITH p AS (SELECT DISTINCT posting_id, lower(regexp_replace(company, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')) AS company, title, date_added FROM postings WHERE company IS NOT NULL AND title IS NOT NULL),
+f AS (SELECT company, title, min(posting_id) AS p, count(DISTINCT posting_id) AS n, min(date_added) AS a, max(date_added) AS b FROM p GROUP BY 1, 2) SELECT company, CAST(sum(n) AS BIGINT) AS postings, md5(string_agg(title, '|' ORDER BY p, title)) AS titles, min(a) AS first_date, max(b) AS last_date FROM f GROUP BY 1"""
+ORACLES["tax_common8"] = r"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\pL\pN]+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS times FROM w WHERE length(word) >= 4 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY times DESC, word) AS place FROM c) SELECT lang, place, word, times FROM r WHERE place <= 8"""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators import scoring as S
+from tallyforge.session import once
 from tallyforge.sources.tables import table
 
 #: Limits per category, in hundredths; the categories a report lists; the order of severities.
@@ -107,6 +108,38 @@ def report_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("resume_id").agg(F.array_join(lines, "\n").alias("markdown"))
 
 
+def report_html(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger of each document as an HTML list, marks of HTML in labels written out."""
+    rows = S.ledger(_costs(spark, folder), "resume_id", "rule_id", VISIBLE)
+    safe = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("ord", "label", "cost"))), lambda x: F.concat(F.lit("<li>"), safe(x["label"]), F.lit(" <b>"), x["cost"], F.lit("</b></li>")))
+    return rows.groupBy("resume_id").agg(F.concat(F.lit("<ul>"), F.array_join(items, ""), F.lit("</ul>")).alias("html"))
+
+
+def report_fixed_width(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules by cost in columns of fixed width: label to the left, documents and cost to the right."""
+    sums = _costs(spark, folder).groupBy("rule_id").agg(F.countDistinct("resume_id").alias("docs"), F.sum("cost").alias("cost"))
+    return sums.select("rule_id", F.concat(F.rpad("rule_id", 30, " "), F.lpad(F.col("docs").cast("string"), 8, " "), F.lpad(F.col("cost").cast("string"), 12, " ")).alias("line"))
+
+
+def report_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """All findings of a document in order: gravest first, then dearest, then by id."""
+    w = Window.partitionBy("resume_id").orderBy(_severity(), F.desc("cost"), "finding_id")
+    return _costs(spark, folder).select("resume_id", "finding_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+def prompt_assembled(spark: SparkSession, folder: str) -> DataFrame:
+    """The text a judge would be shown: a résumé's first 12,000 characters, then its first 40 findings, gravest first. Both
+    bounds are the feature. Comes as digest, length and number of findings."""
+    texts = once(table(spark, folder, "resumes", "resume_id", "text"), "resume_id").filter("text IS NOT NULL")
+    f = _findings(spark, folder)
+    w = Window.partitionBy("resume_id").orderBy(_severity(), "finding_id")
+    first = f.withColumn("r", F.row_number().over(w)).filter("r <= 40").withColumn("l", F.concat_ws(" ", F.lit("-"), "rule_id", "evidence"))
+    lines = first.groupBy("resume_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "l"))), lambda x: x["l"]), "\n").alias("f"), F.count("*").alias("findings"))
+    both = texts.join(lines, "resume_id", "left").select("resume_id", F.concat(F.substring("text", 1, 12000), F.lit("\n\nFINDINGS\n"), F.coalesce("f", F.lit(""))).alias("p"), F.coalesce("findings", F.lit(0)).alias("findings"))
+    return both.select("resume_id", F.md5("p").alias("digest"), F.length("p").cast("long").alias("chars"), "findings")
+
+
 def union_first_wins(spark: SparkSession, folder: str) -> DataFrame:
     """Findings of all sources joined on rule and locator, the smallest id standing for each."""
     f = _findings(spark, folder).filter("locator_path <> ''")
@@ -117,7 +150,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         score_evidenced, score_clamped_cost, score_deductions_zero_filled, score_points_floor_scaled, score_ledger_topk_tail, score_ledger_reconciles, score_composite,
-        score_grade_histogram, score_subscores_nullable, report_top5_distinct_rules, report_groups_by_gate, report_rule_counts, report_rollup, report_markdown, union_first_wins,
+        score_grade_histogram, score_subscores_nullable, report_top5_distinct_rules, report_groups_by_gate, report_rule_counts, report_rollup, report_markdown, report_html, report_fixed_width, report_ranked, prompt_assembled, union_first_wins,
     )
 }
 
@@ -154,3 +187,8 @@ SELECT resume_id, gate, rule_id, count(*) AS instances, CAST(sum(cost) AS BIGINT
     "report_markdown": f"WITH {_L} SELECT resume_id, string_agg('- ' || label || ': ' || cost, chr(10) ORDER BY ord, label) AS markdown FROM l GROUP BY 1",
     "union_first_wins": f"WITH {_F} SELECT resume_id, rule_id, locator_path, min(finding_id) AS finding_id, count(*) AS merged FROM f WHERE locator_path <> '' GROUP BY 1, 2, 3",
 }
+ORACLES["report_html"] = f"WITH {_L} SELECT resume_id, '<ul>' || string_agg('<li>' || replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || ' <b>' || cost || '</b></li>', '' ORDER BY ord, label) || '</ul>' AS html FROM l GROUP BY 1"
+ORACLES["report_fixed_width"] = f"WITH {_C}, s AS (SELECT rule_id, count(DISTINCT resume_id) AS docs, CAST(sum(cost) AS BIGINT) AS cost FROM c GROUP BY 1) SELECT rule_id, rpad(rule_id, 30, ' ') || lpad(CAST(docs AS VARCHAR), 8, ' ') || lpad(CAST(cost AS VARCHAR), 12, ' ') AS line FROM s"
+ORACLES["report_ranked"] = f"WITH {_C} SELECT resume_id, finding_id, row_number() OVER (PARTITION BY resume_id ORDER BY {_SEV}, cost DESC, finding_id) AS place FROM c"
+ORACLES["prompt_assembled"] = f"""WITH {_F}, r AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY {_SEV}, finding_id) AS r FROM f), g AS (SELECT resume_id, string_agg(concat_ws(' ', '-', rule_id, evidence), chr(10) ORDER BY r) AS f, count(*) AS findings FROM r WHERE r <= 40 GROUP BY 1),
+p AS (SELECT t.resume_id, left(text, 12000) || chr(10) || chr(10) || 'FINDINGS' || chr(10) || coalesce(f, '') AS p, coalesce(findings, 0) AS findings FROM (SELECT DISTINCT resume_id, text FROM resumes WHERE text IS NOT NULL) t LEFT JOIN g ON g.resume_id = t.resume_id) SELECT resume_id, md5(p) AS digest, length(p) AS chars, findings FROM p"""

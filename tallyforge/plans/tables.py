@@ -106,12 +106,13 @@ def quote_in_haystack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def locator_resolved(spark: SparkSession, folder: str) -> DataFrame:
-    """Findings whose locator names a bullet of their résumé."""
+    """Findings whose locator, or else what stands before its first colon, names a bullet of their résumé."""
     roles = table(spark, folder, "resume_roles", "resume_id", "role_ix", "parsed_at", "bullets")
     valid = latest_rows(roles, ["resume_id", "role_ix"], ["parsed_at"], ["bullets"])
     places = G.located_bullets(valid, "resume_id", "role_ix", "bullets").select("resume_id", F.col("locator").alias("locator_path"))
     f = table(spark, folder, "findings", "finding_id", "resume_id", "locator_path").distinct()
-    return f.join(places, ["resume_id", "locator_path"], "left_semi").select("finding_id", "locator_path")
+    tried = f.select("finding_id", "resume_id", F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("o"), F.col("locator_path").alias("l")), F.struct(F.lit(1).alias("o"), F.split_part("locator_path", F.lit(":"), F.lit(1)).alias("l"))))).alias("x")).select("finding_id", "resume_id", "x.o", F.col("x.l").alias("locator_path"))
+    return tried.join(places, ["resume_id", "locator_path"], "left_semi").groupBy("finding_id").agg(F.min_by("locator_path", "o").alias("locator_path"))
 
 
 def manifest_full_outer(spark: SparkSession, folder: str) -> DataFrame:
@@ -217,8 +218,9 @@ SELECT doc_id, CAST(list_sum(list_transform(l[1:e], lambda x: length(x))) + list
 SELECT user_id, string_agg(event_type, '>' ORDER BY n) AS types FROM f GROUP BY 1""",
     "quote_in_haystack": r"""WITH f AS (SELECT DISTINCT finding_id, resume_id, evidence FROM findings WHERE regexp_matches(coalesce(evidence, ''), '[^\s\x{a0}]')), t AS (SELECT DISTINCT resume_id, text FROM resumes)
 SELECT * FROM (SELECT finding_id, strpos(text, regexp_replace(evidence, '^(?:> |Line: |“)|”$', '', 'g')) AS place FROM f JOIN t USING (resume_id)) WHERE place > 0""",
-    "locator_resolved": f"""WITH {_V}, b AS (SELECT resume_id, 'exp[' || role_ix || '].bullet[' || unnest(generate_series(0, len(bullets) - 1)) || ']' AS locator_path FROM v)
-SELECT DISTINCT finding_id, locator_path FROM findings WHERE (resume_id, locator_path) IN (SELECT resume_id, locator_path FROM b)""",
+    "locator_resolved": f"""WITH {_V}, b AS (SELECT resume_id, 'exp[' || role_ix || '].bullet[' || unnest(generate_series(0, len(bullets) - 1)) || ']' AS locator_path FROM v),
+t AS (SELECT DISTINCT finding_id, resume_id, o, l FROM (SELECT finding_id, resume_id, 0 AS o, locator_path AS l FROM findings UNION ALL SELECT finding_id, resume_id, 1, split_part(locator_path, ':', 1) FROM findings))
+SELECT finding_id, arg_min(l, o) AS locator_path FROM t WHERE (resume_id, l) IN (SELECT resume_id, locator_path FROM b) GROUP BY 1""",
     "manifest_full_outer": """WITH r AS (SELECT DISTINCT resume_id, role_ix, parsed_at, sha256(coalesce(CAST(start_date AS VARCHAR), '-') || '|' || coalesce(CAST(end_date AS VARCHAR), '-')) AS h, start_date, end_date FROM resume_roles),
 a AS (SELECT *, row_number() OVER (PARTITION BY resume_id, role_ix ORDER BY parsed_at DESC, start_date DESC NULLS LAST, end_date DESC NULLS LAST) AS n FROM r WHERE parsed_at < TIMESTAMP '2025-01-01'),
 b AS (SELECT *, row_number() OVER (PARTITION BY resume_id, role_ix ORDER BY parsed_at DESC, start_date DESC NULLS LAST, end_date DESC NULLS LAST) AS n FROM r)

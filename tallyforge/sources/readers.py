@@ -36,11 +36,18 @@ def with_file_names(postings: DataFrame, order: str) -> DataFrame:
 
 
 def checked_uploads(spark: SparkSession, path: str, most_bytes: int = 12 << 20, magic: bytes = b"%PDF") -> DataFrame:
-    """Rows (name, bytes, digest, reason): files with why they'd be refused, null if they wouldn't. Spark's
-    file sources pass over files without any bytes, so those have no row."""
+    """Rows (name, bytes, digest, reason): files with why they'd be refused, null if they wouldn't. Spark's file sources
+    pass over files without any bytes; those come from the folder's listing, names alone."""
     files = spark.read.format("binaryFile").load(path)
     reason = F.when(F.col("length") > most_bytes, "too large").when(F.substring("content", 1, len(magic)) != F.lit(bytearray(magic)), "not a document")
-    return files.select(_stem(F.col("path")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"), reason.alias("reason"))
+    held = files.select(_stem(F.col("path")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"), reason.alias("reason"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(conf)
+    listed = system.listStatus(where) if system.isDirectory(where) else system.globStatus(where)
+    empty = [(f.getPath().toString(),) for f in listed if f.isFile() and f.getLen() == 0]
+    none = spark.createDataFrame(empty, "path string").select(_stem(F.col("path")).alias("name"), F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit(""), 256).alias("digest"), F.lit("empty").alias("reason"))
+    return held.unionByName(none)
 
 
 def save_run(df: DataFrame, path: str, run_id: str) -> None:

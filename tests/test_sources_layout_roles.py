@@ -53,7 +53,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "u").mkdir()
     for name, data in (("a.pdf", b"%PDF-1.4"), ("b.pdf", b""), ("c.pdf", b"hello")):
         (tmp_path / "u" / name).write_bytes(data)
-    assert {r.name: r.reason for r in readers.checked_uploads(spark, str(tmp_path / "u")).collect()} == {"a": None, "c": "not a document"}
+    assert {r.name: r.reason for r in readers.checked_uploads(spark, str(tmp_path / "u")).collect()} == {"a": None, "b": "empty", "c": "not a document"}
 
 
 def test_runs_and_stream(spark, tmp_path):
