@@ -61,6 +61,30 @@ def test_repeated_rows_change_nothing(spark):
     assert reasons([]) == reasons(rows[:40]) == reasons(rows[100:] + rows[100:])
 
 
+def test_copies_under_other_keys_change_nothing(spark):
+    rows = [*corpus(9, 250)[0], (900, "s", "It was the engineer rem. All is told."), (901, "s", "A neighbour questioned the engineer rem")]
+    copies = [(k + 1000 * n, s if n % 2 else "other", t) for n in range(1, 12) for k, s, t in rows]
+    got = [X.truncation_evidence(spark.createDataFrame(x, "k long, s string, t string"), "k", "s", "t") for x in (rows, rows + copies + copies[:100])]
+    alone, among = ({(r.k, r.reason) for r in x.collect()} for x in got)
+    assert (901, "prefix") in alone and among == {(k + 1000 * n, reason) for k, reason in alone for n in range(12)}
+
+
+def test_pieces_of_words_are_no_words(spark):
+    rows, _ = corpus(n=200, limit=10_000)
+    seen = ["The committee rem…", "It was the workshop that rem...", "A neighbour rem…\nThanks for reading", "The desk rem&am", "Our gardener rem-\nembered winter."]
+    rows += [(2000 + 10 * n + k, "s", f"In {n} days. {t}") for n in range(4) for k, t in enumerate(seen)]
+    df = spark.createDataFrame([*rows, (1000, "s", "It is said that the engineer rem"), (1001, "s", "It is said that the engineer reme")], "k long, s string, t string")
+    got = {r.k: r.reason for r in X.truncation_evidence(df, "k", "s", "t").collect()}
+    assert got[1000] == got[1001] == "prefix" and got[2000] == got[2001] == "prefix" and got[2003] == "open"
+
+
+def test_a_line_that_others_continue_is_no_closing_line(spark):
+    rows = [(k, "s", f"A long lighthouse stood here in {k}.\nOur clocks in the {w} are fine.\nAn arch, an arch, it was.\nEnd of notes") for k, w in enumerate(["archive", "lighthouse"] * 60)]
+    rows += [(1000 + k, "s", f"Number {k} is told.\nOur clocks in the arch") for k in range(4)] + [(2000 + k, "s", f"Number {k} is told.\nWritten under an arch") for k in range(4)]
+    got = {r.k: r.reason for r in X.truncation_evidence(spark.createDataFrame(rows, "k long, s string, t string"), "k", "s", "t", min_known=1, min_peak=3).collect()}
+    assert {got[k] for k in range(1000, 1004)} == {"length"} and {got[k] for k in [*range(120), *range(2000, 2004)]} == {None}
+
+
 def test_last_tokens_equal_those_of_the_whole_text():
     r = random.Random(5)
     for _ in range(500):
