@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.session import cut, spread_join, table_or_none
+from tallyforge.session import cut, spread_join
 
 class Spellings(NamedTuple):
     """What is known of how titles are written: spellings of level words (the reference list's own first), abbreviations,
@@ -61,17 +61,17 @@ def _level_at(x, where: str, spell: Spellings):
     return out
 
 
-def without_vowels(words: DataFrame, column: str):
-    """A map constant from the consonants of a reference word (its first letter included) to the word, where only one
-    word has them; null if the list is too long for a constant."""
+def without_vowels(words: DataFrame, column: str) -> DataFrame:
+    """Rows (word, long): the consonants of a reference word (its first letter included) and the word, where only one
+    word has them."""
     x = words.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(r"\p{L}{5,}"), F.lit(0)))).alias("w")).distinct()
     bare = x.select("w", F.regexp_replace("w", r"(?<=.)[aeiou]", "").alias("k")).filter("k <> w AND length(k) >= 3")
-    return table_or_none(bare.groupBy("k").agg(F.min("w").alias("w"), F.max("w").alias("z")).filter("w = z"), "k", "w")
+    return bare.groupBy(F.col("k").alias("word")).agg(F.min("w").alias("long"), F.max("w").alias("z")).filter("long = z").drop("z")
 
 
-def plain_titles(values: DataFrame, column: str, spell: Spellings = STANDARD, consonants=None) -> DataFrame:
+def plain_titles(values: DataFrame, column: str, spell: Spellings = STANDARD, consonants: DataFrame | None = None) -> DataFrame:
     """Rows (value, form, less): the plain forms a distinct value may have: the level word in front, the rest without blanks,
-    abbreviations written out; as written and with what follows the first comma put in front ("engineer, data"); with
+    abbreviations and words of `consonants` (word, long) written out; as written and with what follows the first comma put in front ("engineer, data"); with
     and without what follows the last comma (a place); with a level or abbreviation glued to the rest cut off."""
     any_level = "|".join(s for spellings in spell.levels.values() for s in spellings)
     x = values.select(F.col(column).alias("value")).filter(F.col("value").rlike(r"[\p{L}\p{N}]")).distinct().withColumn("x", _plain("value", spell))
@@ -86,9 +86,12 @@ def plain_titles(values: DataFrame, column: str, spell: Spellings = STANDARD, co
     forms = x.select("value", "level", "less", F.explode(F.array_distinct(F.array(F.array_join(parts, " "), turned))).alias("form"))
     words = F.filter(F.split("form", r"[^\p{L}\p{N}+#]+"), lambda w: w != "")
     short = F.create_map(*(F.lit(a) for pair in spell.short.items() for a in pair))
-    full = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(short, w), *([F.try_element_at(consonants, w)] if consonants is not None else []), w)), "")
     less = F.when((F.col("less") == 1) & (F.size(words) < 2), 2).otherwise(F.col("less")).alias("less")
-    forms = forms.select("value", "level", less, F.explode(F.array_distinct(F.array(full, F.array_join(words, "")))).alias("rest"))
+    forms = forms.select("value", "level", less, "form", F.posexplode_outer(words).alias("at", "word"))
+    forms = spread_join(forms, consonants, ["word"], "value", "left") if consonants is not None else forms.withColumn("long", F.lit(None).cast("string"))
+    word = F.struct("at", F.coalesce(F.try_element_at(short, "word"), "long", "word").alias("full"), "word")
+    forms = forms.groupBy("value", "level", "less", "form").agg(F.array_sort(F.collect_list(word)).alias("words"))
+    forms = forms.select("value", "level", "less", F.explode(F.array_distinct(F.array(F.array_join("words.full", ""), F.array_join("words.word", "")))).alias("rest"))
     stuck = F.when(F.col("level") == "", _level_at(F.col("rest"), "+", spell))
     cut_off = F.when(stuck.isNotNull(), F.concat(stuck, F.regexp_replace("rest", rf"^(?:{any_level})", "")))
     whole = F.array_compact(F.array(F.concat("level", "rest"), cut_off))

@@ -2,6 +2,7 @@
 
 import random
 
+from tallyforge import session as S
 from tallyforge.llm import titles as X
 
 TAX = [
@@ -28,6 +29,16 @@ def test_cases_nulls_blanks_and_repeats(spark):
     assert got == {n: want for n, want in enumerate(CASES.values())}
 
 
+def test_words_without_vowels_whatever_the_size_of_the_list(spark, monkeypatch):
+    r = random.Random(8)
+    long_list = TAX + [(100 + n, "".join(r.choices("abcdefghijklmnoprst", k=48)), None, None) for n in range(12_000)]
+    rows = [(n, 0, t, None, None) for n, t in enumerate(["Sftwr Engnr", "Snr Sftwr Engnr", "Engnr, Dt", "Rsrch Engineer", long_list[-1][1]])]
+    found = lambda tax: {r.k: r.id for r in mapped(spark, rows, tax).collect()}
+    assert found(TAX) == {0: 7, 1: 8, 2: 1, 3: 6, 4: -1} and found(long_list) == found(TAX) | {4: long_list[-1][0]}
+    monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
+    assert found(TAX) == {0: 7, 1: 8, 2: 1, 3: 6, 4: -1}
+
+
 def test_empty_tables(spark):
     assert mapped(spark, []).count() == 0
     assert [r.id for r in mapped(spark, [(1, 0, "Data Engineer", None, None)], []).collect()] == [-1]
