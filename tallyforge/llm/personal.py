@@ -23,6 +23,10 @@ from tallyforge.llm.boosting import BoostedTrees, best_threshold
 from tallyforge.llm.personal_samples import luhn, sample_texts
 
 KINDS = ("email", "phone", "id", "address", "name")
+_EMAIL_KIND, _PHONE_KIND, _ID_KIND, _ADDRESS_KIND, _NAME_KIND = range(5)
+
+#: Features of a span; characters from which on texts are judged apart from those before, which bounds the arrays.
+FEATURES, CHUNK = 35, 1_000_000
 
 #: Bound of the labelled sample the models are fitted on, and of the held-out rows for the thresholds.
 TRAIN_TEXTS, HELD_OUT_TEXTS = 6000, 1500
@@ -44,11 +48,13 @@ _CASELESS = "֐-ࣿऀ-๿ぁ-ヿ㐀-鿿가-힯"
 _TYPES = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Close|Way|Terrace|Ter|Boulevard|Blvd|Court|Ct|Square|Sq|Place|Pl|Crescent|Cres|Grove|Row|Parkway|Pkwy|Highway|Hwy|Walk|Mews)"
 _HOUSE = re.compile(rf"(?<![\w#./@\-])\d{{1,5}}[A-Za-z]? (?:[{_UPPER}][\w’'\-]* ){{1,4}}?{_TYPES}\b\.?(?:,? (?:#\d+|(?:Flat|Unit|Apt|Suite)\.? \d+\w?))?(?:, [{_UPPER}][\w’'\-]+(?:,? [A-Z]{{2}})?(?: \d{{5}})?)?")
 _STREET = re.compile(rf"(?<![\w/@.])(?:(?:[{_UPPER}][\w’'\-]+\s){{0,3}})[{_UPPER}][\w’'\-]*\.? \d{{1,4}}[a-zA-Z]?, \d{{4,5}} [{_UPPER}][\w’'\-]+|(?<![\w/@.])[{_UPPER}]\w*(?:straße|strasse|str\.|weg|allee|kamp|gasse|platz|ring|damm|ufer) \d{{1,4}}[a-zA-Z]?(?!\w)")
-_WORD = re.compile(rf"(?<![\w@/’'.+\-])[{_UPPER}](?:\.|[\w]*(?:[’'\-][{_UPPER}]?\w+)*)(?![\w@/])")
+#: A search that begins with a set of characters skips the others fast, so what may not stand before is looked up after.
+_WORD = re.compile(rf"[{_UPPER}](?<![\w@/’'.+\-].)(?:\.|[\w]*(?:[’'\-][{_UPPER}]?\w+)*)(?![\w@/])")
 _UNCASED = re.compile(rf"(?<![\w@/])[{_CASELESS}]+(?: [{_CASELESS}]+){{0,2}}(?![\w@/])")
 #: Small words inside a name.
-_PARTICLE = re.compile(r"(?: (?:van|von|de|da|del|della|di|la|le|bin|ibn|der|den|ten|af|dos|al))+ ")
-_TOKEN = re.compile(r"[\w’'\-@.+/#&]+|[^\w\s]")
+_PARTICLES = "van von de da del della di la le bin ibn der den ten af dos al".split()
+_PARTICLE, _PARTICLE_FIRST = re.compile(rf"(?: (?:{'|'.join(_PARTICLES)}))+ "), tuple(f" {p} " for p in _PARTICLES)
+_TOKEN, _TOKEN_PART = re.compile(r"[\w’'\-@.+/#&]+|[^\w\s]"), re.compile(r"[\w’'\-@.+/#&]")
 
 # --- words that say something about their neighbours ------------------------------------------------------------------
 
@@ -68,6 +74,7 @@ _CUE = {w: k for k, ws in _CUES.items() for w in ws.split()}
 _TITLES = set(_CUES[6].split())
 #: Cues after which one word alone is proposed as a name.
 _LONE = {5, 6, 16, 17}
+_LONE_CUES = {w for w, k in _CUE.items() if k in _LONE}
 _ORG = set("labs lab claims logistics health partners retail energy robotics mutual service services bank group institute university college school inc ltd gmbh llc corp company systems technologies society council office desk foundation agency holdings insurance media software industries capital ventures consulting data foods airways motors telecom press publishing solutions works".split())
 _POST = set("engineer engineering scientist manager analyst developer senior junior lead staff principal architect designer writer administrator specialist advocate consultant director head intern student engr eng mgr dev sr jr snr jnr prin princ bsc msc phd ba ma mba reliability site machine learning full stack forward deployed computer vision business product program platform security research applied frontend backend mobile cloud network embedded knowledge prompt evaluation annotation solutions database technical ux qa nlp ai devops career break owner volunteer tester".split())
 _TOPIC = set("python java go rust sql kafka spark ray redis docker kubernetes airflow snowflake terraform grafana postgres fastapi pytorch triton dbt elasticsearch typescript graphql grpc linux bash mlflow opentelemetry pandas lora rag oauth2 bayesian node.js ci cd etl tcp ip german english french languages skills tools methods stack summary experience education references personal details profile projects interests january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec monday tuesday wednesday thursday friday present current summary email phone address national insurance driving licence passport curriculum vitae".split())
@@ -121,10 +128,12 @@ def _char(c: str) -> int:
     return 10 if c.isdigit() else 11 if c.isalpha() else 12
 
 
-_FRONT, _HEAD = re.compile(r"^\W+|\W+$"), re.compile(r"\d\D{0,3}\d\D{0,3}\d\D{0,3}\d\D{0,3}\d")
-_MAYBE_AT, _MAYBE_HOUSE = re.compile(r"@|[\[({ ](?:at|a)[\])} ]", re.I), re.compile(rf"\d[A-Za-z]? [{_UPPER}]|\. \d|\w \d")
+_FRONT, _DIGIT, _HEAD = re.compile(r"^\W+|\W+$"), re.compile(r"\d"), re.compile(r"\d\D{0,3}\d\D{0,3}\d\D{0,3}\d\D{0,3}\d")
+#: What every email address, house number before a street and number behind one has; looked up before the generators.
+_MAYBE_AT, _MAYBE_HOUSE = re.compile(r"[\[({ ](?:at|a)[\])} ]", re.I), re.compile(rf"\d[A-Za-z]? [{_UPPER}]")
+_MAYBE_STREET, _NUMBER = re.compile(r"\d(?:[a-zA-Z]?, \d{4}|(?<=(?:raße|asse|str\.|llee|kamp|latz|ring|damm|ufer) .)|(?<=weg .))"), re.compile(rf"\d[A-Za-z]? [{_UPPER}]|[.\w] \d")
 _INITIAL, _GROUPS, _LETTERS, _SEPS = re.compile(rf"(?<!\w)[{_UPPER}]\."), re.compile(r"\d+"), re.compile(r"[^\W\d_][\w’'.\-]*"), re.compile(r"(?<=\d)\D(?=\d)")
-_WORD_AT, _TIGHT, _BRACKET, _THEN, _BEFORE, _LINK = re.compile(r"\bat\b|\ba\b", re.I), re.compile(r"\S@\S"), re.compile(r"[\[({]"), re.compile(r",? ?[A-Z][a-z]"), re.compile(r"[A-Z][\w.]* $"), re.compile(r"://|www\.|\w\.[a-z]{2,}/\w")
+_WORD_AT, _TIGHT, _BRACKET, _LINK = re.compile(r"\bat\b|\ba\b", re.I), re.compile(r"\S@\S"), re.compile(r"[\[({]"), re.compile(r"://|www\.|\w\.[a-z]{2,}/\w")
 
 
 def iban_holds(code: str) -> bool:
@@ -135,135 +144,211 @@ def iban_holds(code: str) -> bool:
 
 def _name_spans(line: str) -> Iterator[tuple[int, int, int]]:
     """(start, end, generator) of every run of two or three words that may be a name, and of one after a cue."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(line)]
+    words = [m.span() for m in _WORD.finditer(line)]
+    last = len(words) - 1
     for i, (start, end) in enumerate(words):
-        first = line[start:end].lower().strip(".")
-        if first in _TITLES:
+        if line[start:end].lower().strip(".") in _TITLES:
             continue
-        gap = line[end : words[i + 1][0]] if i + 1 < len(words) else ""
-        if gap in (" ", ", ") or (gap and _PARTICLE.fullmatch(gap)):
-            b = words[i + 1][1]
-            comma = 2 * (gap == ", ")
-            if comma or not (b - words[i + 1][0] == 2 and line[b - 1] == "."):
-                yield start, b, 7 + comma
-            if i + 2 < len(words):
-                gap = line[b : words[i + 2][0]]
-                if gap == " " or _PARTICLE.fullmatch(gap):
-                    yield start, words[i + 2][1], 8 + comma
-        if end - start > 1:
+        if i < last:
+            c, b = words[i + 1]
+            gap = line[end:c]
+            if gap == " " or gap == ", " or (gap.startswith(_PARTICLE_FIRST) and _PARTICLE.fullmatch(gap)):
+                comma = 2 * (gap == ", ")
+                if comma or not (b - c == 2 and line[b - 1] == "."):
+                    yield start, b, 7 + comma
+                if i + 1 < last:
+                    gap = line[b : words[i + 2][0]]
+                    if gap == " " or (gap.startswith(_PARTICLE_FIRST) and _PARTICLE.fullmatch(gap)):
+                        yield start, words[i + 2][1], 8 + comma
+        if start and end - start > 1:
             before = line[max(0, start - 24) : start].rstrip(" ,:\t")
-            if before and _cue(before.rsplit(" ", 1)[-1].lstrip("(\"“>")) in _LONE:
+            if before[before.rfind(" ") + 1 :].lstrip("(\"“>").lower().strip(".:") in _LONE_CUES:
                 yield start, end, 11
     if not line.isascii():
         for m in _UNCASED.finditer(line):
             yield m.start(), m.end(), 12
 
 
-def candidates(text: str) -> list[tuple[str, int, int, tuple]]:
-    """(kind, start, end, features) of every proposed span, from 0."""
-    out: list[tuple[str, int, int, tuple]] = []
-    at, section = 0, 1
-    for number, line in enumerate(text.split("\n")):
-        if len(line) < 40 and line.isupper():
-            section = next((_SECTIONS[w] for w in _FRONT.sub("", line).lower().split() if w in _SECTIONS), section)
-        spans: dict[tuple[str, int, int], int] = {}
-        if _MAYBE_AT.search(line):
-            for m in _EMAIL.finditer(line):
-                spans["email", m.start(), m.end()] = 1
+def _spans(line: str) -> dict[tuple[int, int, int], int]:
+    """(number of the kind, start, end) of every proposed span of a line, with its generator."""
+    spans: dict[tuple[int, int, int], int] = {}
+    if "@" in line or (("." in line or "dot" in line.lower()) and _MAYBE_AT.search(line)):
+        for m in _EMAIL.finditer(line):
+            spans[_EMAIL_KIND, m.start(), m.end()] = 1
+    if _DIGIT.search(line):
         if _HEAD.search(line):
             for m in _DIGITS.finditer(line):
                 if 7 <= sum(map(str.isdigit, m.group())) <= 15:
-                    spans["phone", m.start(), m.end()] = 2
-                    spans["id", m.start(), m.end()] = 3
+                    spans[_PHONE_KIND, m.start(), m.end()] = 2
+                    spans[_ID_KIND, m.start(), m.end()] = 3
             for m in _CODE.finditer(line):
-                spans["id", m.start(), m.end()] = 4
+                spans[_ID_KIND, m.start(), m.end()] = 4
             for m in _CARD.finditer(line):
                 if luhn("".join(_GROUPS.findall(m.group()))):
-                    spans["id", m.start(), m.end()] = 13
+                    spans[_ID_KIND, m.start(), m.end()] = 13
             for m in _IBAN.finditer(line):
                 if iban_holds(m.group()):
-                    spans["id", m.start(), m.end()] = 14
+                    spans[_ID_KIND, m.start(), m.end()] = 14
         if _MAYBE_HOUSE.search(line):
-            for g, pattern in ((5, _HOUSE), (6, _STREET)):
-                for m in pattern.finditer(line):
-                    spans["address", m.start(), m.end()] = g
-        for a, b, g in _name_spans(line):
-            spans["name", a, b] = g
-        if spans:
-            tokens = [(m.start(), m.end(), _cue(m.group()), m.group()[0].isalnum()) for m in _TOKEN.finditer(line)]
-            starts, ends = [t[0] for t in tokens], [t[1] for t in tokens]
-            extra = (min(number, 9), section, int("@" in line) + 2 * bool(_LINK.search(line)), int(("20" in line or "19" in line) and bool(_RANGE.search(line))), min(len(line) // 12, 31))
-            for (kind, a, b), g in spans.items():
-                out.append((kind, at + a, at + b, _features(line, a, b, g, extra, tokens, starts, ends)))
-        at += len(line) + 1
-    return out
+            for m in _HOUSE.finditer(line):
+                spans[_ADDRESS_KIND, m.start(), m.end()] = 5
+        if _MAYBE_STREET.search(line) and _NUMBER.search(line):
+            for m in _STREET.finditer(line):
+                spans[_ADDRESS_KIND, m.start(), m.end()] = 6
+    for a, b, g in _name_spans(line):
+        spans[_NAME_KIND, a, b] = g
+    return spans
+
+
+def proposed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every proposed span (number of the text, number of the kind, start, end), from 0, and its features."""
+    lines: list[str] = []  # those with spans
+    of_lines: list[int] = []
+    found: list[int] = []
+    named: dict[str, int] = {}  # the forms of spans, equal ones once: names, and the rest
+    other: dict[str, int] = {}
+    for t, text in enumerate(texts):
+        at, section = 0, 1
+        for number, line in enumerate(text.split("\n") if text else ()):
+            if not line:
+                at += 1
+                continue
+            if len(line) < 40 and line.isupper():
+                section = next((_SECTIONS[w] for w in _FRONT.sub("", line).lower().split() if w in _SECTIONS), section)
+            if spans := _spans(line):
+                for (kind, a, b), g in spans.items():
+                    forms = named if kind == _NAME_KIND else other
+                    found += (len(lines), kind, a, b, g, forms.setdefault(line[a:b], len(forms)))
+                link = ("/" in line or "www." in line) and bool(_LINK.search(line))
+                of_lines += (t, at, min(number, 9), section, ("@" in line) + 2 * link, ("20" in line or "19" in line) and bool(_RANGE.search(line)), min(len(line) // 12, 31))
+                lines.append(line)
+            at += len(line) + 1
+    if not lines:
+        return np.zeros((0, 4), np.int64), np.zeros((0, FEATURES), np.uint8)
+    n, kind, a, b, generator, form = np.array(found).reshape(-1, 6).T.copy()
+    of = np.array(of_lines).reshape(-1, 7)[n]
+    name = kind == _NAME_KIND
+    own = np.array([_form_of(f, is_name) for forms, is_name in ((named, True), (other, False)) for f in forms], np.uint8)[form + np.where(name, 0, len(named))]
+    near, own[name, 14], own[name, 15] = _context(lines, n, a, b, name)
+    places = np.column_stack([of[:, 0], kind, of[:, 1] + a, of[:, 1] + b])
+    return places, np.column_stack([generator, own[:, 0], *near[:9], of[:, 2:], *near[9:], own[:, 1:]]).astype(np.uint8)
+
+
+def _context(lines: list[str], n: np.ndarray, a: np.ndarray, b: np.ndarray, name: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """What stands around each span (number of its line, start, end): the features, and for names whether a capitalised
+    word and a blank stand before, and a capitalised word behind."""
+    text = "\n".join(["", *lines, "\n\n\n"])  # the lines as one, ended by line feeds, which stand nowhere else
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    present = np.flatnonzero(np.bincount(code)).tolist()
+    char, token, word, alnum = (np.zeros(present[-1] + 1, np.uint8) for _ in range(4))
+    for k in present:
+        c = chr(k)
+        char[k], token[k], word[k], alnum[k] = 0 if c == "\n" else _char(c), 1 if _TOKEN_PART.match(c) else 0 if c.isspace() else 2, c in "._" or c.isalnum(), c.isalnum()
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    first = 1 + np.concatenate([[0], np.cumsum(size + 1)])  # of each line, and behind the last
+    size, a_at, b_at = size[n], first[n] + a, first[n] + b
+
+    kinds = token[code]
+    part, single = kinds == 1, kinds == 2
+    starts, ends = np.flatnonzero(single[1:] | (part[1:] & ~part[:-1])) + 1, np.flatnonzero(single[:-1] | (part[:-1] & ~part[1:])) + 1
+    cue = np.fromiter(map(_cue, _TOKEN.findall(text)), np.uint8, len(starts))
+    i, j, bounds = np.searchsorted(ends, a_at, "right"), np.searchsorted(starts, b_at), np.searchsorted(starts, first)  # the tokens before i end before the span, those from j follow it
+    low, high = bounds[n], bounds[n + 1]
+    words = np.flatnonzero(alnum[code[starts]])
+    word_cue, words = np.concatenate([[0, 0, 0], cue[words], [0]]), np.concatenate([[-1, -1, -1], words, [len(starts)]])
+    w, after, least = np.searchsorted(words, i), np.searchsorted(words, j), np.maximum(low, i - 8)
+    near = [
+        *(np.where(words[w - k] >= least, word_cue[w - k], 0) for k in (1, 2, 3)), np.where(i > low, cue[i - 1], 0), char[code[a_at - 1]], np.where(a > 1, char[code[a_at - 2]], 0), char[code[b_at]], np.where(b < size, char[code[b_at + 1]], 0),
+        np.where(words[after] < np.minimum(high, j + 6), word_cue[after], 0), np.minimum(10 * (b - a) // size, 10), np.minimum(i - low, 9),
+    ]
+
+    capital, place = (code >= ord("A")) & (code <= ord("Z")), np.arange(len(code))
+    last_capital, last_gap = (np.maximum.accumulate(np.where(x, place, -1)) for x in (capital, word[code] == 0))
+    a_at, b_at, a = a_at[name], b_at[name], a[name]
+    before = (code[a_at - 1] == ord(" ")) & (a > 1) & (last_capital[a_at - 2] > np.maximum(last_gap[a_at - 2], a_at - 25))
+    b_at = b_at + (code[b_at] == ord(","))
+    b_at += code[b_at] == ord(" ")
+    return near, before, capital[b_at] & (code[b_at + 1] >= ord("a")) & (code[b_at + 1] <= ord("z"))
 
 
-def _features(line: str, a: int, b: int, generator: int, extra: tuple, tokens: list, starts: list, ends: list) -> tuple:
-    own = line[a:b]
-    i, j = bisect_left(ends, a + 1), bisect_left(starts, b)  # the tokens before i end before the span, those from j follow it
-    words = [t[2] for t in tokens[max(0, i - 8) : i] if t[3]]
-    near = (
-        generator, min(len(own), 31), words[-1] if words else 0, words[-2] if len(words) > 1 else 0, words[-3] if len(words) > 2 else 0, tokens[i - 1][2] if i else 0, _char(line[a - 1 : a]), _char(line[a - 2 : a - 1]) if a > 1 else 0,
-        _char(line[b : b + 1]), _char(line[b + 1 : b + 2]), next((t[2] for t in tokens[j : j + 6] if t[3]), 0), *extra, min(10 * len(own) // max(1, len(line)), 10), min(i, 9), int(own.isupper()),
-    )
+@functools.lru_cache(maxsize=100_000)
+def _form_of(own: str, name: bool) -> tuple[int, ...]:
+    """The features that follow from a span alone, none over 31; the 14th and 15th of a name are left for what stands around it."""
     toks = _LETTERS.findall(own)
     cues = [_cue(t) for t in toks]
-    if 7 <= generator <= 12:  # names
-        return near + (
-            len(toks), int(bool(_INITIAL.search(own))), int(", " in own), cues.count(9), cues.count(10), cues.count(11), cues[0] if cues else 0, cues[-1] if cues else 0, _form(toks[0]) if toks else 0, _form(toks[-1]) if toks else 0,
-            min(len(toks[0]) if toks else 0, 15), min(len(toks[-1]) if toks else 0, 15), int(bool(_BEFORE.search(line[max(0, a - 24) : a]))), int(bool(_THEN.match(line[b : b + 4]))), 0, 0,
+    counts = (min(cues.count(9), 31), min(cues.count(10), 31), min(cues.count(11), 31))
+    if name:
+        return (
+            min(len(own), 31), int(own.isupper()), min(len(toks), 31), int(bool(_INITIAL.search(own))), int(", " in own), *counts, cues[0] if cues else 0, cues[-1] if cues else 0, _form(toks[0]) if toks else 0, _form(toks[-1]) if toks else 0,
+            min(len(toks[0]) if toks else 0, 15), min(len(toks[-1]) if toks else 0, 15), 0, 0, 0, 0,
         )
     groups = _GROUPS.findall(own)
     sizes, seps = [len(g) for g in groups] or [0], set(_SEPS.findall(own))
-    return near + (
-        min(sum(sizes), 31), min(len(groups), 9), min(len(toks), 9), (5 if own[0] == "+" else 4 if own[0] == "(" else 3 if own[0].isdigit() else 2 if own[0].islower() else 1), cues.count(9), cues.count(10), cues.count(11), cues[-1] if cues else 0,
+    return (
+        min(len(own), 31), int(own.isupper()), min(sum(sizes), 31), min(len(groups), 9), min(len(toks), 9), (5 if own[0] == "+" else 4 if own[0] == "(" else 3 if own[0].isdigit() else 2 if own[0].islower() else 1), *counts, cues[-1] if cues else 0,
         min(max(sizes), 15), min(sizes[0], 15), min(sizes[-1], 15), (0 if not seps else 1 if seps == {" "} else 2 if seps == {"."} else 3 if seps == {"-"} else 4 if seps == {"/"} else 5),
         int(bool(toks) and len(toks[-1]) == 2 and toks[-1].isupper()), min(len(toks[-1]) if toks else 0, 15), int(", " in own),
         (0 if "@" not in own and not _WORD_AT.search(own) else 1 if _TIGHT.search(own) else 2 if "@" in own else 3 if _BRACKET.search(own) else 4),
     )
 
 
+def candidates(text: str) -> list[tuple[str, int, int, tuple]]:
+    """(kind, start, end, features) of every proposed span, from 0."""
+    places, x = proposed([text])
+    return [(KINDS[k], a, b, tuple(f)) for (_, k, a, b), f in zip(places.tolist(), x.tolist())]
+
+
 @functools.lru_cache(maxsize=2)
 def models(train: int = TRAIN_TEXTS, held_out: int = HELD_OUT_TEXTS) -> dict[str, tuple[BoostedTrees, float]]:
     """A model and a threshold for each kind. A span counts as true if it begins where a detail of its kind does."""
-    rows: dict[bool, dict[str, tuple[list, list]]] = {part: {k: ([], []) for k in KINDS} for part in (True, False)}
+    rows: dict[bool, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
     for part, n, seed in ((True, train, 11), (False, held_out, 23)):
-        for text, spans in sample_texts(n, seed):
-            ends = {(k, a): b for k, a, b in spans}
-            for kind, a, b, x in candidates(text):
-                true = (kind, a) in ends and (kind != "name" or ends[kind, a] == b)
-                rows[part][kind][0].append(x)
-                rows[part][kind][1].append(float(true))
+        sample = sample_texts(n, seed)
+        ends = [{(k, a): b for k, a, b in spans} for _, spans in sample]
+        places, x = proposed([text for text, _ in sample])
+        true = np.array([float(b == ends[t].get((KINDS[k], a)) if k == _NAME_KIND else (KINDS[k], a) in ends[t]) for t, k, a, b in places.tolist()])
+        rows[part] = {kind: (x[own], true[own]) for k, kind in enumerate(KINDS) for own in [places[:, 1] == k]}
     out = {}
     for k in KINDS:
-        x, y = (np.array(v) for v in rows[True][k])
-        model = BoostedTrees().fit(x, y)
-        hx, hy = (np.array(v) for v in rows[False][k])
+        model = BoostedTrees().fit(*rows[True][k])
+        hx, hy = rows[False][k]
         out[k] = (model, best_threshold(model.probability(hx), hy))
     return out
 
 
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts in parts of about CHUNK characters or one text, each with the number of its first."""
+    begin = held = 0
+    for n, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= CHUNK:
+            yield begin, texts[begin : n + 1]
+            begin, held = n + 1, 0
+    if begin < len(texts):
+        yield begin, texts[begin:]
+
+
 def find_details(texts: list[str | None], fitted: dict[str, tuple[BoostedTrees, float]]) -> list[list[tuple[str, int, int]]]:
     """Per text the chosen (kind, start, end), from 0, in order and without overlap."""
-    every = [candidates(t) if t else [] for t in texts]
-    scored: list[list[tuple[float, int, int, str]]] = [[] for _ in texts]
-    for kind in KINDS:
-        which = [(i, c) for i, cs in enumerate(every) for c in cs if c[0] == kind]
-        if which:
-            model, threshold = fitted[kind]
-            rows = {c[3]: n for n, c in enumerate({c[3]: c for _, c in which}.values())}  # equal features are judged once
-            judged = model.probability(np.array(list(rows))).tolist()
-            for i, c in which:
-                if (p := judged[rows[c[3]]]) >= threshold:
-                    scored[i].append((round(p, 1), c[2] - c[1], c[1], kind))
-    out = []
-    for found in scored:
-        kept: list[tuple[str, int, int]] = []
-        for _, size, a, kind in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
-            if all(a + size <= s or a >= e for _, s, e in kept):
-                kept.append((kind, a, a + size))
-        out.append(sorted(kept, key=lambda x: x[1]))
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    for begin, part in _chunks(texts):
+        places, x = proposed(part)
+        scored: dict[int, list[tuple[float, int, int, str]]] = {}
+        for number, kind in enumerate(KINDS):
+            own = np.flatnonzero(places[:, 1] == number)
+            if len(own):
+                model, threshold = fitted[kind]
+                rows, which = np.unique(x[own].view(f"V{FEATURES}").ravel(), return_inverse=True)  # equal features are judged once
+                judged = model.probability(rows.view(np.uint8).reshape(-1, FEATURES))[which]
+                good = judged >= threshold
+                for p, (t, _, a, b) in zip(judged[good].tolist(), places[own[good]].tolist()):
+                    scored.setdefault(begin + t, []).append((round(p, 1), b - a, a, kind))
+        for t, found in scored.items():
+            kept: list[tuple[str, int, int]] = []
+            for _, size, a, kind in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
+                if all(a + size <= s or a >= e for _, s, e in kept):
+                    kept.append((kind, a, a + size))
+            out[t] = sorted(kept, key=lambda x: x[1])
     return out
 
 

@@ -1,6 +1,7 @@
 """Personal details: held-out accuracy on made texts, placeholders, odd inputs."""
 
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -101,3 +102,46 @@ def test_empty_and_long(spark):
 @pytest.mark.parametrize("kind", X.KINDS)
 def test_thresholds_are_probabilities(kind):
     assert 0 < X.models()[kind][1] < 1
+
+
+def plain(line: str, a: int, b: int) -> list[int]:
+    """What stands around a span, as X.proposed has it, from the line alone."""
+    tokens = [(m.start(), m.end(), X._cue(m.group()), m.group()[0].isalnum()) for m in X._TOKEN.finditer(line)]
+    i, after = sum(t[1] <= a for t in tokens), [t for t in tokens if t[0] >= b]
+    words = [0, 0, 0, *(t[2] for t in tokens[max(0, i - 8) : i] if t[3])]
+    char = [X._char(line[k : k + 1]) if k >= 0 else 0 for k in (a - 1, a - 2, b, b + 1)]
+    return [*words[:-4:-1], tokens[i - 1][2] if i else 0, *char, next((t[2] for t in after[:6] if t[3]), 0), min(10 * (b - a) // len(line), 10), min(i, 9)]
+
+
+ODD = ["", "\n\nOlga Balberg", "Olga Balberg", "Mr\tOlga  Balberg,", "\x0bDr. Anna van der Lindberg\x85Lee Ferini\r", "Łukasz Ångström—Ünal Çelik 😀 Tom Bank, Mei Lin", "李明 أحمد علي\nRef: 李明", "x @ Y.Zed Tom Bank Jr, Ann Lee: Bo Wu (Al Ng) «Ed Li» a@b.co 12 Mill Lane 4017-217-975", "(212) 555-0199 / +49 (0) 30 901820 ٣٤٥ ٦٧٨ ٩٠١٢٣", "Met O. Heskovan x. Node.js B.C Ann Lee\n\n \nSKILLS\nGo, Rust | R, SQL\n" + "word " * 30 + "Tom Bank " + "- " * 9 + "Ltd", TEXT]
+
+
+@pytest.mark.parametrize("chunk", [1, 10**6])
+def test_what_stands_around_a_span_follows_from_its_line(monkeypatch, chunk):
+    """Lines are looked at many at once; none reaches into its neighbours."""
+    monkeypatch.setattr(X, "CHUNK", chunk)
+    places, x = X.proposed(ODD)
+    assert {k for _, k, _, _ in places.tolist()} == set(range(len(X.KINDS)))
+    for (t, kind, a, b), f in zip(places.tolist(), x.tolist()):
+        at = ODD[t].rfind("\n", 0, a) + 1
+        line = ODD[t][at:].split("\n")[0]
+        assert f[2:11] + f[16:18] == plain(line, a - at, b - at), line
+        if kind == X.KINDS.index("name"):
+            assert f[31] == bool(re.search(r"[A-Z][\w.]* $", line[max(0, a - at - 24) : a - at])) and f[32] == bool(re.match(r",? ?[A-Z][a-z]", line[b - at : b - at + 4]))
+    assert X.find_details(ODD, X.models()) == [X.find_details([t], X.models())[0] for t in ODD]
+
+
+def test_work_for_a_text():
+    """Processor time of the whole search over that of cutting the same texts into tokens."""
+    texts = [t for t, _ in X.sample_texts(1000, seed=31)]
+
+    def least(f):
+        times = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    cut = least(lambda: [[(m.start(), m.end(), m.group()) for m in X._TOKEN.finditer(t)] for t in texts])
+    assert least(lambda: X.find_details(texts, X.models())) < 11 * cut
