@@ -53,11 +53,11 @@ class BoostedTrees:
 
     def _leaves(self, tree, x: np.ndarray) -> np.ndarray:
         feature, bound, value = tree
-        node = np.zeros(len(x), dtype=np.int64)
-        at = np.arange(len(x))
-        for _ in range(self.depth):
-            node = 2 * node + 1 + (x[at, feature[node]] > bound[node])
-        return value[node - len(feature)]
+        flat, at = x.ravel(), np.arange(len(x)) * x.shape[1]
+        node = 1 + (x[:, feature[0]] > bound[0]).astype(np.int64)
+        for _ in range(self.depth - 1):
+            node = 2 * node + 1 + (flat.take(at + feature.take(node)) > bound.take(node))
+        return value.take(node - len(feature))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         x = np.minimum(x, self.bins - 1).astype(np.int16)

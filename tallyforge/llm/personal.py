@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +43,7 @@ _CARD = re.compile(r"(?<![\w.+@/#\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1
 _IBAN = re.compile(r"(?<![\w./@+\-])[A-Z]{2}\d\d(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![\w@/])")
 #: Capitals of the scripts that have them, and letters of those that don't.
 _UPPER = "A-Z" + "".join(c for c in map(chr, range(0xC0, 0x590)) if c.isupper())
+_UPPER_SET = set(_UPPER[3:]) | set(map(chr, range(ord("A"), ord("Z") + 1)))
 _CASELESS = "֐-ࣿऀ-๿ぁ-ヿ㐀-鿿가-힯"
 _TYPES = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Close|Way|Terrace|Ter|Boulevard|Blvd|Court|Ct|Square|Sq|Place|Pl|Crescent|Cres|Grove|Row|Parkway|Pkwy|Highway|Hwy|Walk|Mews)"
 _HOUSE = re.compile(rf"(?<![\w#./@\-])\d{{1,5}}[A-Za-z]? (?:[{_UPPER}][\w’'\-]* ){{1,4}}?{_TYPES}\b\.?(?:,? (?:#\d+|(?:Flat|Unit|Apt|Suite)\.? \d+\w?))?(?:, [{_UPPER}][\w’'\-]+(?:,? [A-Z]{{2}})?(?: \d{{5}})?)?")
@@ -53,7 +53,7 @@ _WORD = re.compile(rf"[{_UPPER}](?<![\w@/’'.+\-].)(?:\.|[\w]*(?:[’'\-][{_UPP
 _UNCASED = re.compile(rf"(?<![\w@/])[{_CASELESS}]+(?: [{_CASELESS}]+){{0,2}}(?![\w@/])")
 #: Small words inside a name.
 _PARTICLES = "van von de da del della di la le bin ibn der den ten af dos al".split()
-_PARTICLE, _PARTICLE_FIRST = re.compile(rf"(?: (?:{'|'.join(_PARTICLES)}))+ "), tuple(f" {p} " for p in _PARTICLES)
+_PARTICLE, _PARTICLE_FIRST = re.compile(rf"(?: (?:{'|'.join(_PARTICLES)}))+ "), {p[0] for p in _PARTICLES}
 _TOKEN, _TOKEN_PART = re.compile(r"[\w’'\-@.+/#&]+|[^\w\s]"), re.compile(r"[\w’'\-@.+/#&]")
 
 # --- words that say something about their neighbours ------------------------------------------------------------------
@@ -128,10 +128,8 @@ def _char(c: str) -> int:
     return 10 if c.isdigit() else 11 if c.isalpha() else 12
 
 
-_FRONT, _DIGIT, _HEAD = re.compile(r"^\W+|\W+$"), re.compile(r"\d"), re.compile(r"\d\D{0,3}\d\D{0,3}\d\D{0,3}\d\D{0,3}\d")
-#: What every email address, house number before a street and number behind one has; looked up before the generators.
-_MAYBE_AT, _MAYBE_HOUSE = re.compile(r"[\[({ ](?:at|a)[\])} ]", re.I), re.compile(rf"\d[A-Za-z]? [{_UPPER}]")
-_MAYBE_STREET, _NUMBER = re.compile(r"\d(?:[a-zA-Z]?, \d{4}|(?<=(?:raße|asse|str\.|llee|kamp|latz|ring|damm|ufer) .)|(?<=weg .))"), re.compile(rf"\d[A-Za-z]? [{_UPPER}]|[.\w] \d")
+#: What every street with a number behind it has.
+_FRONT, _MAYBE_STREET = re.compile(r"^\W+|\W+$"), re.compile(r"\d(?:[a-zA-Z]?, \d{4}|(?<=(?:raße|asse|str\.|llee|kamp|latz|ring|damm|ufer) .)|(?<=weg .))")
 _INITIAL, _GROUPS, _LETTERS, _SEPS = re.compile(rf"(?<!\w)[{_UPPER}]\."), re.compile(r"\d+"), re.compile(r"[^\W\d_][\w’'.\-]*"), re.compile(r"(?<=\d)\D(?=\d)")
 _WORD_AT, _TIGHT, _BRACKET, _LINK = re.compile(r"\bat\b|\ba\b", re.I), re.compile(r"\S@\S"), re.compile(r"[\[({]"), re.compile(r"://|www\.|\w\.[a-z]{2,}/\w")
 
@@ -142,104 +140,165 @@ def iban_holds(code: str) -> bool:
     return len(plain) >= 15 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
-def _name_spans(line: str) -> Iterator[tuple[int, int, int]]:
-    """(start, end, generator) of every run of two or three words that may be a name, and of one after a cue."""
-    words = [m.span() for m in _WORD.finditer(line)]
-    last = len(words) - 1
-    for i, (start, end) in enumerate(words):
-        if line[start:end].lower().strip(".") in _TITLES:
-            continue
-        if i < last:
-            c, b = words[i + 1]
-            gap = line[end:c]
-            if gap == " " or gap == ", " or (gap.startswith(_PARTICLE_FIRST) and _PARTICLE.fullmatch(gap)):
-                comma = 2 * (gap == ", ")
-                if comma or not (b - c == 2 and line[b - 1] == "."):
-                    yield start, b, 7 + comma
-                if i + 1 < last:
-                    gap = line[b : words[i + 2][0]]
-                    if gap == " " or (gap.startswith(_PARTICLE_FIRST) and _PARTICLE.fullmatch(gap)):
-                        yield start, words[i + 2][1], 8 + comma
-        if start and end - start > 1:
-            before = line[max(0, start - 24) : start].rstrip(" ,:\t")
-            if before[before.rfind(" ") + 1 :].lstrip("(\"“>").lower().strip(".:") in _LONE_CUES:
-                yield start, end, 11
-    if not line.isascii():
-        for m in _UNCASED.finditer(line):
-            yield m.start(), m.end(), 12
+def _codes(text: str) -> tuple[np.ndarray, list[int]]:
+    """The characters as numbers, and which occur."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return code, np.flatnonzero(np.bincount(code)).tolist()
+
+
+def _among(present: list[int], holds) -> np.ndarray:
+    """For each character's number whether it holds."""
+    out = np.zeros(present[-1] + 1, bool)
+    out[[k for k in present if holds(chr(k))]] = True
+    return out
 
 
-def _spans(line: str) -> dict[tuple[int, int, int], int]:
-    """(number of the kind, start, end) of every proposed span of a line, with its generator."""
+def _last(where: np.ndarray) -> np.ndarray:
+    """For each place the last one up to it, -1 before the first."""
+    return np.maximum.accumulate(np.where(where, np.arange(len(where), dtype=np.int32), np.int32(-1)))
+
+
+def _name_spans(text: str, code: np.ndarray, present: list[int], first: np.ndarray) -> np.ndarray:
+    """Rows (start, end, generator) of every run of two or three words that may be a name, and of one after a cue."""
+    start, end = np.array([x for m in _WORD.finditer(text) for x in m.span()], np.int64).reshape(-1, 2).T
+    short = _among(present, lambda c: c in "MDPS")[code[start]] & (end - start < 10)
+    title = np.zeros(len(start), bool)
+    for k in np.flatnonzero(short).tolist():
+        title[k] = text[start[k] : end[k]].lower().strip(".") in _TITLES
+    after = np.append(start[1:], len(text))
+    blank = code[end] == ord(" ")
+    comma = (after - end == 2) & (code[end] == ord(",")) & (code[end + 1] == ord(" "))
+    joined = blank & (after - end == 1)
+    for k in np.flatnonzero(blank & (after - end > 3) & _among(present, lambda c: c in _PARTICLE_FIRST)[code[end + 1]]).tolist():
+        joined[k] = bool(_PARTICLE.fullmatch(text, end[k], after[k]))
+    two = np.flatnonzero((joined | comma) & ~title)
+    initial = (end[two + 1] - start[two + 1] == 2) & (code[end[two + 1] - 1] == ord("."))
+    three, two = two[joined[two + 1]], two[comma[two] | ~initial]
+
+    long = np.flatnonzero(~title & (end - start > 1))
+    low = np.maximum(first[np.searchsorted(first, start[long], "right") - 1], start[long] - 24)  # where to look for a cue
+    b = _last(~_among(present, lambda c: c in " ,:\t")[code])[start[long] - 1] + 1
+    a = np.maximum(low, _last(code == ord(" "))[b - 1] + 1)
+    one = long[[x < y and text[x:y].lstrip("(\"“>").lower().strip(".:") in _LONE_CUES for x, y in zip(a.tolist(), b.tolist())]] if len(long) else long
+
+    word = np.concatenate([two, three, one])
+    out = np.column_stack([start[word], np.concatenate([end[two + 1], end[three + 2], end[one]]), np.concatenate([7 + 2 * comma[two], 8 + 2 * comma[three], np.full(len(one), 11)])])
+    return out[np.lexsort([np.repeat([0, 1, 2], [len(two), len(three), len(one)]), word])]
+
+
+def _other_spans(line: str, email: bool, digits: bool, house: bool, street: bool, uncased: bool) -> dict[tuple[int, int, int], int]:
+    """(number of the kind, start, end) of the other spans of a line, with their generators, of those that may find any."""
     spans: dict[tuple[int, int, int], int] = {}
-    if "@" in line or (("." in line or "dot" in line.lower()) and _MAYBE_AT.search(line)):
+    if email and ("." in line or "dot" in line.lower()):
         for m in _EMAIL.finditer(line):
             spans[_EMAIL_KIND, m.start(), m.end()] = 1
-    if _DIGIT.search(line):
-        if _HEAD.search(line):
-            for m in _DIGITS.finditer(line):
-                if 7 <= sum(map(str.isdigit, m.group())) <= 15:
-                    spans[_PHONE_KIND, m.start(), m.end()] = 2
-                    spans[_ID_KIND, m.start(), m.end()] = 3
-            for m in _CODE.finditer(line):
-                spans[_ID_KIND, m.start(), m.end()] = 4
-            for m in _CARD.finditer(line):
-                if luhn("".join(_GROUPS.findall(m.group()))):
-                    spans[_ID_KIND, m.start(), m.end()] = 13
-            for m in _IBAN.finditer(line):
-                if iban_holds(m.group()):
-                    spans[_ID_KIND, m.start(), m.end()] = 14
-        if _MAYBE_HOUSE.search(line):
-            for m in _HOUSE.finditer(line):
-                spans[_ADDRESS_KIND, m.start(), m.end()] = 5
-        if _MAYBE_STREET.search(line) and _NUMBER.search(line):
-            for m in _STREET.finditer(line):
-                spans[_ADDRESS_KIND, m.start(), m.end()] = 6
-    for a, b, g in _name_spans(line):
-        spans[_NAME_KIND, a, b] = g
+    if digits:
+        for m in _DIGITS.finditer(line):
+            if 7 <= sum(map(str.isdigit, m.group())) <= 15:
+                spans[_PHONE_KIND, m.start(), m.end()] = 2
+                spans[_ID_KIND, m.start(), m.end()] = 3
+        for m in _CODE.finditer(line):
+            spans[_ID_KIND, m.start(), m.end()] = 4
+        for m in _CARD.finditer(line):
+            if luhn("".join(_GROUPS.findall(m.group()))):
+                spans[_ID_KIND, m.start(), m.end()] = 13
+        for m in _IBAN.finditer(line):
+            if iban_holds(m.group()):
+                spans[_ID_KIND, m.start(), m.end()] = 14
+    if house:
+        for m in _HOUSE.finditer(line):
+            spans[_ADDRESS_KIND, m.start(), m.end()] = 5
+    if street and _MAYBE_STREET.search(line):
+        for m in _STREET.finditer(line):
+            spans[_ADDRESS_KIND, m.start(), m.end()] = 6
+    if uncased:
+        for m in _UNCASED.finditer(line):
+            spans[_NAME_KIND, m.start(), m.end()] = 12
     return spans
 
 
+def _three(x, y, z) -> np.ndarray:
+    """Three characters as one number."""
+    return (np.asarray(x, np.int64) << 42) | (np.asarray(y, np.int64) << 21) | np.asarray(z, np.int64)
+
+
+#: The last letters of the words that _MAYBE_STREET knows.
+_STREET_ENDS = np.array([_three(*map(ord, e)) for e in ("aße", "sse", "tr.", "weg", "lee", "amp", "atz", "ing", "amm", "fer")])
+
+
+def _lookups(code: np.ndarray, present: list[int], line: np.ndarray) -> Iterator[np.ndarray]:
+    """The numbers of the lines in which _other_spans may find what its arguments say, from few characters of theirs."""
+    a, t = (_among(present, lambda c, x=x: c in x)[code] for x in ("aA", "tT"))
+    close = _among(present, lambda c: c in "])} ")[code]
+    k = np.flatnonzero(a[1:-3] & _among(present, lambda c: c in "[({ ")[code[:-4]])
+    k = k[close[k + 2] | (t[k + 2] & close[k + 3])]
+    yield np.concatenate([line[code == ord("@")], line[k]])
+    digit = _among(present, str.isdecimal)[code]
+    d = np.flatnonzero(digit)
+    run = np.flatnonzero(np.convolve(np.diff(d) <= 4, np.ones(4, np.int64), "valid") == 4) if len(d) > 4 else d[:0]  # five digits, at most three characters between them
+    yield line[d[run[line[d[run]] == line[d[run + 4]]]]]
+    q = d + _among(present, lambda c: c.isascii() and c.isalpha())[code[d + 1]]
+    yield line[d[(code[q + 1] == ord(" ")) & _among(present, _UPPER_SET.__contains__)[code[q + 2]]]]
+    listed = (code[q + 1] == ord(",")) & (code[q + 2] == ord(" ")) & digit[q + 3] & digit[q + 4] & digit[q + 5] & digit[q + 6]
+    after = d[code[d - 1] == ord(" ")]
+    after = after[np.isin(_three(code[after - 4], code[after - 3], code[after - 2]), _STREET_ENDS)]
+    yield line[np.concatenate([d[listed], after])]
+    yield line[_among(present, lambda c: bool(_UNCASED.match(c)))[code]]
+
+
 def proposed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Of every proposed span (number of the text, number of the kind, start, end), from 0, and its features."""
-    lines: list[str] = []  # those with spans
-    of_lines: list[int] = []
-    found: list[int] = []
-    named: dict[str, int] = {}  # the forms of spans, equal ones once: names, and the rest
-    other: dict[str, int] = {}
-    for t, text in enumerate(texts):
-        at, section = 0, 1
-        for number, line in enumerate(text.split("\n") if text else ()):
-            if not line:
-                at += 1
-                continue
-            if len(line) < 40 and line.isupper():
-                section = next((_SECTIONS[w] for w in _FRONT.sub("", line).lower().split() if w in _SECTIONS), section)
-            if spans := _spans(line):
-                for (kind, a, b), g in spans.items():
-                    forms = named if kind == _NAME_KIND else other
-                    found += (len(lines), kind, a, b, g, forms.setdefault(line[a:b], len(forms)))
-                link = ("/" in line or "www." in line) and bool(_LINK.search(line))
-                of_lines += (t, at, min(number, 9), section, ("@" in line) + 2 * link, ("20" in line or "19" in line) and bool(_RANGE.search(line)), min(len(line) // 12, 31))
-                lines.append(line)
-            at += len(line) + 1
-    if not lines:
+    text = "\n".join(["", *(t or "" for t in texts), "\n" * 8])  # line feeds around: no place looked at is outside
+    code, present = _codes(text)
+    feeds = np.flatnonzero(code == ord("\n"))[:-8]
+    first, size = feeds[:-1] + 1, np.diff(feeds) - 1  # of each line
+    begin = np.concatenate([[0], np.cumsum([1 + t.count("\n") if t else 1 for t in texts])]).astype(np.int64)  # the first line of each text
+    of_text = np.repeat(np.arange(len(texts)), np.diff(begin))
+
+    section = np.zeros(len(first), np.int64)
+    section[begin[:-1]] = 1
+    small = np.append(np.cumsum(_among(present, str.islower)[code], dtype=np.int32), 0)
+    for k in np.flatnonzero((size > 0) & (size < 40) & (small[first + size] == small[first - 1])).tolist():
+        line = text[first[k] : first[k] + size[k]]
+        if line.isupper():
+            section[k] = next((_SECTIONS[w] for w in _FRONT.sub("", line).lower().split() if w in _SECTIONS), section[k])
+    section = section[_last(section > 0)]
+
+    looked = np.zeros((len(first), 5), bool)
+    for k, lines in enumerate(_lookups(code, present, np.cumsum(code == ord("\n"), dtype=np.int32) - 1)):
+        looked[lines, k] = True
+    rest = [(n, kind, a, b, g, kind == _NAME_KIND) for n in np.flatnonzero(looked.any(axis=1)).tolist() for (kind, a, b), g in _other_spans(text[first[n] : first[n] + size[n]], *looked[n].tolist()).items()]
+    a, b, generator = _name_spans(text, code, present, first).T
+    n = np.searchsorted(first, a, "right") - 1
+    names = np.column_stack([n, np.full(len(n), _NAME_KIND), a - first[n], b - first[n], generator, np.zeros(len(n), np.int64)])
+    found = np.concatenate([np.array(rest, np.int64).reshape(-1, 6), names])
+    found = found[np.lexsort([found[:, 5], found[:, 1] == _NAME_KIND, found[:, 0]])]  # by line: the others as found, then names, those without case last
+    n, kind, a, b, generator, _ = found.T.copy()
+    if not len(n):
         return np.zeros((0, 4), np.int64), np.zeros((0, FEATURES), np.uint8)
-    n, kind, a, b, generator, form = np.array(found).reshape(-1, 6).T.copy()
-    of = np.array(of_lines).reshape(-1, 7)[n]
+
+    used, n = np.unique(n, return_inverse=True)  # the lines with spans
+    of, section, number = of_text[used], section[used], np.minimum(used - begin[of_text[used]], 9)
+    at = first[used] - first[begin[of]]
+    lines = [text[x:y] for x, y in zip(first[used].tolist(), (first[used] + size[used]).tolist())]
+    signs = [("@" in x) + 2 * (("/" in x or "www." in x) and bool(_LINK.search(x))) for x in lines]
+    ranges = [("20" in x or "19" in x) and bool(_RANGE.search(x)) for x in lines]
+    extra = np.column_stack([number, section, signs, ranges, np.minimum(size[used] // 12, 31)])
+
     name = kind == _NAME_KIND
-    own = np.array([_form_of(f, is_name) for forms, is_name in ((named, True), (other, False)) for f in forms], np.uint8)[form + np.where(name, 0, len(named))]
+    forms: dict[tuple[str, bool] | str, int] = {}  # equal ones are looked at once
+    form = [forms.setdefault(x if is_name else (x,), len(forms)) for x, is_name in zip((text[x:y] for x, y in zip((first[used][n] + a).tolist(), (first[used][n] + b).tolist())), name.tolist())]
+    own = np.array([_form_of(f, True) if isinstance(f, str) else _form_of(*f, False) for f in forms], np.uint8)[form]
     near, own[name, 14], own[name, 15] = _context(lines, n, a, b, name)
-    places = np.column_stack([of[:, 0], kind, of[:, 1] + a, of[:, 1] + b])
-    return places, np.column_stack([generator, own[:, 0], *near[:9], of[:, 2:], *near[9:], own[:, 1:]]).astype(np.uint8)
+    places = np.column_stack([of[n], kind, at[n] + a, at[n] + b])
+    return places, np.column_stack([generator, own[:, 0], *near[:9], extra[n], *near[9:], own[:, 1:]]).astype(np.uint8)
 
 
 def _context(lines: list[str], n: np.ndarray, a: np.ndarray, b: np.ndarray, name: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """What stands around each span (number of its line, start, end): the features, and for names whether a capitalised
     word and a blank stand before, and a capitalised word behind."""
     text = "\n".join(["", *lines, "\n\n\n"])  # the lines as one, ended by line feeds, which stand nowhere else
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    present = np.flatnonzero(np.bincount(code)).tolist()
+    code, present = _codes(text)
     char, token, word, alnum = (np.zeros(present[-1] + 1, np.uint8) for _ in range(4))
     for k in present:
         c = chr(k)
@@ -262,8 +321,8 @@ def _context(lines: list[str], n: np.ndarray, a: np.ndarray, b: np.ndarray, name
         np.where(words[after] < np.minimum(high, j + 6), word_cue[after], 0), np.minimum(10 * (b - a) // size, 10), np.minimum(i - low, 9),
     ]
 
-    capital, place = (code >= ord("A")) & (code <= ord("Z")), np.arange(len(code))
-    last_capital, last_gap = (np.maximum.accumulate(np.where(x, place, -1)) for x in (capital, word[code] == 0))
+    capital = (code >= ord("A")) & (code <= ord("Z"))
+    last_capital, last_gap = _last(capital), _last(word[code] == 0)
     a_at, b_at, a = a_at[name], b_at[name], a[name]
     before = (code[a_at - 1] == ord(" ")) & (a > 1) & (last_capital[a_at - 2] > np.maximum(last_gap[a_at - 2], a_at - 25))
     b_at = b_at + (code[b_at] == ord(","))

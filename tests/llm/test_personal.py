@@ -144,4 +144,4 @@ def test_work_for_a_text():
         return min(times)
 
     cut = least(lambda: [[(m.start(), m.end(), m.group()) for m in X._TOKEN.finditer(t)] for t in texts])
-    assert least(lambda: X.find_details(texts, X.models())) < 11 * cut
+    assert least(lambda: X.find_details(texts, X.models())) < 10 * cut
